@@ -96,6 +96,31 @@ class Domain:
             F.lit(None).cast("date").alias("Fecha_Fin"),
         )
 
+    @cached_property
+    def second_links(self) -> DataFrame:
+        """Every fifth person also has an open link to the next customer's unit."""
+        key = F.col("c_custkey")
+        return (
+            self.table("customer")
+            .filter((key % 5 == 1) & (key > 0))
+            .select(
+                (key + 1_000_000_000_000).alias("ID_U_P"),
+                F.col("c_nationkey").alias("Id_Consorcio"),
+                key.cast("string").alias("NroUF"),
+                (key - 1).alias("Id_Persona"),
+                F.lit(OWNER).alias("Id_TipoRelacion"),
+                F.lit(START).alias("Fecha_Inicio"),
+                F.lit(None).cast("date").alias("Fecha_Fin"),
+            )
+        )
+
+    @cached_property
+    def holidays(self) -> DataFrame:
+        """Payment days that fall on a fixed-date holiday."""
+        day = F.col("o_orderdate").cast("date").alias("fecha")
+        fixed = F.date_format("o_orderdate", "MM-dd").isin("01-01", "05-01", "05-25", "07-09", "12-08", "12-25")
+        return self.table("orders").filter(fixed).select(day).distinct()
+
     @cached_property
     def payments(self) -> DataFrame:
         return self.table("orders").select(

@@ -76,6 +76,10 @@ SPLIT = f"""split AS (
          CASE WHEN b.ord + b.ext = 0 THEN 0 ELSE p.cents * {_ratio("b.ext", "(b.ord + b.ext)")} END AS ext_part
   FROM payments p JOIN bills b ON b.building = p.building AND b.unit = p.unit AND b.month = p.month)"""
 
+def _half_away(expression: str, unit: int) -> str:
+    return f"(sign({expression})::HUGEINT * ((2 * abs({expression}) + {unit}) // {2 * unit}))"
+
+
 # Sums of cents at 13 extra decimals back to cents.
 def _rounded(expression: str) -> str:
     return f"((({expression})::HUGEINT + 5000000000000) // 10000000000000)"
@@ -84,6 +88,74 @@ def _rounded(expression: str) -> str:
 def oracle_queries() -> dict[str, str]:
     sql = {}
 
+    sql["o09_settlement_headers"] = (
+        _with(CONDOMINIUMS, EXPENSES, HEADERS)
+        + f"""SELECT building AS "Id_Consorcio", month AS "Periodo", DATE '2002-01-15' AS "Fecha_Emision",
+       DATE '2002-01-25' AS "Fecha_Vencimiento1", DATE '2002-02-04' AS "Fecha_Vencimiento2",
+       {_money("ord")} AS "Total_Gasto_Ordinarios", {_money("ext")} AS "Total_Gasto_Extraordinarios"
+FROM headers"""
+    )
+
+    sql["o10_prorate_bills"] = (
+        _with(*REPORT_BASE)
+        + f""", carried AS (
+  SELECT b.*, coalesce(v.total - coalesce(p.cents, 0), 0)::HUGEINT AS rest
+  FROM bills b
+  LEFT JOIN bills v ON v.building = b.building AND v.unit = b.unit AND v.month = (b.month - INTERVAL 1 MONTH)::DATE
+  LEFT JOIN paid p ON p.building = v.building AND p.unit = v.unit AND p.month = v.month)
+SELECT building AS "Id_Consorcio", unit AS "NroUF", month AS "Periodo",
+       {_money("rest")} AS "Saldo_Anterior", CAST(0 AS DECIMAL(18,2)) AS "Pagos_Recibidos_Mes",
+       {_money("rest")} AS "Deuda", {_money(_half_away("rest * 5", 100))} AS "Interes_Por_Mora",
+       {_money("ord")} AS "Importe_Ordinario_Prorrateado", {_money("ext")} AS "Importe_Extraordinario_Prorrateado",
+       {_money(_half_away("(rest * 10500 + ord6 + ext6)", 10000))} AS "Total_A_Pagar"
+FROM carried"""
+    )
+
+    sql["o11_recalculate_balances"] = (
+        _with(
+            *REPORT_BASE,
+            f"""settled AS (
+  SELECT b.*, coalesce(p.cents, 0)::HUGEINT AS paid FROM bills b
+  LEFT JOIN paid p ON p.building = b.building AND p.unit = b.unit AND p.month = b.month),
+chain AS (
+  SELECT building, unit, month, paid, ord, ext, 0::HUGEINT AS rest, 0::HUGEINT AS interest, total, total - paid AS carry
+  FROM settled WHERE month = DATE '1995-01-01'
+  UNION ALL
+  SELECT s.building, s.unit, s.month, s.paid, s.ord, s.ext, c.carry,
+         {_half_away("greatest(c.carry, 0) * 5", 100)},
+         {_half_away("(100 * (c.carry + s.ord + s.ext) + 5 * greatest(c.carry, 0))", 100)},
+         {_half_away("(100 * (c.carry + s.ord + s.ext - s.paid) + 5 * greatest(c.carry, 0))", 100)}
+  FROM chain c JOIN settled s ON s.building = c.building AND s.unit = c.unit
+       AND s.month = (c.month + INTERVAL 1 MONTH)::DATE)""",
+        )
+        + f"""SELECT building AS "Id_Consorcio", unit AS "NroUF", month AS "Periodo",
+       {_money("rest")} AS "Saldo_Anterior", {_money("paid")} AS "Pagos_Recibidos_Mes",
+       {_money("greatest(rest, 0)")} AS "Deuda", {_money("interest")} AS "Interes_Por_Mora",
+       {_money("ord")} AS "Importe_Ordinario_Prorrateado", {_money("ext")} AS "Importe_Extraordinario_Prorrateado",
+       {_money("total")} AS "Total_A_Pagar"
+FROM chain"""
+    )
+
+    sql["o12_resolve_payments"] = """
+WITH links AS (
+  SELECT c_custkey AS person, c_nationkey AS building, CAST(c_custkey AS VARCHAR) AS unit FROM customer
+  UNION ALL
+  SELECT c_custkey - 1, c_nationkey, CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey % 5 = 1 AND c_custkey > 0),
+ranked AS (
+  SELECT o_orderkey, o_orderdate, o_totalprice, building, unit,
+         row_number() OVER (PARTITION BY o_orderkey ORDER BY building, unit) AS place
+  FROM orders JOIN links ON person = o_custkey WHERE o_orderdate <= DATE '2001-12-31')
+SELECT o_orderkey AS "Id_Pago", CAST(o_orderdate AS DATE) AS "Fecha", CAST(o_totalprice AS DECIMAL(18,2)) AS "Importe",
+       building AS "Id_Consorcio", unit AS "NroUF"
+FROM ranked WHERE place = 1"""
+
+    sql["o22_business_days"] = """
+SELECT DISTINCT CAST(o_orderdate AS DATE) AS "Fecha",
+       NOT (isodow(o_orderdate) >= 6
+            OR strftime(o_orderdate, '%m-%d') IN ('01-01', '05-01', '05-25', '07-09', '12-08', '12-25'))
+         AS "is_business_day"
+FROM orders"""
+
     sql["o15_weekly_collection"] = (
         _with(*REPORT_BASE, SPLIT)
         + f""", weeks AS (

@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from prorrata.operators import reports as R
-from prorrata.plans.adapter import END, START, Domain
+from prorrata.operators import allocation as A, billing as B, reports as R
+from prorrata.operators.cycle import Books, close_months
+from prorrata.operators.workdays import business_days
+from prorrata.plans.adapter import EMISSION, END, FIRST_MONTH, LAST_MONTH, START, Domain
+from prorrata.schemas import BILL, PAYMENT_DETAIL, SETTLEMENT
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -18,6 +21,59 @@ def _query(build: Callable[[Domain], DataFrame]) -> Callable[[Domain], DataFrame
     return build
 
 
+@_query
+def o09_settlement_headers(d: Domain) -> DataFrame:
+    return d.headers
+
+
+@_query
+def o10_prorate_bills(d: Domain) -> DataFrame:
+    return B.prorate_bills(d.headers, d.units, d.condominiums, previous=d.bills)
+
+
+@_query
+def o11_recalculate_balances(d: Domain) -> DataFrame:
+    return B.recalculate_balances(d.bills)
+
+
+@_query
+def o12_resolve_payments(d: Domain) -> DataFrame:
+    accounts = A.units_of_accounts(d.persons, d.links.unionByName(d.second_links))
+    return A.resolve_payments(d.payments, accounts, END)
+
+
+@_query
+def o13_allocate_payments(d: Domain) -> DataFrame:
+    return A.allocate_payments(d.unpaid_bills, d.payments, d.persons, d.links, END).details
+
+
+@_query
+def o13_allocated_bills(d: Domain) -> DataFrame:
+    return A.allocate_payments(d.unpaid_bills, d.payments, d.persons, d.links, END).bills
+
+
+def _closed_books(d: Domain) -> Books:
+    def empty(table):
+        return d.spark.createDataFrame([], table.schema)
+
+    books = Books(empty(SETTLEMENT), empty(BILL), d.payments, empty(PAYMENT_DETAIL))
+    today = d.condominiums.select(F.lit(EMISSION).alias("Fecha")).distinct()
+    return close_months(
+        books, d.condominiums, d.units, d.persons, d.links, d.ordinary, d.extraordinary,
+        business_days(today, d.holidays), FIRST_MONTH, LAST_MONTH, EMISSION,
+    )
+
+
+@_query
+def o14_close_months(d: Domain) -> DataFrame:
+    return _closed_books(d).bills
+
+
+@_query
+def o14_close_months_details(d: Domain) -> DataFrame:
+    return _closed_books(d).details
+
+
 @_query
 def o15_weekly_collection(d: Domain) -> DataFrame:
     return R.weekly_collection(d.payments, d.details, d.bills, START, END)
@@ -56,3 +112,8 @@ def o19_top_debtors(d: Domain) -> DataFrame:
 @_query
 def o20_payment_intervals(d: Domain) -> DataFrame:
     return R.payment_intervals(d.payments, d.details, d.bills, START, END)
+
+
+@_query
+def o22_business_days(d: Domain) -> DataFrame:
+    return business_days(d.payments.select("Fecha").distinct(), d.holidays)
