@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from prorrata.operators import allocation as A, billing as B, reports as R
+from prorrata import schemas as S
+from prorrata.functions.money import money
+from prorrata.operators import allocation as A, billing as B, imports as I, privacy as P, reports as R
+from prorrata.operators.checks import check_tables
 from prorrata.operators.cycle import Books, close_months
+from prorrata.operators.unit_changes import change_units
+from prorrata.operators.upsert import upsert
 from prorrata.operators.workdays import business_days
+from prorrata.plans import raw_files as raw
 from prorrata.plans.adapter import EMISSION, END, FIRST_MONTH, LAST_MONTH, START, Domain
 from prorrata.schemas import BILL, PAYMENT_DETAIL, SETTLEMENT
+from prorrata.seeds import seed_table
+from prorrata.sources.files import top_months_xml, xml_row
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -21,6 +31,69 @@ def _query(build: Callable[[Domain], DataFrame]) -> Callable[[Domain], DataFrame
     return build
 
 
+TODAY = dt.date(2025, 6, 17)
+
+# Pepper of the generated data only; the key is new in every run.
+SAMPLE_PEPPER = "generated-data"
+
+
+def _keys() -> P.Keys:
+    return P.Keys(os.urandom(32), SAMPLE_PEPPER)
+
+
+@_query
+def o01_import_condominiums(d: Domain) -> DataFrame:
+    administrations = seed_table(d.spark, S.ADMINISTRATION)
+    return I.import_condominiums(raw.condominium_sheet(d), administrations, raw.existing_condominiums(d), 1).table
+
+
+@_query
+def o02_import_units(d: Domain) -> DataFrame:
+    old = d.units.filter(F.col("NroUF").cast("bigint") % 2 == 0).withColumn("Piso", F.lit("OLD"))
+    return I.import_units(raw.unit_lines(d), d.condominiums, old).table
+
+
+@_query
+def o02_rejected_units(d: Domain) -> DataFrame:
+    rejects = I.import_units(raw.unit_lines(d), d.condominiums, d.units).rejects
+    return rejects.select("uf", "reason")
+
+
+@_query
+def o03_import_persons(d: Domain) -> DataFrame:
+    return I.import_persons(raw.person_lines(d), raw.existing_persons(d)).table
+
+
+@_query
+def o04_import_links(d: Domain) -> DataFrame:
+    return I.import_links(
+        raw.link_lines(d), d.condominiums, d.units, d.persons, raw.existing_links(d), TODAY
+    ).table
+
+
+@_query
+def o05_import_payments(d: Domain) -> DataFrame:
+    return I.import_payments(raw.payment_lines(d), d.persons, d.links, raw.existing_payments(d)).table
+
+
+@_query
+def o06_import_suppliers(d: Domain) -> DataFrame:
+    return I.import_suppliers(raw.supplier_sheet(d), d.condominiums, raw.existing_suppliers(d)).table
+
+
+@_query
+def o07_import_expenses(d: Domain) -> DataFrame:
+    types = seed_table(d.spark, S.ORDINARY_TYPE)
+    return I.import_expenses(raw.expense_documents(d), d.condominiums, types, raw.existing_expenses(d), 2025).table
+
+
+@_query
+def o08_keyed_upsert(d: Domain) -> DataFrame:
+    number = F.col("Id_Pago")
+    source = d.payments.filter(number % 3 == 0).withColumn("Importe", money(F.col("Importe") * 2)).drop("Procesado")
+    return upsert(d.payments.filter(number % 2 == 0), source, ["Id_Pago"], S.PAYMENT.name)
+
+
 @_query
 def o09_settlement_headers(d: Domain) -> DataFrame:
     return d.headers
@@ -117,3 +190,120 @@ def o20_payment_intervals(d: Domain) -> DataFrame:
 @_query
 def o22_business_days(d: Domain) -> DataFrame:
     return business_days(d.payments.select("Fecha").distinct(), d.holidays)
+
+
+@_query
+def o21_weekly_xml(d: Domain) -> DataFrame:
+    report = R.weekly_collection(d.payments, d.details, d.bills, START, END)
+    columns = [c for c in report.columns if c != "Id_Consorcio"]
+    return report.select("Id_Consorcio", "Anio", "Semana", xml_row("Fila", *columns).alias("xml"))
+
+
+@_query
+def o21_top_months_xml(d: Domain) -> DataFrame:
+    return top_months_xml(
+        R.top_expense_months(d.ordinary, d.extraordinary), R.top_income_months(d.payments, d.details)
+    )
+
+
+@_query
+def o23_encrypt_persons(d: Domain) -> DataFrame:
+    """Encrypted and opened again; `cifrado` tells that nothing was stored in the clear."""
+    keys = _keys()
+    stored = P.encrypt_persons(d.persons, keys)
+    hidden = F.coalesce(F.col("DNI").try_cast("string") != F.col("clear"), F.lit(True))
+    stored = stored.withColumn("clear", (F.col("Id_Persona") + 10_000_000).cast("string")).withColumn("cifrado", hidden)
+    return P.decrypt_persons(stored, keys).drop("clear")
+
+
+@_query
+def o24_match_encrypted_accounts(d: Domain) -> DataFrame:
+    keys = _keys()
+    persons = P.encrypt_persons(d.persons, keys).select("Id_Persona", P.ACCOUNT_INDEX)
+    payments = P.encrypt_payments(d.payments, keys)
+    matched = payments.join(persons, F.col(P.PAYMENT_INDEX) == F.col(P.ACCOUNT_INDEX))
+    return P.decrypt_payments(matched, keys).select("Id_Pago", "Id_Persona", "Cuenta_Origen")
+
+
+@_query
+def o25_import_encrypted_persons(d: Domain) -> DataFrame:
+    keys = _keys()
+    target = P.encrypt_persons(raw.existing_persons(d), keys)
+    return P.decrypt_persons(P.import_encrypted_persons(raw.person_lines(d), target, keys).table, keys)
+
+
+@_query
+def o26_import_encrypted_links(d: Domain) -> DataFrame:
+    keys = _keys()
+    persons = P.encrypt_persons(d.persons, keys)
+    return P.import_encrypted_links(
+        raw.link_lines(d), d.condominiums, d.units, persons, raw.existing_links(d), TODAY, keys
+    ).table
+
+
+@_query
+def o27_import_encrypted_payments(d: Domain) -> DataFrame:
+    keys = _keys()
+    persons = P.encrypt_persons(d.persons, keys)
+    target = P.encrypt_payments(raw.existing_payments(d), keys)
+    return P.decrypt_payments(
+        P.import_encrypted_payments(raw.payment_lines(d), persons, d.links, target, keys).table, keys
+    )
+
+
+@_query
+def o28_allocate_encrypted_payments(d: Domain) -> DataFrame:
+    keys = _keys()
+    return P.allocate_encrypted_payments(
+        d.unpaid_bills, P.encrypt_payments(d.payments, keys), P.encrypt_persons(d.persons, keys), d.links, END
+    ).details
+
+
+@_query
+def o29_change_units(d: Domain) -> DataFrame:
+    return change_units(raw.unit_changes(d), d.units).table
+
+
+@_query
+def o29_rejected_changes(d: Domain) -> DataFrame:
+    return change_units(raw.unit_changes(d), d.units).rejected.select("ordinal", "reason")
+
+
+@_query
+def o30_integrity_checks(d: Domain) -> DataFrame:
+    """The derived tables with faults: repeated ids, lost references, missing accounts, long names."""
+    items = d.table("lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("Id_gasto"),
+        (F.col("l_suppkey") % 30).cast("int").alias("Id_Consorcio"),
+        (F.col("l_linenumber") + 1).alias("Id_Tipo_Gasto"),
+    )
+    number = F.col("Id_Pago")
+    payments = d.payments.withColumn("Cuenta_Origen", F.when(number % 17 != 0, F.col("Cuenta_Origen"))).withColumn(
+        "Id_Forma_De_Pago", (number % 5).cast("int")
+    )
+    links = d.links.withColumn("Id_Consorcio", F.when(F.col("ID_U_P") % 11 == 0, 7).otherwise(F.col("Id_Consorcio")))
+    names = d.table("customer").select(
+        F.col("c_nationkey").alias("Id_Consorcio"), F.col("c_custkey").cast("string").alias("NroUF"),
+        F.col("c_mktsegment").alias("Departamento"),
+    )
+    return check_tables(
+        {
+            S.CONDOMINIUM.name: d.condominiums,
+            S.ORDINARY_TYPE.name: seed_table(d.spark, S.ORDINARY_TYPE),
+            S.PAYMENT_METHOD.name: seed_table(d.spark, S.PAYMENT_METHOD),
+            S.ORDINARY_EXPENSE.name: items,
+            S.PAYMENT.name: payments,
+            S.PERSON.name: d.persons,
+            S.UNIT.name: names,
+            S.UNIT_PERSON.name: links,
+        }
+    )
+
+
+@_query
+def o31_seed_tables(d: Domain) -> DataFrame:
+    """Seeded expense types with the expenses booked on each."""
+    booked = d.ordinary.groupBy("Id_Tipo_Gasto").agg(
+        F.count(F.lit(1)).alias("gastos"), money(F.sum("Importe_Total")).alias("importe")
+    )
+    return seed_table(d.spark, S.ORDINARY_TYPE).join(booked, "Id_Tipo_Gasto", "left")
