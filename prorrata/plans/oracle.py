@@ -241,4 +241,295 @@ SELECT DISTINCT building AS "Id_Consorcio", unit AS "NroUF", strftime(day, '%Y-%
        CAST(datediff('day', day, next_day) AS INTEGER) AS "DiasEntrePagos"
 FROM sequences WHERE next_day IS NOT NULL"""
     )
+    sql["o21_weekly_xml"] = (
+        f"""SELECT "Id_Consorcio", "Anio", "Semana", '<Fila>' || chr(10) || """
+        + " || ".join(
+            f"""'    <{c}>' || CAST("{c}" AS VARCHAR) || '</{c}>' || chr(10)"""
+            for c in ("Anio", "Semana", "TotalOrdinario", "TotalExtraordinario", "TotalSemana",
+                      "AcumuladoProgresivo", "PromedioPeriodo")
+        )
+        + f""" || '</Fila>' AS xml FROM ({sql["o15_weekly_collection"]})"""
+    )
+
+    def rows_xml(section: str, row: str, fields: str) -> str:
+        inner = " || ".join(
+            f"""'            <{tag}>' || CAST({column} AS VARCHAR) || '</{tag}>' || chr(10)"""
+            for tag, column in (f.split(":") for f in fields.split())
+        )
+        body = f"""'        <{row}>' || chr(10) || {inner} || '        </{row}>' || chr(10)"""
+        return f"""string_agg(CASE WHEN "Seccion" = '{section}' THEN {body} END, '' ORDER BY "Puesto")"""
+
+    sql["o21_top_months_xml"] = f"""
+WITH listed AS (
+  SELECT "Id_Consorcio", "Anio",
+         {rows_xml("TopGastos", "FilaGasto", 'Mes:"Mes" Anio:"Anio" TotalGasto:"Total" TiposIncluidos:"TiposIncluidos"')} AS spent,
+         {rows_xml("TopIngresos", "FilaIngreso", 'Mes:"Mes" Anio:"Anio" TotalIngreso:"Total"')} AS earned
+  FROM ({sql["o18_top_months"]}) GROUP BY ALL)
+SELECT "Id_Consorcio", "Anio", '<ReporteTopMesesIngresosGastos>' || chr(10)
+       || coalesce('    <TopGastos>' || chr(10) || spent || '    </TopGastos>' || chr(10), '')
+       || coalesce('    <TopIngresos>' || chr(10) || earned || '    </TopIngresos>' || chr(10), '')
+       || '</ReporteTopMesesIngresosGastos>' AS xml
+FROM listed"""
+
+    sql.update(_import_queries())
+    sql.update(_privacy_queries(sql))
+    sql.update(_other_queries())
     return sql
+
+
+_PERSON = """c_custkey AS "Id_Persona", CAST(c_custkey + 10000000 AS VARCHAR) AS "DNI",
+  upper(c_mktsegment[1:5]) AS "Nombre", upper(c_name) AS "Apellido",
+  lower(replace(c_name, '#', '.')) || '@example.com' AS "Email",
+  '11-' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS "Telefono",
+  c_custkey % 4 = 0 AS inquilino, lpad(CAST(c_custkey AS VARCHAR), 22, '0') AS "Cbu_Cvu\""""
+
+
+def _import_queries() -> dict[str, str]:
+    sql = {}
+    sql["o01_import_condominiums"] = """
+WITH sheet AS (
+  SELECT c_custkey AS k, c_name, TRUE AS given FROM customer WHERE c_custkey % 17 <> 0 AND c_custkey % 13 <> 0),
+old AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 2 = 0)
+SELECT CAST(k AS INTEGER) AS "Id_Consorcio",
+       CASE WHEN given THEN 1 ELSE 9 END AS "Id_Administracion",
+       CASE WHEN given THEN upper(c_name) ELSE 'OLD' END AS "Nombre",
+       CASE WHEN NOT coalesce(given, FALSE) THEN 'OLD' WHEN k % 3 = 0 OR k % 5 = 0 THEN 'DOMICILIO NO INFORMADO'
+            ELSE 'Calle 1' END AS "Domicilio",
+       CAST(CASE WHEN NOT coalesce(given, FALSE) THEN 1 WHEN k % 4 <> 0 THEN k % 50 ELSE 0 END AS SMALLINT) AS "Cant_unidades",
+       CAST(CASE WHEN NOT coalesce(given, FALSE) THEN 1 WHEN k % 7 = 0 THEN 0 WHEN k % 11 <> 0 THEN k % 1000 END AS INTEGER)
+         AS "MetrosCuadrados",
+       CAST(CASE WHEN given THEN 1000 ELSE 5 END AS DECIMAL(18,2)) AS "Precio_Cochera",
+       CAST(CASE WHEN given THEN 1000 ELSE 5 END AS DECIMAL(18,2)) AS "Precio_Baulera"
+FROM sheet FULL JOIN old USING (k)"""
+
+    sql["o02_import_units"] = (
+        _with(UNITS)
+        + """, lines AS (
+  SELECT c_custkey AS person, TRUE AS given FROM customer
+  WHERE c_custkey % 19 <> 0 AND c_custkey % 17 <> 0 AND c_custkey % 23 <> 0 AND c_custkey % 300 <= 255)
+SELECT building AS "Id_Consorcio", unit AS "NroUF", CASE WHEN given THEN floor ELSE 'OLD' END AS "Piso",
+       department AS "Departamento",
+       CAST(CASE WHEN given THEN person % 900 + 1 ELSE coef END / 100.0 AS DECIMAL(5,2)) AS "Coeficiente",
+       CAST(person % 90 + 30 AS SMALLINT) AS "M2_UF", storage AS "Baulera", parking AS "Cochera",
+       CAST(CASE WHEN given THEN person % 300 ELSE person % 3 END AS SMALLINT) AS "M2_Baulera",
+       CAST(CASE WHEN given THEN person % 20 ELSE person % 2 END AS SMALLINT) AS "M2_Cochera"
+FROM units LEFT JOIN lines USING (person) WHERE given OR person % 2 = 0"""
+    )
+
+    sql["o02_rejected_units"] = """
+SELECT ' ' || c_custkey || ' ' AS uf,
+       CASE WHEN c_custkey % 19 = 0 THEN 'condominium or unit missing' WHEN c_custkey % 17 = 0 THEN 'unknown condominium'
+            WHEN c_custkey % 23 = 0 THEN 'coefficient is not a number'
+            ELSE 'storage or parking area out of range' END AS reason
+FROM customer WHERE c_custkey % 19 = 0 OR c_custkey % 17 = 0 OR c_custkey % 23 = 0 OR c_custkey % 300 > 255"""
+
+    def persons(number: str, extra: str = "") -> str:
+        return f"""
+WITH old AS (SELECT {_PERSON} FROM customer WHERE c_custkey % 2 = 0),
+lines AS (
+  SELECT o_custkey AS k, min(o_orderkey) AS first FROM orders
+  WHERE o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 GROUP BY ALL),
+fresh AS (
+  SELECT k, CAST(k + 10000000 AS VARCHAR) AS "DNI", 'N' || k AS "Nombre", upper(c_name) AS "Apellido",
+         'user' || k || '@example.com' AS "Email", CAST(first AS VARCHAR) AS "Telefono", k % 4 = 0 AS inquilino,
+         lpad(CAST(k AS VARCHAR), 22, '0') AS "Cbu_Cvu"
+  FROM lines JOIN customer ON c_custkey = k),
+merged AS (
+  SELECT o."Id_Persona", coalesce(f."DNI", o."DNI") AS "DNI",
+         CASE WHEN k IS NULL THEN o."Nombre" ELSE f."Nombre" END AS "Nombre",
+         CASE WHEN k IS NULL THEN o."Apellido" ELSE f."Apellido" END AS "Apellido",
+         CASE WHEN k IS NULL THEN o."Email" ELSE f."Email" END AS "Email",
+         CASE WHEN k IS NULL THEN o."Telefono" ELSE f."Telefono" END AS "Telefono",
+         CASE WHEN k IS NULL THEN o.inquilino ELSE f.inquilino END AS inquilino,
+         CASE WHEN k IS NULL THEN o."Cbu_Cvu" ELSE f."Cbu_Cvu" END AS "Cbu_Cvu"
+  FROM old o FULL JOIN fresh f ON f."DNI" = o."DNI"),
+top AS (SELECT max("Id_Persona") AS last FROM old)
+SELECT * EXCLUDE (last) REPLACE (coalesce("Id_Persona", last + row_number() OVER (PARTITION BY "Id_Persona" IS NULL ORDER BY {number}))
+                  AS "Id_Persona"){extra}
+FROM merged, top"""
+
+    sql["o03_import_persons"] = persons('"DNI"')
+    sql["o25_import_encrypted_persons"] = persons(
+        """sha256('generated-data' || "DNI")""",
+        """, sha256('generated-data' || "DNI") AS dni_bidx, sha256('generated-data' || "Cbu_Cvu") AS cbu_bidx""",
+    )
+
+    sql["o04_import_links"] = """
+WITH old AS (
+  SELECT c_custkey AS "ID_U_P", c_nationkey AS "Id_Consorcio", CAST(c_custkey AS VARCHAR) AS "NroUF",
+         c_custkey AS "Id_Persona", CASE WHEN c_custkey % 4 = 0 THEN 2 ELSE 1 END AS "Id_TipoRelacion",
+         DATE '1995-01-01' AS "Fecha_Inicio" FROM customer),
+fresh AS (
+  SELECT * FROM old WHERE "Id_Persona" % 3 <> 0 AND "Id_Persona" % 7 <> 0 AND "Id_Persona" % 11 <> 0
+    AND "Id_Persona" IN (SELECT o_custkey FROM orders)),
+top AS (SELECT max("ID_U_P") AS last FROM old WHERE "Id_Persona" % 3 = 0)
+SELECT *, CAST(NULL AS DATE) AS "Fecha_Fin" FROM old WHERE "Id_Persona" % 3 = 0
+UNION ALL
+SELECT last + row_number() OVER (ORDER BY "Id_Consorcio", "NroUF"), "Id_Consorcio", "NroUF", "Id_Persona",
+       "Id_TipoRelacion", DATE '2025-06-17', NULL
+FROM fresh, top"""
+    sql["o26_import_encrypted_links"] = sql["o04_import_links"]
+
+    sql["o05_import_payments"] = """
+SELECT o_orderkey AS "Id_Pago", 1 AS "Id_Forma_De_Pago",
+       CASE WHEN o_orderkey % 5 = 0 OR o_orderkey % 9 <> 0 THEN CAST(o_orderdate AS DATE) END AS "Fecha",
+       CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 8 = 0 THEN 'elsewhere'
+            ELSE lpad(CAST(o_custkey AS VARCHAR), 22, '0') END AS "Cuenta_Origen",
+       CAST(o_totalprice AS DECIMAL(18,2)) AS "Importe",
+       o_orderkey % 5 = 0 OR o_orderkey % 8 <> 0 AS "Es_Pago_Asociado", FALSE AS "Procesado"
+FROM orders WHERE o_orderkey % 5 = 0 OR o_orderkey % 21 <> 0"""
+    sql["o27_import_encrypted_payments"] = (
+        f"""SELECT *, sha256('generated-data' || "Cuenta_Origen") AS cuenta_bidx FROM ({sql["o05_import_payments"]})"""
+    )
+
+    sql["o06_import_suppliers"] = """
+WITH old AS (SELECT s_suppkey + 1 AS id, * FROM supplier WHERE s_suppkey % 2 = 0),
+fresh AS (SELECT *, TRUE AS given FROM supplier WHERE s_suppkey % 9 <> 0 AND s_suppkey % 7 <> 0),
+top AS (SELECT max(id) AS last FROM old),
+merged AS (
+  SELECT o.id, s.s_nationkey, s.s_name, f.given, s.s_suppkey
+  FROM supplier s LEFT JOIN old o ON o.s_suppkey = s.s_suppkey LEFT JOIN fresh f ON f.s_suppkey = s.s_suppkey
+  WHERE o.id IS NOT NULL OR f.given)
+SELECT coalesce(id, last + row_number() OVER (PARTITION BY id IS NULL ORDER BY s_nationkey, s_name)) AS "Id_Proveedor",
+       s_nationkey AS "Id_Consorcio", s_name AS "Nombre_Gasto",
+       CASE WHEN given THEN 'Tipo ' || s_suppkey % 5 ELSE 'OLD' END AS "Descripcion",
+       CASE WHEN given THEN CAST(s_suppkey AS VARCHAR) ELSE 'OLD' END AS "Cuenta"
+FROM merged, top"""
+
+    sql["o07_import_expenses"] = """
+WITH kinds AS (
+  SELECT unnest([1, 2, 3, 4, 5, 6, 7]) AS line, unnest([1, 2, 3, 4, 5, 6, 6]) AS kind,
+         unnest(['BANCARIOS', 'LIMPIEZA', 'ADMINISTRACION', 'SEGUROS', 'GASTOS GENERALES', 'SERVICIOS PUBLICOS-Agua',
+                 'SERVICIOS PUBLICOS-Luz']) AS name),
+cells AS (
+  SELECT s_nationkey AS building, kind, make_date(2025, CAST(month(l_shipdate) AS INTEGER), 1) AS day, name,
+         sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS amount
+  FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN kinds ON line = l_linenumber
+  WHERE month(l_shipdate) <> 12 GROUP BY ALL),
+old AS (
+  SELECT s_nationkey + 1 AS id, s_nationkey AS building, 1 AS kind, DATE '2025-01-01' AS day, 'BANCARIOS' AS name,
+         count(*) AS n
+  FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY s_nationkey),
+merged AS (
+  SELECT id, building, kind, day, name, coalesce(amount, CAST(n AS DECIMAL(18,2))) AS amount
+  FROM old FULL JOIN cells USING (building, kind, day, name)),
+top AS (SELECT max(id) AS last FROM old)
+SELECT coalesce(id, last + row_number() OVER (PARTITION BY id IS NULL ORDER BY building, kind, day, name)) AS "Id_gasto",
+       building AS "Id_Consorcio", kind AS "Id_Tipo_Gasto", day AS "Fecha", CAST(amount AS DECIMAL(18,2)) AS "Importe_Total",
+       name AS "Descripcion"
+FROM merged, top"""
+
+    sql["o08_keyed_upsert"] = """
+SELECT o_orderkey AS "Id_Pago", 1 AS "Id_Forma_De_Pago", CAST(o_orderdate AS DATE) AS "Fecha",
+       lpad(CAST(o_custkey AS VARCHAR), 22, '0') AS "Cuenta_Origen",
+       CAST(CAST(o_totalprice AS DECIMAL(18,2)) * CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END AS DECIMAL(18,2)) AS "Importe",
+       TRUE AS "Es_Pago_Asociado", CASE WHEN o_orderkey % 2 = 0 THEN FALSE END AS "Procesado"
+FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0"""
+    return sql
+
+
+def _privacy_queries(sql: dict[str, str]) -> dict[str, str]:
+    return {
+        "o23_encrypt_persons": f"""
+SELECT *, sha256('generated-data' || "DNI") AS dni_bidx, sha256('generated-data' || "Cbu_Cvu") AS cbu_bidx, TRUE AS cifrado
+FROM (SELECT {_PERSON} FROM customer)""",
+        "o24_match_encrypted_accounts": """
+SELECT o_orderkey AS "Id_Pago", o_custkey AS "Id_Persona", lpad(CAST(o_custkey AS VARCHAR), 22, '0') AS "Cuenta_Origen"
+FROM orders""",
+    }
+
+
+def _other_queries() -> dict[str, str]:
+    decided = """
+WITH units AS (
+  SELECT c_nationkey AS b, CAST(c_custkey AS VARCHAR) AS u, CAST(c_custkey % 10 AS VARCHAR) AS f, c_mktsegment[1:5] AS d, *
+  FROM customer),
+changes AS (
+  SELECT c_custkey AS k, c_custkey * 2 + n AS ordinal, c_nationkey AS b,
+         CASE WHEN c_custkey % 31 = 0 THEN 'none' ELSE CAST(c_custkey AS VARCHAR) END AS u,
+         CASE WHEN c_custkey % 29 = 0 THEN '' WHEN n = 0 THEN 'N' || c_custkey % 40 ELSE CAST(c_custkey % 10 AS VARCHAR) END AS f,
+         CASE WHEN c_custkey % 23 = 0 THEN '' WHEN n = 0 THEN 'D1' ELSE c_mktsegment[1:5] END AS d,
+         CASE WHEN c_custkey % 19 = 0 THEN 0 WHEN c_custkey % 17 <> 0 THEN 2 END AS coef,
+         CASE WHEN c_custkey % 13 = 0 THEN -1 ELSE c_custkey % 90 + 1 END AS area,
+         coalesce(CASE WHEN c_custkey % 3 <> 0 THEN c_custkey % 2 = 0 END, FALSE) AS storage
+  FROM customer, (VALUES (0), (1)) t(n)),
+spots AS (SELECT b, f, d, min(u) AS lo, max(u) AS hi FROM units GROUP BY ALL),
+checked AS (
+  SELECT c.*, CASE
+    WHEN NOT EXISTS (SELECT 1 FROM units u WHERE u.b = c.b AND u.u = c.u) THEN 'unit does not exist'
+    WHEN c.f = '' OR c.d = '' THEN 'floor or department empty'
+    WHEN s.lo <> c.u OR s.hi <> c.u THEN 'floor and department belong to another unit'
+    WHEN c.coef <= 0 THEN 'coefficient not positive' WHEN c.area <= 0 THEN 'area not positive' END AS reason
+  FROM changes c LEFT JOIN spots s ON s.b = c.b AND s.f = c.f AND s.d = c.d),
+claims AS (
+  SELECT b, f, d, min(ordinal) AS ordinal, arg_min(u, ordinal) AS u FROM checked WHERE reason IS NULL GROUP BY ALL),
+decided AS (
+  SELECT c.* EXCLUDE (reason), CASE
+    WHEN c.reason NOT IN ('coefficient not positive', 'area not positive') THEN c.reason
+    WHEN m.ordinal < c.ordinal AND m.u <> c.u THEN 'floor and department belong to another unit'
+    ELSE c.reason END AS reason
+  FROM checked c LEFT JOIN claims m ON m.b = c.b AND m.f = c.f AND m.d = c.d)
+"""
+    length = [
+        ("negocio.Consorcio", "Nombre"), ("negocio.Consorcio", "Domicilio"), ("gastos.Tipo_Gasto_Ordinario", "Nombre"),
+        ("pagos.Forma_De_Pago", "Nombre"), ("pagos.Pago", "Cuenta_Origen"), ("unidades.Persona", "DNI"),
+        ("unidades.Persona", "Nombre"), ("unidades.Persona", "Apellido"), ("unidades.Persona", "Email"),
+        ("unidades.Persona", "Telefono"), ("unidades.Persona", "Cbu_Cvu"), ("unidades.Unidad_Funcional", "NroUF"),
+        ("unidades.Unidad_Persona", "NroUF"),
+    ]
+    key = [
+        ("negocio.Consorcio", "Id_Consorcio"), ("gastos.Tipo_Gasto_Ordinario", "Id_Tipo_Gasto"),
+        ("pagos.Forma_De_Pago", "Id_Forma_De_Pago"), ("pagos.Pago", "Id_Pago"), ("unidades.Persona", "Id_Persona"),
+        ("unidades.Unidad_Funcional", "Id_Consorcio, NroUF"), ("unidades.Unidad_Persona", "ID_U_P"),
+    ]
+    satisfied = [(t, "LENGTH", c) for t, c in length] + [(t, "PRIMARY KEY", c) for t, c in key] + [
+        ("unidades.Persona", "NOT NULL", "DNI"), ("unidades.Persona", "NOT NULL", "Cbu_Cvu"),
+        ("unidades.Unidad_Persona", "NOT NULL", "Id_Consorcio"),
+        ("unidades.Unidad_Persona", "FOREIGN KEY unidades.Persona", "Id_Persona"),
+        ("unidades.Unidad_Funcional", "FOREIGN KEY negocio.Consorcio", "Id_Consorcio"),
+    ]
+    counted = {
+        ("gastos.Gasto_Ordinario", "PRIMARY KEY", "Id_gasto"):
+            "SELECT count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey * 10 + l_linenumber HAVING count(*) > 1)",
+        ("gastos.Gasto_Ordinario", "FOREIGN KEY negocio.Consorcio", "Id_Consorcio"):
+            "SELECT count(*) FROM lineitem WHERE l_suppkey % 30 NOT IN (SELECT n_nationkey FROM nation)",
+        ("gastos.Gasto_Ordinario", "FOREIGN KEY gastos.Tipo_Gasto_Ordinario", "Id_Tipo_Gasto"):
+            "SELECT count(*) FROM lineitem WHERE l_linenumber + 1 > 6",
+        ("pagos.Pago", "FOREIGN KEY pagos.Forma_De_Pago", "Id_Forma_De_Pago"):
+            "SELECT count(*) FROM orders WHERE o_orderkey % 5 NOT BETWEEN 1 AND 3",
+        ("pagos.Pago", "NOT NULL", "Cuenta_Origen"): "SELECT count(*) FROM orders WHERE o_orderkey % 17 = 0",
+        ("unidades.Unidad_Funcional", "LENGTH", "Departamento"):
+            "SELECT count(*) FROM customer WHERE length(c_mktsegment) > 5",
+        ("unidades.Unidad_Persona", "FOREIGN KEY unidades.Unidad_Funcional", "Id_Consorcio, NroUF"):
+            "SELECT count(*) FROM customer WHERE c_custkey % 11 = 0 AND c_nationkey <> 7",
+    }
+    checks = [f"SELECT '{t}', '{r}', '{c}', CAST(0 AS BIGINT)" for t, r, c in satisfied]
+    checks += [f"SELECT '{t}', '{r}', '{c}', CAST(({q}) AS BIGINT)" for (t, r, c), q in counted.items()]
+    return {
+        "o29_change_units": decided
+        + """, last AS (
+  SELECT b, u, arg_max({'f': f, 'd': d, 'coef': coef, 'area': area, 'storage': storage}, ordinal) AS new
+  FROM decided WHERE reason IS NULL GROUP BY ALL)
+SELECT units.b AS "Id_Consorcio", units.u AS "NroUF",
+       CASE WHEN new IS NULL THEN units.f ELSE new.f END AS "Piso",
+       CASE WHEN new IS NULL THEN units.d ELSE new.d END AS "Departamento",
+       CASE WHEN new IS NULL THEN CAST(round(100.0 / count(*) OVER (PARTITION BY units.b), 2) AS DECIMAL(5,2))
+            ELSE CAST(new.coef AS DECIMAL(5,2)) END AS "Coeficiente",
+       CAST(CASE WHEN new IS NULL THEN c_custkey % 90 + 30 ELSE new.area END AS SMALLINT) AS "M2_UF",
+       CASE WHEN new IS NULL THEN c_custkey % 3 = 0 ELSE new.storage END AS "Baulera",
+       c_custkey % 2 = 0 AS "Cochera",
+       CAST(CASE WHEN new IS NULL THEN c_custkey % 3 ELSE 1 END AS SMALLINT) AS "M2_Baulera",
+       CAST(CASE WHEN new IS NULL THEN c_custkey % 2 END AS SMALLINT) AS "M2_Cochera"
+FROM units LEFT JOIN last ON last.b = units.b AND last.u = units.u""",
+        "o29_rejected_changes": decided + "SELECT ordinal, reason FROM decided WHERE reason IS NOT NULL",
+        "o30_integrity_checks": "SELECT * FROM (" + " UNION ALL ".join(checks) + ") t(tabla, regla, columnas, filas)",
+        "o31_seed_tables": """
+WITH kinds AS (
+  SELECT unnest([1, 2, 3, 4, 5, 6]) AS kind,
+         unnest(['BANCARIOS', 'LIMPIEZA', 'ADMINISTRACION', 'SEGUROS', 'GASTOS GENERALES', 'SERVICIOS PUBLICOS']) AS name),
+booked AS (
+  SELECT l_linenumber % 6 + 1 AS kind, count(*) AS n, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS amount
+  FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_returnflag <> 'R' GROUP BY ALL)
+SELECT kind AS "Id_Tipo_Gasto", name AS "Nombre", n AS gastos, CAST(amount AS DECIMAL(18,2)) AS importe
+FROM kinds LEFT JOIN booked USING (kind)""",
+    }

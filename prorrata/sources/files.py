@@ -86,7 +86,9 @@ def top_months_xml(spent: DataFrame, earned: DataFrame) -> DataFrame:
     both = listed(spent, "FilaGasto", ["Mes", "Anio", "TotalGasto", "TiposIncluidos"]).join(
         listed(earned, "FilaIngreso", ["Mes", "Anio", "TotalIngreso"]), keys, "full"
     )
-    document = F.struct(
-        F.struct("FilaGasto").alias("TopGastos"), F.struct("FilaIngreso").alias("TopIngresos")
-    )
+
+    def section(rows: str, name: str) -> Column:
+        return F.when(F.col(rows).isNotNull(), F.struct(rows)).alias(name)
+
+    document = F.struct(section("FilaGasto", "TopGastos"), section("FilaIngreso", "TopIngresos"))
     return both.select(*keys, F.to_xml(document, {"rowTag": "ReporteTopMesesIngresosGastos"}).alias("xml"))
