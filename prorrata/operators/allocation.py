@@ -6,7 +6,7 @@ import datetime as dt
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from prorrata.functions.dates import from_month_index, month_index
 from prorrata.functions.money import from_cents, to_cents
@@ -77,9 +77,9 @@ def mark_processed(
 
 
 def _rows(df: DataFrame, kind: int, **values: Column) -> DataFrame:
-    """Any of the tables in the one row format that a unit's run takes."""
+    """Any of the tables in the one row format that a unit's run takes; unused columns are 0."""
     types = {"month": "int", "day": "int", "id": "bigint", "block": "int", **{c: "bigint" for c in L.AMOUNTS}}
-    columns = [values.get(name, F.lit(None)).cast(kind_).alias(name) for name, kind_ in types.items()]
+    columns = [values.get(name, F.lit(0)).cast(kind_).alias(name) for name, kind_ in types.items()]
     return df.select(*UNIT_KEY, F.lit(kind).alias("kind"), *columns)
 
 
@@ -117,7 +117,14 @@ def payment_rows(resolved: DataFrame) -> DataFrame:
 
 
 def _run(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(*UNIT_KEY).applyInArrow(L.run_unit, _RUN_SCHEMA)
+    """Run every unit: one shuffle by unit, and whole batches, not single units, cross into Python.
+
+    Numbering the rows of each unit makes Spark gather and sort them by unit,
+    and that is what the ledger relies on. (A plain repartition is only a hint:
+    it can be dropped where the input seems to be partitioned already.)
+    """
+    in_order = W.partitionBy(*UNIT_KEY).orderBy("month", "kind", "day", "id")
+    return rows.withColumn("position", F.row_number().over(in_order)).mapInArrow(L.run_units, _RUN_SCHEMA)
 
 
 def _of_kind(df: DataFrame, kind: int) -> DataFrame:

@@ -81,7 +81,10 @@ def unit_shares(headers: DataFrame, units: DataFrame, condominiums: DataFrame) -
     """Unrounded share of every unit in its building's settlements."""
     prices = condominiums.select("Id_Consorcio", "Precio_Cochera", "Precio_Baulera")
     month = headers.select(*SETTLEMENT_KEY, "Total_Gasto_Ordinarios", "Total_Gasto_Extraordinarios")
-    month = month.join(prices, "Id_Consorcio")
+    # Few headers become very many bills: spread them evenly before, so that neither small
+    # input nor one large building ends up in few tasks.
+    spread = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    month = month.join(prices, "Id_Consorcio").repartition(spread)
 
     def by_coefficient(total: str) -> Column:
         return F.col(total) * F.col("Coeficiente") / F.lit(100)

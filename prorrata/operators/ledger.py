@@ -9,6 +9,7 @@ when a bill is issued. NULL amounts stay None.
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 from itertools import accumulate
 
 import pyarrow as pa
@@ -21,14 +22,18 @@ STATE, DETAIL, ASSIGNMENT, PENDING = 5, 6, 7, 8
 
 AMOUNTS = [f"c{i}" for i in range(1, 8)]
 
+# Rows after which finished units are handed back to Spark.
+BATCH_ROWS = 20_000
+
 # A balance of one cent or less counts as paid.
 SMALLEST_DEBT = 1
 
 
 def rounded(value: int, unit: int) -> int:
     """value / unit to the nearest integer, ties away from zero."""
-    half = (2 * abs(value) + unit) // (2 * unit)
-    return half if value >= 0 else -half
+    if value >= 0:
+        return (2 * value + unit) // (2 * unit)
+    return -((unit - 2 * value) // (2 * unit))
 
 
 class Ledger:
@@ -41,6 +46,7 @@ class Ledger:
         self.ordinary: list = []
         self.extraordinary: list = []
         self.total: list = []
+        self.own: list = []  # ordinary plus extraordinary
         self._search_from = 0
         self._dirty: int | None = None
         self._untouched = True  # no payment yet in the current step
@@ -49,12 +55,15 @@ class Ledger:
         return [self.carried, self.paid, self.debt, self.interest, self.ordinary, self.extraordinary, self.total]
 
     def insert(self, month: int, amounts: list) -> None:
-        at = bisect_left(self.months, month)
-        if at < len(self.months) and self.months[at] == month:
+        months = self.months
+        at = len(months) if not months or months[-1] < month else bisect_left(months, month)
+        if at < len(months) and months[at] == month:
             raise ValueError(f"two bills of one unit for month {month // 12}-{month % 12 + 1:02d}")
-        self.months.insert(at, month)
+        months.insert(at, month)
         for column, amount in zip(self.columns(), amounts):
             column.insert(at, amount)
+        ordinary, extraordinary = amounts[4], amounts[5]
+        self.own.insert(at, None if ordinary is None or extraordinary is None else ordinary + extraordinary)
 
     def issue(self, month: int, ordinary: int | None, extraordinary: int | None) -> None:
         """Bill of *month* from unrounded shares plus the balance of the month before."""
@@ -86,33 +95,41 @@ class Ledger:
         self._search_from = i
         return i if i < count else None
 
-    def _hundredths(self, i: int) -> int | None:
-        """Total of bill i > 0 before rounding, in hundredths of a cent."""
-        carry, ordinary, extraordinary = self.carried[i], self.ordinary[i], self.extraordinary[i]
-        if carry is None or ordinary is None or extraordinary is None:
-            return None
-        return 100 * (carry + ordinary + extraordinary) + (5 * carry if carry > 0 else 0)
-
     def _carry_out(self, i: int) -> int | None:
         total, paid = self.total[i], self.paid[i]
         if i == 0:
             return None if total is None or paid is None else total - paid
-        exact = self._hundredths(i)
-        return None if exact is None or paid is None else rounded(exact - 100 * paid, 100)
+        carry, own = self.carried[i], self.own[i]
+        if carry is None or own is None or paid is None:
+            return None
+        return rounded(100 * (carry + own - paid) + (5 * carry if carry > 0 else 0), 100)
 
     def recalculate(self, changed: int, everything: bool = False) -> None:
-        """Carry balances forward from bill *changed* to the last one."""
+        """Carry balances forward from bill *changed* to the last one.
+
+        The total and the balance passed on are each rounded from the exact
+        value, which is kept here in hundredths of a cent.
+        """
+        carried, paid, debt, interest, own, total = (
+            self.carried, self.paid, self.debt, self.interest, self.own, self.total
+        )
         carry = self._carry_out(changed)
-        for i in range(changed + 1, len(self.months)):
-            if not everything and self.carried[i] == carry:
+        for i in range(changed + 1, len(carried)):
+            if not everything and carried[i] == carry:
                 return
-            self.carried[i] = carry
-            owed = carry is not None and carry > 0
-            self.interest[i] = rounded(carry * 5, 100) if owed else 0
-            self.debt[i] = carry if owed else 0
-            exact = self._hundredths(i)
-            self.total[i] = None if exact is None else rounded(exact, 100)
-            carry = self._carry_out(i)
+            carried[i] = carry
+            late = 0
+            if carry is not None and carry > 0:
+                late = 5 * carry
+                interest[i], debt[i] = (late + 50) // 100, carry
+            else:
+                interest[i] = debt[i] = 0
+            if carry is None or own[i] is None:
+                total[i] = carry = None
+                continue
+            exact = 100 * (carry + own[i]) + late
+            total[i] = rounded(exact, 100)
+            carry = None if paid[i] is None else rounded(exact - 100 * paid[i], 100)
 
     def settle(self) -> None:
         if self._dirty is not None:
@@ -196,9 +213,11 @@ class Ledger:
 
 
 class Output:
-    """Result rows of one unit, column by column."""
+    """Result rows, column by column, of the units worked through so far."""
 
     def __init__(self) -> None:
+        self.building: list[int] = []
+        self.unit: list[str] = []
         self.kind: list[int] = []
         self.month: list[int] = []
         self.id: list = []
@@ -238,17 +257,24 @@ class Output:
             column.append(None)
 
     def bills(self, ledger: Ledger, kind: int) -> None:
-        for i, month in enumerate(ledger.months):
-            self._row(kind, month)
+        size = len(ledger.months)
+        self.kind += [kind] * size
+        self.month += ledger.months
+        for column in (self.id, self.sequence, self.income, self.block):
+            column += [None] * size
         for column, values in zip(self.amounts, ledger.columns()):
             column.extend(values)
 
-    def table(self, building: int, unit: str) -> pa.Table:
-        size = len(self.kind)
-        return pa.table(
+    def end_unit(self, building: int, unit: str) -> None:
+        size = len(self.kind) - len(self.building)
+        self.building += [building] * size
+        self.unit += [unit] * size
+
+    def batch(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
             [
-                pa.array([building] * size, pa.int32()),
-                pa.array([unit] * size, pa.string()),
+                pa.array(self.building, pa.int32()),
+                pa.array(self.unit, pa.string()),
                 pa.array(self.kind, pa.int32()),
                 pa.array(self.month, pa.int32()),
                 pa.array(self.id, pa.int64()),
@@ -261,7 +287,44 @@ class Output:
         )
 
 
-def run_unit(table: pa.Table) -> pa.Table:
+def _values(column: pa.Array) -> list:
+    if column.null_count or pa.types.is_string(column.type):
+        return column.to_pylist()
+    return column.to_numpy().tolist()  # much faster than value by value
+
+
+def run_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Work through a partition sorted by unit and month, one unit at a time."""
+    current, rows, out = None, {}, Output()
+    for batch in batches:
+        columns = {name: _values(batch.column(name)) for name in batch.schema.names}
+        buildings, units = columns["Id_Consorcio"], columns["NroUF"]
+        start, count = 0, batch.num_rows
+        while start < count:
+            unit = (buildings[start], units[start])
+            end = start + 1
+            while end < count and units[end] == unit[1] and buildings[end] == unit[0]:
+                end += 1
+            part = {name: values[start:end] for name, values in columns.items()}
+            if unit == current:
+                for name, values in part.items():
+                    rows[name] += values
+            else:
+                if current is not None:
+                    run_unit(rows, out)
+                    out.end_unit(*current)
+                    if len(out.kind) >= BATCH_ROWS:
+                        yield out.batch()
+                        out = Output()
+                current, rows = unit, part
+            start = end
+    if current is not None:
+        run_unit(rows, out)
+        out.end_unit(*current)
+        yield out.batch()
+
+
+def run_unit(rows: dict[str, list], out: Output) -> None:
     """Work one unit through its steps.
 
     A step optionally issues a bill and then applies the payments up to its
@@ -270,13 +333,11 @@ def run_unit(table: pa.Table) -> pa.Table:
     which block it needs, when a sum is not enough; it resumes there when it is
     given the state it had and that block's rows.
     """
-    rows = table.to_pydict()
-    building, unit = rows["Id_Consorcio"][0], rows["NroUF"][0]
-    ledger, out = Ledger(), Output()
+    ledger = Ledger()
     steps, sums, payments, resume = [], {}, {}, (0, None)
-    amounts = [rows[name] for name in AMOUNTS]
-    for i, kind in enumerate(rows["kind"]):
-        month, block = rows["month"][i], rows["block"][i]
+    months, amounts = rows["month"], [rows[name] for name in AMOUNTS]
+    kinds = rows["kind"]
+    for i, (kind, month, block) in enumerate(zip(kinds, months, rows["block"])):
         if kind == BILL:
             ledger.insert(month, [column[i] for column in amounts])
         elif kind == STEP:
@@ -312,9 +373,8 @@ def run_unit(table: pa.Table) -> pa.Table:
                     ledger.settle()
                     out.bills(ledger, STATE)
                     out.pending(block[0], block[1], number)
-                    return out.table(building, unit)
+                    return
                 out.assignment(assigned[0], block[0], block[1], assigned[1])
             next_block += 1
     ledger.settle()
     out.bills(ledger, BILL)
-    return out.table(building, unit)

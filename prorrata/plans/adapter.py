@@ -56,7 +56,9 @@ class Domain:
         customers = self.table("customer").select("c_custkey", "c_nationkey", "c_mktsegment")
         sizes = customers.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("unidades"))
         key = F.col("c_custkey")
-        return customers.join(sizes, "c_nationkey").select(
+        # One generated file is one task; spread it before it grows to a row per month.
+        spread = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return customers.join(sizes, "c_nationkey").repartition(spread, "c_custkey").select(
             F.col("c_nationkey").alias("Id_Consorcio"),
             key.cast("string").alias("NroUF"),
             (key % 10).cast("string").alias("Piso"),

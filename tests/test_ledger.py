@@ -123,7 +123,8 @@ def test_cycle_of_one_unit_equals_the_literal_rules(seed):
         dict(kind=L.PAYMENT, month=m, day=m * 31 + d, id=n, block=0, c1=int(a * 100)) for m, d, n, a in payments
     ]
     rng.shuffle(data)
-    assert result(L.run_unit(input_table(data))) == expected(model, details)
+    batches = input_table(data).to_batches(max_chunksize=7)
+    assert result(pa.Table.from_batches(L.run_units(iter(batches)))) == expected(model, details)
 
 
 UNIT_MONTHS = [dt.date(2025, 4, 1), dt.date(2025, 5, 1), dt.date(2025, 6, 1)]
@@ -194,7 +195,7 @@ def test_edges_of_allocation(spark):
     ]
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_hot_units_give_the_same_result_in_blocks(spark, seed):
     """Forcing the block path must not change a single row."""
     rng = random.Random(seed)
