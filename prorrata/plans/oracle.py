@@ -274,6 +274,7 @@ FROM listed"""
     sql.update(_import_queries())
     sql.update(_privacy_queries(sql))
     sql.update(_other_queries())
+    sql.update(_allocation_queries())
     return sql
 
 
@@ -533,3 +534,105 @@ booked AS (
 SELECT kind AS "Id_Tipo_Gasto", name AS "Nombre", n AS gastos, CAST(amount AS DECIMAL(18,2)) AS importe
 FROM kinds LEFT JOIN booked USING (kind)""",
     }
+
+
+# One bill inside the recursion: own share, paid, carried, interest, debt, total (cents).
+_EXACT = "(100 * (a.carry + b.bill.g) + CASE WHEN a.carry > 0 THEN 5 * a.carry ELSE 0 END)"
+
+
+def _cents_away(expression: str) -> str:
+    return f"CAST(sign({expression}) * ((2 * abs({expression}) + 100) // 200) AS BIGINT)"
+
+
+_RECALCULATED = f"""list_reduce(
+    list_transform(paid, lambda x: {{'carry': x.t - x.p, 'done': [x], 'bill': x}}),
+    lambda a, b: {{
+      'carry': {_cents_away(f"({_EXACT} - 100 * b.bill.p)")},
+      'done': list_append(a.done, {{
+        'month': b.bill.month, 'o': b.bill.o, 'x': b.bill.x, 'g': b.bill.g, 'p': b.bill.p, 'c': a.carry,
+        'i': CASE WHEN a.carry > 0 THEN (10 * a.carry + 100) // 200 ELSE 0 END, 'd': greatest(a.carry, 0),
+        't': {_cents_away(_EXACT)}}}),
+      'bill': b.bill}}).done"""
+
+_BILL_TYPE = "STRUCT(month DATE, o BIGINT, x BIGINT, g BIGINT, p BIGINT, c BIGINT, i BIGINT, d BIGINT, t BIGINT)[]"
+
+
+def _ledger_sql(initial: str, events: str, *before: str) -> str:
+    """Payments applied one bill at a time; every recursion step is one event or one application.
+
+    *initial* gives building, unit, bills; *events* building, unit, n (from 1)
+    and either cents and id of a payment or month, ord6 and ext6 of a bill.
+    """
+    rest = "coalesce(CASE WHEN bills[-1].month = (month - INTERVAL 1 MONTH)::DATE THEN bills[-1].t - bills[-1].p END, 0)"
+    return _with(
+        *before,
+        f"events AS ({events})",
+        f"""run AS (
+  SELECT building, unit, 0::BIGINT AS n, 0::BIGINT AS remaining, 0::BIGINT AS id, 0 AS sequence, 0::BIGINT AS used,
+         NULL::DATE AS target, 0 AS kind, bills::{_BILL_TYPE} AS bills
+  FROM ({initial})
+  UNION ALL
+  SELECT building, unit, n, CASE WHEN len(bills) = 0 THEN 0 ELSE remaining - used END, id, sequence, used,
+         bills[k].month, kind,
+         CASE WHEN issue THEN list_append(bills, {{
+                'month': month, 'o': (ord6 + 5000) // 10000, 'x': (ext6 + 5000) // 10000,
+                'g': (ord6 + 5000) // 10000 + (ext6 + 5000) // 10000, 'p': 0, 'c': {rest},
+                'i': {_cents_away(f"({rest} * 5)")}, 'd': {rest},
+                't': CAST(sign({rest} * 10500 + ord6 + ext6)
+                     * ((2 * abs({rest} * 10500 + ord6 + ext6) + 10000) // 20000) AS BIGINT)}})
+              WHEN len(bills) = 0 OR used < remaining THEN paid
+              ELSE {_RECALCULATED} END::{_BILL_TYPE}
+  FROM (
+    SELECT *, list_transform(bills, lambda y, j: {{
+             'month': y.month, 'o': y.o, 'x': y.x, 'g': y.g, 'p': y.p + CASE WHEN j = k THEN used ELSE 0 END, 'c': y.c,
+             'i': y.i, 'd': y.d, 't': y.t}}) AS paid
+    FROM (
+      SELECT *, coalesce(open, len(bills)) AS k, CASE WHEN open IS NULL THEN 3 ELSE 1 END AS kind,
+             CASE WHEN issue OR len(bills) = 0 THEN 0 WHEN open IS NULL THEN remaining
+                  ELSE least(remaining, bills[open].t - bills[open].p) END AS used
+      FROM (
+        SELECT r.building, r.unit, e.n, r.remaining = 0 AND e.cents IS NULL AS issue, r.bills,
+               CASE WHEN r.remaining = 0 THEN coalesce(e.cents, 0) ELSE r.remaining END AS remaining,
+               e.id, CASE WHEN r.remaining = 0 THEN 1 ELSE r.sequence + 1 END AS sequence, e.month, e.ord6, e.ext6,
+               nullif(list_position(list_transform(r.bills, lambda z: z.t - z.p > 1), TRUE), 0) AS open
+        FROM run r JOIN events e ON e.building = r.building AND e.unit = r.unit
+             AND e.n = CASE WHEN r.remaining = 0 THEN r.n + 1 ELSE r.n END))))""",
+    )
+
+
+_DETAILS = f"""SELECT id AS "Id_Pago", sequence AS "Secuencia", building AS "Id_Consorcio", unit AS "NroUF",
+       target AS "Periodo", kind AS "Id_Tipo_Ingreso", {_money("used")} AS "Importe_Usado"
+FROM run WHERE used > 0"""
+
+_FINAL_BILLS = f"""SELECT building AS "Id_Consorcio", unit AS "NroUF", b.month AS "Periodo", {_money("b.c")} AS "Saldo_Anterior",
+       {_money("b.p")} AS "Pagos_Recibidos_Mes", {_money("b.d")} AS "Deuda", {_money("b.i")} AS "Interes_Por_Mora",
+       {_money("b.o")} AS "Importe_Ordinario_Prorrateado", {_money("b.x")} AS "Importe_Extraordinario_Prorrateado",
+       {_money("b.t")} AS "Total_A_Pagar"
+FROM (SELECT building, unit, unnest(arg_max(bills, (n, sequence))) AS b FROM run GROUP BY building, unit)"""
+
+
+def _allocation_queries() -> dict[str, str]:
+    given = _ledger_sql(
+        """SELECT building, unit, list({'month': month, 'o': ord::BIGINT, 'x': ext::BIGINT, 'g': (ord + ext)::BIGINT,
+             'p': 0::BIGINT, 'c': 0::BIGINT, 'i': 0::BIGINT, 'd': 0::BIGINT, 't': total::BIGINT} ORDER BY month) AS bills
+           FROM bills GROUP BY building, unit""",
+        """SELECT building, unit, id, cents::BIGINT AS cents, NULL::DATE AS month, NULL::BIGINT AS ord6, NULL::BIGINT AS ext6,
+             row_number() OVER (PARTITION BY building, unit ORDER BY day, id) AS n FROM payments""",
+        *REPORT_BASE,
+    )
+    closing = _ledger_sql(
+        f"SELECT building, unit, []::{_BILL_TYPE} AS bills FROM units",
+        """SELECT *, row_number() OVER (PARTITION BY building, unit ORDER BY month, cents IS NOT NULL, day, id) AS n
+           FROM (SELECT building, unit, id, cents::BIGINT AS cents, month, day, NULL::BIGINT AS ord6, NULL::BIGINT AS ext6
+                 FROM payments
+                 UNION ALL
+                 SELECT building, unit, NULL, NULL, month, month, ord6::BIGINT, ext6::BIGINT FROM shares)""",
+        *REPORT_BASE,
+    )
+    return {
+        "o13_allocate_payments": given + _DETAILS,
+        "o13_allocated_bills": given + _FINAL_BILLS,
+        "o14_close_months": closing + _FINAL_BILLS,
+        "o14_close_months_details": closing + _DETAILS,
+        "o28_allocate_encrypted_payments": given + _DETAILS,
+    }
