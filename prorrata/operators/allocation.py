@@ -12,10 +12,10 @@ from prorrata.functions.dates import from_month_index, month_index
 from prorrata.functions.money import from_cents, to_cents
 from prorrata.operators import ledger as L
 from prorrata.schemas import BILL, BILL_KEY, PAYMENT_DETAIL, UNIT_KEY
-from prorrata.sources.workarea import written
+from prorrata.sources.workarea import checkpointed, written
 
 # Most payments of one unit that a single Python call takes as rows.
-GROUP_LIMIT = 1_000_000
+GROUP_LIMIT = 250_000
 
 _RUN_SCHEMA = (
     "Id_Consorcio int, NroUF string, kind int, month int, id bigint, sequence int, income int, block int, "
@@ -63,6 +63,16 @@ def resolve_payments(
     )
 
 
+def count_by_unit(
+    payments: DataFrame, accounts: DataFrame, cutoff: dt.date, account: str = "Cuenta_Origen"
+) -> DataFrame:
+    """Pending payments per unit, counted per account before the accounts are looked up."""
+    per_account = payments.filter(_is_pending(cutoff)).groupBy(F.col(account).alias("account")).agg(
+        F.count(F.lit(1)).alias("payments")
+    )
+    return per_account.join(accounts, "account").groupBy(*UNIT_KEY).agg(F.sum("payments").alias("payments"))
+
+
 def mark_processed(
     payments: DataFrame, accounts: DataFrame, cutoff: dt.date | Column, account: str = "Cuenta_Origen"
 ) -> DataFrame:
@@ -140,22 +150,22 @@ def run_ledgers(
     steps: DataFrame | None,
     resolved: DataFrame,
     group_limit: int = GROUP_LIMIT,
+    counts: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """All units' bills and payment details after working through *steps*.
 
     One shuffle by unit. Units with more than *group_limit* payments never
-    reach one task whole, see `_run_hot_units`.
+    reach one task whole, see `_run_hot_units`. *counts* (unit, payments) may
+    be given where it is cheaper to get than from *resolved*.
     """
     payments = payment_rows(resolved)
     fixed = bill_rows(bills)
     if steps is not None:
         fixed = fixed.unionByName(step_rows(steps))
-    hot = (
-        resolved.groupBy(*UNIT_KEY)
-        .agg(F.count(F.lit(1)).alias("payments"))
-        .filter(F.col("payments") > group_limit)
-        .checkpoint()  # at most one row per group_limit payments
-    )
+    if counts is None:
+        counts = resolved.groupBy(*UNIT_KEY).agg(F.count(F.lit(1)).alias("payments"))
+    # At most one row per group_limit payments.
+    hot = checkpointed(counts.filter(F.col("payments") > group_limit))
     hot_payments = hot.agg(F.sum("payments")).first()[0]
     if not hot_payments:
         result = written(_run(fixed.unionByName(payments)), "ledger", ("kind",))
@@ -271,5 +281,6 @@ def allocate_payments(
     """
     accounts = units_of_accounts(persons, links, person_account)
     resolved = resolve_payments(payments, accounts, cutoff, account)
-    new_bills, details = run_ledgers(bills, None, resolved, group_limit)
+    counts = count_by_unit(payments, accounts, cutoff, account)
+    new_bills, details = run_ledgers(bills, None, resolved, group_limit, counts)
     return Allocation(new_bills, details, mark_processed(payments, accounts, cutoff, account))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from prorrata.functions.dates import in_year, week_number, year_month
 from prorrata.functions.money import ZERO, money, proportion
 from prorrata.schemas import BILL_KEY, UNIT_KEY
+from prorrata.sources.workarea import checkpointed
 
 ORDINARY = "Importe_Ordinario_Prorrateado"
 EXTRAORDINARY = "Importe_Extraordinario_Prorrateado"
@@ -102,7 +103,7 @@ def monthly_by_department(
         .agg(money(F.sum("Usado")).alias("Usado"))
     )
     if months is None:
-        cells = cells.checkpoint()  # read twice: for the list of months and for the table
+        cells = checkpointed(cells)  # read twice: for the list of months and for the table
         months = [row.Mes for row in cells.select("Mes").distinct().orderBy("Mes").collect()]
     if not months:
         return cells.select("Id_Consorcio", "Departamento").limit(0)
