@@ -83,6 +83,8 @@ def upsert(
     target has keep their value.
     """
     source = unique_source(source, keys, name)
+    if id_column is not None:
+        source = written(source, "source")  # read for the known rows and for the new ones
     updated = [c for c in source.columns if c not in keys]
     renamed = source.withColumnsRenamed({c: f"_new_{c}" for c in updated}).withColumn("_in_source", F.lit(True))
 

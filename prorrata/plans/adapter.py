@@ -100,11 +100,11 @@ class Domain:
 
     @cached_property
     def second_links(self) -> DataFrame:
-        """Every fifth person also has an open link to the next customer's unit."""
+        """Every person also has an open link to the next customer's unit."""
         key = F.col("c_custkey")
         return (
             self.table("customer")
-            .filter((key % 5 == 1) & (key > 0))
+            .filter(key > 0)
             .select(
                 (key + 1_000_000_000_000).alias("ID_U_P"),
                 F.col("c_nationkey").alias("Id_Consorcio"),
@@ -136,7 +136,7 @@ class Domain:
         )
 
     @cached_property
-    def _expenses(self) -> DataFrame:
+    def expenses(self) -> DataFrame:
         items = self.table("lineitem").select(
             "l_suppkey", "l_linenumber", "l_extendedprice", "l_returnflag", F.col("l_shipdate").cast("date").alias("Fecha")
         )
@@ -145,7 +145,7 @@ class Domain:
 
     @cached_property
     def ordinary(self) -> DataFrame:
-        return self._expenses.filter(F.col("l_returnflag") != "R").select(
+        return self.expenses.filter(F.col("l_returnflag") != "R").select(
             "Id_Consorcio",
             (F.col("l_linenumber") % 6 + 1).alias("Id_Tipo_Gasto"),
             "Fecha",
@@ -154,7 +154,7 @@ class Domain:
 
     @cached_property
     def extraordinary(self) -> DataFrame:
-        return self._expenses.filter(F.col("l_returnflag") == "R").select(
+        return self.expenses.filter(F.col("l_returnflag") == "R").select(
             "Id_Consorcio",
             (F.col("l_linenumber") % 3 + 1).alias("Id_tipo_pago"),
             "Fecha",

@@ -140,7 +140,7 @@ FROM chain"""
 WITH links AS (
   SELECT c_custkey AS person, c_nationkey AS building, CAST(c_custkey AS VARCHAR) AS unit FROM customer
   UNION ALL
-  SELECT c_custkey - 1, c_nationkey, CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey % 5 = 1 AND c_custkey > 0),
+  SELECT c_custkey - 1, c_nationkey, CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey > 0),
 ranked AS (
   SELECT o_orderkey, o_orderdate, o_totalprice, building, unit,
          row_number() OVER (PARTITION BY o_orderkey ORDER BY building, unit) AS place
@@ -290,7 +290,7 @@ def _import_queries() -> dict[str, str]:
     sql["o01_import_condominiums"] = """
 WITH sheet AS (
   SELECT c_custkey AS k, c_name, TRUE AS given FROM customer WHERE c_custkey % 17 <> 0 AND c_custkey % 13 <> 0),
-old AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 2 = 0)
+old AS (SELECT c_custkey AS k FROM customer WHERE c_mktsegment <> 'MACHINERY')
 SELECT CAST(k AS INTEGER) AS "Id_Consorcio",
        CASE WHEN given THEN 1 ELSE 9 END AS "Id_Administracion",
        CASE WHEN given THEN upper(c_name) ELSE 'OLD' END AS "Nombre",
@@ -314,7 +314,7 @@ SELECT building AS "Id_Consorcio", unit AS "NroUF", CASE WHEN given THEN floor E
        CAST(person % 90 + 30 AS SMALLINT) AS "M2_UF", storage AS "Baulera", parking AS "Cochera",
        CAST(CASE WHEN given THEN person % 300 ELSE person % 3 END AS SMALLINT) AS "M2_Baulera",
        CAST(CASE WHEN given THEN person % 20 ELSE person % 2 END AS SMALLINT) AS "M2_Cochera"
-FROM units LEFT JOIN lines USING (person) WHERE given OR person % 2 = 0"""
+FROM units LEFT JOIN lines USING (person) WHERE given OR department <> 'MACHI'"""
     )
 
     sql["o02_rejected_units"] = """
@@ -326,7 +326,7 @@ FROM customer WHERE c_custkey % 19 = 0 OR c_custkey % 17 = 0 OR c_custkey % 23 =
 
     def persons(number: str, extra: str = "") -> str:
         return f"""
-WITH old AS (SELECT {_PERSON} FROM customer WHERE c_custkey % 2 = 0),
+WITH old AS (SELECT {_PERSON} FROM customer WHERE c_mktsegment <> 'MACHINERY'),
 lines AS (
   SELECT o_custkey AS k, min(o_orderkey) AS first FROM orders
   WHERE o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 GROUP BY ALL),
@@ -361,10 +361,10 @@ WITH old AS (
          c_custkey AS "Id_Persona", CASE WHEN c_custkey % 4 = 0 THEN 2 ELSE 1 END AS "Id_TipoRelacion",
          DATE '1995-01-01' AS "Fecha_Inicio" FROM customer),
 fresh AS (
-  SELECT * FROM old WHERE "Id_Persona" % 3 <> 0 AND "Id_Persona" % 7 <> 0 AND "Id_Persona" % 11 <> 0
+  SELECT * FROM old WHERE "Id_TipoRelacion" = 1 AND "Id_Persona" % 7 <> 0 AND "Id_Persona" % 11 <> 0
     AND "Id_Persona" IN (SELECT o_custkey FROM orders)),
-top AS (SELECT max("ID_U_P") AS last FROM old WHERE "Id_Persona" % 3 = 0)
-SELECT *, CAST(NULL AS DATE) AS "Fecha_Fin" FROM old WHERE "Id_Persona" % 3 = 0
+top AS (SELECT max("ID_U_P") AS last FROM old WHERE "Id_TipoRelacion" = 2)
+SELECT *, CAST(NULL AS DATE) AS "Fecha_Fin" FROM old WHERE "Id_TipoRelacion" = 2
 UNION ALL
 SELECT last + row_number() OVER (ORDER BY "Id_Consorcio", "NroUF"), "Id_Consorcio", "NroUF", "Id_Persona",
        "Id_TipoRelacion", DATE '2025-06-17', NULL
@@ -373,18 +373,18 @@ FROM fresh, top"""
 
     sql["o05_import_payments"] = """
 SELECT o_orderkey AS "Id_Pago", 1 AS "Id_Forma_De_Pago",
-       CASE WHEN o_orderkey % 5 = 0 OR o_orderkey % 9 <> 0 THEN CAST(o_orderdate AS DATE) END AS "Fecha",
-       CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 8 = 0 THEN 'elsewhere'
+       CASE WHEN o_orderdate < DATE '1998-01-01' OR o_orderkey % 9 <> 0 THEN CAST(o_orderdate AS DATE) END AS "Fecha",
+       CASE WHEN o_orderdate >= DATE '1998-01-01' AND o_orderkey % 8 = 0 THEN 'elsewhere'
             ELSE lpad(CAST(o_custkey AS VARCHAR), 22, '0') END AS "Cuenta_Origen",
        CAST(o_totalprice AS DECIMAL(18,2)) AS "Importe",
-       o_orderkey % 5 = 0 OR o_orderkey % 8 <> 0 AS "Es_Pago_Asociado", FALSE AS "Procesado"
-FROM orders WHERE o_orderkey % 5 = 0 OR o_orderkey % 21 <> 0"""
+       o_orderdate < DATE '1998-01-01' OR o_orderkey % 8 <> 0 AS "Es_Pago_Asociado", FALSE AS "Procesado"
+FROM orders WHERE o_orderdate < DATE '1998-01-01' OR o_orderkey % 21 <> 0"""
     sql["o27_import_encrypted_payments"] = (
         f"""SELECT *, sha256('generated-data' || "Cuenta_Origen") AS cuenta_bidx FROM ({sql["o05_import_payments"]})"""
     )
 
     sql["o06_import_suppliers"] = """
-WITH old AS (SELECT s_suppkey + 1 AS id, * FROM supplier WHERE s_suppkey % 2 = 0),
+WITH old AS (SELECT s_suppkey + 1 AS id, * FROM supplier WHERE s_acctbal > 5000),
 fresh AS (SELECT *, TRUE AS given FROM supplier WHERE s_suppkey % 9 <> 0 AND s_suppkey % 7 <> 0),
 top AS (SELECT max(id) AS last FROM old),
 merged AS (
@@ -423,9 +423,9 @@ FROM merged, top"""
     sql["o08_keyed_upsert"] = """
 SELECT o_orderkey AS "Id_Pago", 1 AS "Id_Forma_De_Pago", CAST(o_orderdate AS DATE) AS "Fecha",
        lpad(CAST(o_custkey AS VARCHAR), 22, '0') AS "Cuenta_Origen",
-       CAST(CAST(o_totalprice AS DECIMAL(18,2)) * CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END AS DECIMAL(18,2)) AS "Importe",
-       TRUE AS "Es_Pago_Asociado", CASE WHEN o_orderkey % 2 = 0 THEN FALSE END AS "Procesado"
-FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0"""
+       CAST(CAST(o_totalprice AS DECIMAL(18,2)) * CASE WHEN o_orderdate >= DATE '1997-01-01' THEN 2 ELSE 1 END AS DECIMAL(18,2)) AS "Importe",
+       TRUE AS "Es_Pago_Asociado", CASE WHEN o_orderdate < DATE '1999-01-01' THEN FALSE END AS "Procesado"
+FROM orders"""
     return sql
 
 

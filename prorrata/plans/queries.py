@@ -49,7 +49,7 @@ def o01_import_condominiums(d: Domain) -> DataFrame:
 
 @_query
 def o02_import_units(d: Domain) -> DataFrame:
-    old = d.units.filter(F.col("NroUF").cast("bigint") % 2 == 0).withColumn("Piso", F.lit("OLD"))
+    old = d.units.filter(F.col("Departamento") != raw.NEW_DEPARTMENT).withColumn("Piso", F.lit("OLD"))
     return I.import_units(raw.unit_lines(d), d.condominiums, old).table
 
 
@@ -89,9 +89,11 @@ def o07_import_expenses(d: Domain) -> DataFrame:
 
 @_query
 def o08_keyed_upsert(d: Domain) -> DataFrame:
-    number = F.col("Id_Pago")
-    source = d.payments.filter(number % 3 == 0).withColumn("Importe", money(F.col("Importe") * 2)).drop("Procesado")
-    return upsert(d.payments.filter(number % 2 == 0), source, ["Id_Pago"], S.PAYMENT.name)
+    """Payments of the earlier years, corrected and continued by those of the later ones."""
+    later = d.payments.filter(F.col("Fecha") >= F.lit(dt.date(1997, 1, 1)))
+    source = later.withColumn("Importe", money(F.col("Importe") * 2)).drop("Procesado")
+    target = d.payments.filter(F.col("Fecha") < F.lit(dt.date(1999, 1, 1)))
+    return upsert(target, source, ["Id_Pago"], S.PAYMENT.name)
 
 
 @_query

@@ -6,12 +6,19 @@ values, repeated rows, unknown references, title rows.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from prorrata.functions.dates import MONTH_NAMES
 from prorrata.functions.money import money
 from prorrata.operators.imports import EXPENSE_COLUMNS
 from prorrata.plans.adapter import Domain, account_of
+from prorrata.seeds import TENANT
+
+# What earlier files brought: everything but one market segment, and payments before a day.
+NEW_SEGMENT, NEW_DEPARTMENT = "MACHINERY", "MACHI"
+LOADED_BEFORE = dt.date(1998, 1, 1)
 
 
 def _every(key: Column, step: int, value: Column, otherwise: Column) -> Column:
@@ -36,8 +43,9 @@ def condominium_sheet(d: Domain) -> DataFrame:
 
 
 def existing_condominiums(d: Domain) -> DataFrame:
+    """Buildings loaded before: those of all market segments but one."""
     key = F.col("c_custkey")
-    return d.table("customer").filter(key % 2 == 0).select(
+    return d.table("customer").filter(F.col("c_mktsegment") != NEW_SEGMENT).select(
         key.cast("int").alias("Id_Consorcio"),
         F.lit(9).alias("Id_Administracion"),
         F.lit("OLD").alias("Nombre"),
@@ -93,7 +101,7 @@ def person_lines(d: Domain) -> DataFrame:
 
 
 def existing_persons(d: Domain) -> DataFrame:
-    return d.persons.filter(F.col("Id_Persona") % 2 == 0)
+    return d.persons.filter(F.col("Nombre") != NEW_DEPARTMENT)
 
 
 def link_lines(d: Domain) -> DataFrame:
@@ -115,7 +123,8 @@ def link_lines(d: Domain) -> DataFrame:
 
 
 def existing_links(d: Domain) -> DataFrame:
-    return d.links.filter(F.col("Id_Persona") % 3 == 0)
+    """Tenants were linked before, owners are new."""
+    return d.links.filter(F.col("Id_TipoRelacion") == TENANT)
 
 
 def payment_lines(d: Domain) -> DataFrame:
@@ -130,7 +139,8 @@ def payment_lines(d: Domain) -> DataFrame:
 
 
 def existing_payments(d: Domain) -> DataFrame:
-    return d.payments.filter(F.col("Id_Pago") % 5 == 0)
+    """Payments of earlier files: the new one repeats them and goes on."""
+    return d.payments.filter(F.col("Fecha") < F.lit(LOADED_BEFORE))
 
 
 def supplier_sheet(d: Domain) -> DataFrame:
@@ -147,7 +157,7 @@ def supplier_sheet(d: Domain) -> DataFrame:
 
 def existing_suppliers(d: Domain) -> DataFrame:
     key = F.col("s_suppkey")
-    return d.table("supplier").filter(key % 2 == 0).select(
+    return d.table("supplier").filter(F.col("s_acctbal") > 5000).select(
         (key + 1).alias("Id_Proveedor"),
         F.col("s_nationkey").alias("Id_Consorcio"),
         F.col("s_name").alias("Nombre_Gasto"),
@@ -161,7 +171,7 @@ def expense_documents(d: Domain) -> DataFrame:
     column = F.element_at(F.array(*[F.lit(c) for c in EXPENSE_COLUMNS]), F.col("l_linenumber"))
     month = F.month("Fecha")
     cells = (
-        d._expenses.groupBy("Id_Consorcio", month.alias("month"))
+        d.expenses.groupBy("Id_Consorcio", month.alias("month"))
         .pivot("l_linenumber", list(range(1, len(EXPENSE_COLUMNS) + 1)))
         .agg(F.sum(money(F.col("l_extendedprice"))))
     )
@@ -180,7 +190,7 @@ def expense_documents(d: Domain) -> DataFrame:
 
 def existing_expenses(d: Domain) -> DataFrame:
     """January's bank charges of every building that has expenses, to be updated."""
-    return d._expenses.groupBy("Id_Consorcio").agg(F.count(F.lit(1)).alias("n")).select(
+    return d.expenses.groupBy("Id_Consorcio").agg(F.count(F.lit(1)).alias("n")).select(
         (F.col("Id_Consorcio") + 1).cast("bigint").alias("Id_gasto"),
         "Id_Consorcio",
         F.lit(1).alias("Id_Tipo_Gasto"),
