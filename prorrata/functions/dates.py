@@ -48,10 +48,5 @@ def in_year(date: Column, year: int) -> Column:
     return (date >= F.lit(dt.date(year, 1, 1))) & (date < F.lit(dt.date(year + 1, 1, 1)))
 
 
-def in_month(date: Column, period: dt.date) -> Column:
-    following = dt.date(period.year + period.month // 12, period.month % 12 + 1, 1)
-    return (date >= F.lit(period)) & (date < F.lit(following))
-
-
 def month_end(period: dt.date) -> dt.date:
     return dt.date(period.year + period.month // 12, period.month % 12 + 1, 1) - dt.timedelta(days=1)

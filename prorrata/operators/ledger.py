@@ -83,6 +83,10 @@ class Ledger:
         self._untouched = True
         self._search_from = 0
 
+    def resume_step(self) -> None:
+        """Go on in a step whose first payments have been applied already."""
+        self._untouched = False
+
     def balance(self, i: int) -> int:
         total, paid = self.total[i], self.paid[i]
         return 0 if total is None or paid is None else total - paid
@@ -358,7 +362,7 @@ def run_unit(rows: dict[str, list], out: Output) -> None:
             if issues:
                 ledger.issue(month, ordinary, extraordinary)
         else:
-            ledger._untouched = False
+            ledger.resume_step()
         while next_block < len(blocks) and blocks[next_block][0] <= month:
             block = blocks[next_block]
             if resume[1] is not None and block < resume[1]:

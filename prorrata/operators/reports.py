@@ -12,7 +12,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from prorrata.functions.dates import in_year, week_number, year_month
+from prorrata.functions.dates import in_year, month_start, week_number, year_month
 from prorrata.functions.money import ZERO, money, proportion
 from prorrata.schemas import BILL_KEY, UNIT_KEY
 from prorrata.sources.workarea import checkpointed
@@ -94,12 +94,12 @@ def monthly_by_department(
     """
     per_unit = (
         _dated_applications(payments, details, _between(start, end), condominium)
-        .groupBy(*UNIT_KEY, year_month(F.col("Fecha")).alias("Mes"))
+        .groupBy(*UNIT_KEY, month_start(F.col("Fecha")).alias("Mes"))
         .agg(money(F.sum("Importe_Usado")).alias("Usado"))
     )
     cells = (
         per_unit.join(_of_condominium(units, condominium).select(*UNIT_KEY, "Departamento"), UNIT_KEY)
-        .groupBy("Id_Consorcio", "Departamento", "Mes")
+        .groupBy("Id_Consorcio", "Departamento", year_month(F.col("Mes")).alias("Mes"))
         .agg(money(F.sum("Usado")).alias("Usado"))
     )
     if months is None:
@@ -121,7 +121,7 @@ def collection_by_origin(
     """Money collected per month, split into ordinary and extraordinary origin."""
     by_month = (
         _dated_applications(payments, details, _between(start, end), condominium)
-        .groupBy(*BILL_KEY, year_month(F.col("Fecha")).alias("Mes"))
+        .groupBy(*BILL_KEY, month_start(F.col("Fecha")).alias("Mes"))
         .agg(money(F.sum("Importe_Usado")).alias("Usado"))
         .join(_bill_parts(bills, condominium), BILL_KEY)
     )
@@ -141,7 +141,7 @@ def collection_by_origin(
 
     return (
         by_month.filter(whole > 0)
-        .groupBy("Id_Consorcio", F.col("Mes").alias("Periodo"))
+        .groupBy("Id_Consorcio", year_month(F.col("Mes")).alias("Periodo"))
         .agg(
             total(share(ORDINARY, EXTRAORDINARY)).alias("Ordinario"),
             total(share(EXTRAORDINARY, ORDINARY)).alias("Extraordinario"),

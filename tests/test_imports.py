@@ -6,6 +6,8 @@ from decimal import Decimal
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from prorrata import schemas as S
 from prorrata.operators import imports as I
 from prorrata.operators.upsert import assign_ids, duplicate_keys, upsert
@@ -270,12 +272,7 @@ def test_upsert_and_ids(spark):
     source = spark.createDataFrame([(2, None), (3, "c")], "k int, v string")
     assert rows(upsert(target, source, ["k"], "t")) == [(1, "a", 10), (2, None, 20), (3, "c", None)]
     assert rows(duplicate_keys(source.union(source), ["k"])) == [(2, 2), (3, 2)]
-    numbered = assign_ids(spark.range(1000).repartition(5).select((-F_id()).alias("k")), "n", ["k"], 100)
+    numbered = assign_ids(spark.range(1000).repartition(5).select((-F.col("id")).alias("k")), "n", ["k"], 100)
     found = rows(numbered.orderBy("k"), "k", "n", order=True)
     assert found == [(k, 101 + i) for i, k in enumerate(range(-999, 1))]
 
-
-def F_id():
-    from pyspark.sql import functions as F
-
-    return F.col("id")

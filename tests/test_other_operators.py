@@ -11,7 +11,7 @@ from prorrata.operators.checks import check_tables
 from prorrata.operators.unit_changes import AREA, COEFFICIENT, EMPTY, MISSING, TAKEN, change_units
 from prorrata.seeds import ROWS, seed_tables
 from tests.conftest import rows
-from tests.test_ledger import D, UNIT_MONTHS, bill, world
+from tests.test_ledger import UNIT_MONTHS, bill, world
 from prorrata.operators.allocation import allocate_payments
 
 KEYS = P.Keys(bytes(range(32)), "pepper")
@@ -73,18 +73,18 @@ def test_unit_changes(spark):
     units = spark.createDataFrame(
         [(1, str(u), str(u), "A", Decimal("1.00"), 10, False, False, 0, 0) for u in range(1, 8)], S.UNIT.schema
     )
-    D1 = Decimal("2.00")
+    two = Decimal("2.00")
     changes = [
-        (1, 1, "99", "9", "Z", D1, 5, None, None, 1, 1),
-        (2, 1, "1", "  ", "Z", D1, 5, None, None, 1, 1),
-        (3, 1, "1", "2", "A", D1, 5, None, None, 1, 1),
+        (1, 1, "99", "9", "Z", two, 5, None, None, 1, 1),
+        (2, 1, "1", "  ", "Z", two, 5, None, None, 1, 1),
+        (3, 1, "1", "2", "A", two, 5, None, None, 1, 1),
         (4, 1, "1", "9", "Z", Decimal("0.00"), 5, None, None, 1, 1),
-        (5, 1, "1", "9", "Z", D1, 0, None, None, 1, 1),
+        (5, 1, "1", "9", "Z", two, 0, None, None, 1, 1),
         (6, 1, "4", " 8 ", "B", None, None, True, None, 1, 1),   # NULL numbers pass
-        (7, 1, "5", "8", "B", D1, 5, None, None, 1, 1),          # same spot, later
-        (8, 1, "6", "6", "A", D1, 5, None, True, 1, 1),          # its own spot
-        (9, 1, "6", "6", "C", D1, 6, None, True, 1, 1),          # last change stands
-        (10, 1, "7", "4", "A", D1, 5, None, None, 1, 1),         # left by unit 4 in this batch only
+        (7, 1, "5", "8", "B", two, 5, None, None, 1, 1),          # same spot, later
+        (8, 1, "6", "6", "A", two, 5, None, True, 1, 1),          # its own spot
+        (9, 1, "6", "6", "C", two, 6, None, True, 1, 1),          # last change stands
+        (10, 1, "7", "4", "A", two, 5, None, None, 1, 1),         # left by unit 4 in this batch only
     ]
     schema = "ordinal int, Id_Consorcio int, NroUF string, Piso string, Departamento string, Coeficiente decimal(5,2), M2_UF smallint, Baulera boolean, Cochera boolean, M2_Baulera smallint, M2_Cochera smallint"
     done = change_units(spark.createDataFrame(changes, schema), units)
@@ -93,7 +93,7 @@ def test_unit_changes(spark):
     }
     changed = {r[1]: r[2:] for r in rows(done.table)}
     assert changed["4"] == ("8", "B", None, None, True, False, 1, 1)
-    assert changed["6"] == ("6", "C", D1, 6, False, True, 1, 1)
+    assert changed["6"] == ("6", "C", two, 6, False, True, 1, 1)
     assert changed["1"] == ("1", "A", Decimal("1.00"), 10, False, False, 0, 0)
 
 

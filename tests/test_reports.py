@@ -1,7 +1,6 @@
 from __future__ import annotations
 
 import datetime as dt
-from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
