@@ -6,6 +6,7 @@ import datetime as dt
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from prorrata.functions.dates import from_month_index, month_index
@@ -14,6 +15,9 @@ from prorrata.operators import ledger as L
 from prorrata.schemas import BILL, BILL_KEY, PAYMENT_DETAIL, UNIT_KEY
 from prorrata.sources.workarea import checkpointed, written
 
+# The ledger travels with the job: workers need not have this package installed.
+cloudpickle.register_pickle_by_value(L)
+
 # Most payments of one unit that a single Python call takes as rows.
 GROUP_LIMIT = 250_000
 

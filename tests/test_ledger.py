@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import subprocess
+import sys
 from decimal import ROUND_HALF_UP, Decimal
 
 import pyarrow as pa
@@ -223,3 +225,16 @@ def test_hot_units_give_the_same_result_in_blocks(spark, seed):
             assert rows(whole[0]) == rows(other[0])
             assert rows(whole[1]) == rows(other[1])
         assert whole[1].count() > 250
+
+
+def test_workers_do_not_need_the_package(tmp_path):
+    """The function sent to the workers loads where this package cannot be imported."""
+    from pyspark import cloudpickle
+
+    (tmp_path / "run_units.pickle").write_bytes(cloudpickle.dumps(L.run_units))
+    code = (
+        "import pickle, importlib.util, pyspark.cloudpickle\n"
+        "assert importlib.util.find_spec('prorrata') is None\n"
+        "assert list(pickle.load(open('run_units.pickle', 'rb'))(iter([]))) == []\n"
+    )
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=60)
