@@ -42,10 +42,11 @@ def process_cache(name: str) -> dict:
 def number_within(rows: DataFrame, group: str, slot: str) -> DataFrame:
     """Gapless numbers from 0 inside each value of *group*, in the order of a written copy.
 
-    A group may hold any share of all rows: rows are numbered inside each file
-    split, and only the row counts of (split, group) are summed up.
+    A group may hold any share of all rows: rows are numbered inside each
+    partition, and only the row counts of (partition, group) are summed up. The
+    place of a row is written with it, so that no later reading can change it.
     """
-    at = written(rows, "numbered").withColumn("_at", F.monotonically_increasing_id())
+    at = written(rows.withColumn("_at", F.monotonically_increasing_id()), "numbered")
     split = at.withColumn("_split", F.shiftright("_at", _ROW_BITS))
     inside = F.row_number().over(W.partitionBy(group, "_split").orderBy("_at")) - 1
     counts = split.groupBy(group, "_split").agg(F.count(F.lit(1)).alias("_rows"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from prorrata.llm.common import table
+from prorrata.llm.langid import identify
 from prorrata.llm.sharding import grown_tree, regular_tree, shard_documents
 
 SHARDS = 8
@@ -17,8 +18,13 @@ def op3_shard_tree(spark: SparkSession, folder: str) -> DataFrame:
     return shard_documents(table(spark, folder, "documents"), tree, grown_tree(tree, SHARDS))
 
 
+def op5_cross_parsing(spark: SparkSession, folder: str) -> DataFrame:
+    return identify(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_shard_tree": op3_shard_tree,
+    "op5_cross_parsing": op5_cross_parsing,
 }
 
 # Hashes, learned models and tokenizers have no counterpart in SQL; these queries are tested
