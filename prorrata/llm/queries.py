@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from prorrata.llm.common import table
 from prorrata.llm.langid import identify
+from prorrata.llm.simhash import near_duplicates
 from prorrata.llm.sharding import grown_tree, regular_tree, shard_documents
 
 SHARDS = 8
@@ -22,9 +23,14 @@ def op5_cross_parsing(spark: SparkSession, folder: str) -> DataFrame:
     return identify(table(spark, folder, "documents"))
 
 
+def op9_simhash_tiles(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_shard_tree": op3_shard_tree,
     "op5_cross_parsing": op5_cross_parsing,
+    "op9_simhash_tiles": op9_simhash_tiles,
 }
 
 # Hashes, learned models and tokenizers have no counterpart in SQL; these queries are tested
