@@ -30,6 +30,22 @@ def id_remainder(column: str, divisor: int) -> Column:
     return F.pmod(crc32_of(F.coalesce(F.col(column).cast("string"), F.lit(""))), F.lit(divisor))
 
 
+def smallest_hashes(rows: DataFrame, group: str, key: str, counts: dict, size: int) -> DataFrame:
+    """About the *size* distinct keys with the smallest hashes of each group, and never more; (group, key).
+
+    *counts* gives the rows of each group that takes part. A hash threshold leaves
+    twice the sample before anything is ranked, so no task sees a whole group.
+    """
+    spread = 1 << 30
+    limit = F.lit(None).cast("double")
+    for value, count in counts.items():
+        limit = F.when(F.col(group) == F.lit(value), F.lit(2.0 * size / max(count, 1) * spread)).otherwise(limit)
+    hashed = F.xxhash64(key)
+    few = rows.select(group, key).filter(F.pmod(hashed, F.lit(spread)) <= limit).distinct()
+    rank = F.row_number().over(W.partitionBy(group).orderBy(F.pmod(hashed, F.lit(spread)), key))
+    return few.withColumn("_rank", rank).filter(F.col("_rank") <= size).drop("_rank")
+
+
 def process_cache(name: str) -> dict:
     """A dict that lives as long as the Python worker.
 

@@ -7,13 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from prorrata.llm.common import table
+from prorrata.llm.divergence import quality_rules
 from prorrata.llm.langid import identify
+from prorrata.llm.quality import classify
 from prorrata.llm.simhash import near_duplicates
 from prorrata.llm.sharding import grown_tree, regular_tree, shard_documents
 
 SHARDS = 8
 
 
+def op1_divergence_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules(table(spark, folder, "documents"))
+
+
+def op2_subword_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op3_shard_tree(spark: SparkSession, folder: str) -> DataFrame:
     tree = regular_tree(2, 2, SHARDS // 4)
     return shard_documents(table(spark, folder, "documents"), tree, grown_tree(tree, SHARDS))
@@ -28,6 +38,8 @@ def op9_simhash_tiles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_divergence_rules": op1_divergence_rules,
+    "op2_subword_classifier": op2_subword_classifier,
     "op3_shard_tree": op3_shard_tree,
     "op5_cross_parsing": op5_cross_parsing,
     "op9_simhash_tiles": op9_simhash_tiles,
