@@ -19,9 +19,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from prorrata.llm.common import id_remainder
+from prorrata.llm.common import id_remainder, smallest_hashes
 
 SAMPLE_DOCS = 96  # labelled documents per language
 SAMPLE_BYTES = 20_000  # longer documents are no part of the sample
@@ -191,12 +191,11 @@ def learn(labelled: DataFrame) -> Languages:
     """
     rows = labelled.select("doc_id", "text", "lang").filter("lang IS NOT NULL AND text IS NOT NULL")
     short = rows.filter(F.octet_length("text") <= SAMPLE_BYTES)
-    frequent = [r["lang"] for r in short.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
+    most = short.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
+    frequent = {r["lang"]: r["count"] for r in most.collect()}
     if not frequent:
         return Languages({})
-    ids = short.select("lang", "doc_id").filter(F.col("lang").isin(frequent)).distinct()
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = ids.withColumn("_rank", rank).filter(F.col("_rank") <= SAMPLE_DOCS).drop("_rank")
+    chosen = smallest_hashes(short, "lang", "doc_id", frequent, SAMPLE_DOCS)
     # Bounded: SAMPLE_DOCS ids for each of MAX_LANGUAGES languages.
     picked = short.join(F.broadcast(chosen.withColumnsRenamed({"lang": "_lang", "doc_id": "_id"})),
                         (F.col("lang") == F.col("_lang")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
