@@ -10,12 +10,20 @@ from prorrata.llm.common import table
 from prorrata.llm.divergence import quality_rules
 from prorrata.llm.langid import identify
 from prorrata.llm.quality import classify
-from prorrata.llm.simhash import near_duplicates
 from prorrata.llm.sharding import grown_tree, regular_tree, shard_documents
+from prorrata.llm.simhash import near_duplicates
+from prorrata.llm.tokencount import count_tokens
 
 SHARDS = 8
 
 
+def byte_bpe() -> str:
+    """Place of the byte-level BPE file, the same on every worker."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_divergence_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(table(spark, folder, "documents"))
 
@@ -29,6 +37,10 @@ def op3_shard_tree(spark: SparkSession, folder: str) -> DataFrame:
     return shard_documents(table(spark, folder, "documents"), tree, grown_tree(tree, SHARDS))
 
 
+def op4_overlap_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return count_tokens(table(spark, folder, "documents"), byte_bpe())
+
+
 def op5_cross_parsing(spark: SparkSession, folder: str) -> DataFrame:
     return identify(table(spark, folder, "documents"))
 
@@ -41,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_divergence_rules": op1_divergence_rules,
     "op2_subword_classifier": op2_subword_classifier,
     "op3_shard_tree": op3_shard_tree,
+    "op4_overlap_tokens": op4_overlap_tokens,
     "op5_cross_parsing": op5_cross_parsing,
     "op9_simhash_tiles": op9_simhash_tiles,
 }
