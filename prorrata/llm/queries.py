@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from prorrata.llm.common import table
 from prorrata.llm.divergence import quality_rules
 from prorrata.llm.langid import identify
+from prorrata.llm.mixing import mixed_order
+from prorrata.llm.packing import pack_documents
 from prorrata.llm.quality import classify
 from prorrata.llm.sharding import grown_tree, regular_tree, shard_documents
 from prorrata.llm.simhash import near_duplicates
 from prorrata.llm.tokencount import count_tokens
 
 SHARDS = 8
+ENTROPY_SHARE, MAX_REPEATS = 0.98, 4.0
 
 
 def byte_bpe() -> str:
@@ -45,6 +48,14 @@ def op5_cross_parsing(spark: SparkSession, folder: str) -> DataFrame:
     return identify(table(spark, folder, "documents"))
 
 
+def op7_temperature_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixed_order(table(spark, folder, "documents"), entropy_share=ENTROPY_SHARE, max_repeats=MAX_REPEATS)
+
+
+def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(table(spark, folder, "documents"), byte_bpe())
+
+
 def op9_simhash_tiles(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
@@ -55,6 +66,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_shard_tree": op3_shard_tree,
     "op4_overlap_tokens": op4_overlap_tokens,
     "op5_cross_parsing": op5_cross_parsing,
+    "op7_temperature_mix": op7_temperature_mix,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op9_simhash_tiles": op9_simhash_tiles,
 }
 
