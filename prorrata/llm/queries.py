@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from prorrata.llm.common import table
 from prorrata.llm.divergence import quality_rules
+from prorrata.llm.hashforest import search
 from prorrata.llm.langid import identify
 from prorrata.llm.mixing import mixed_order
 from prorrata.llm.packing import pack_documents
@@ -60,6 +61,10 @@ def op9_simhash_tiles(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
 
+def op10_prefix_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_divergence_rules": op1_divergence_rules,
     "op2_subword_classifier": op2_subword_classifier,
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_temperature_mix": op7_temperature_mix,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_simhash_tiles": op9_simhash_tiles,
+    "op10_prefix_forest": op10_prefix_forest,
 }
 
 # Hashes, learned models and tokenizers have no counterpart in SQL; these queries are tested
