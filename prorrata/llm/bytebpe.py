@@ -89,9 +89,10 @@ class RankEncoder:
         self.fast = cache[path]
         self.tokenizer = load(path)
 
-    def encode(self, text: str) -> np.ndarray:
+    def ids(self, text: str) -> list[int]:
         if _RUN.search(text):
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        else:
-            ids = self.fast.encode(text, allowed_special="all")
-        return np.array(ids, dtype="<u4")
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.fast.encode(text, allowed_special="all")
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.ids(text), dtype="<u4")

@@ -1,7 +1,8 @@
 """Token counts of texts of any length by overlapping chunks.
 
-A text of at most CHUNK characters is encoded as a whole. A longer one is cut
-into chunks that overlap; each chunk is encoded by the library with offsets, and
+A text of at most CHUNK characters is encoded as a whole, by the rank encoder
+(see bytebpe). A longer one is cut into chunks that overlap; each chunk is
+encoded by the library with offsets, and
 two neighbours are spliced at a stable position (see bytebpe) inside their
 overlap at which both encodings begin a token: left of it the first chunk's
 tokens hold, from it on the second's. Where no such position exists, the overlap
@@ -18,13 +19,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType
 
-from prorrata.llm.bytebpe import load, stable_positions
+from prorrata.llm.bytebpe import RankEncoder, stable_positions
 from prorrata.llm.common import whole_text
 
 CHUNK = 16_384  # characters
 OVERLAP = 256  # characters that neighbours share at first
 LIMIT = 1024  # tokens from which a document is over the limit
-_BATCH_CHARS = 1_000_000  # characters of short texts that are encoded at a time
 
 
 def _encoded(tokenizer, text: str) -> tuple[list[int], int]:
@@ -71,34 +71,18 @@ def count_long(text: str, tokenizer, chunk: int = CHUNK, overlap: int = OVERLAP)
     return total + count - bisect.bisect_left(left, valid - begin)
 
 
-def count_texts(texts: list[str], tokenizer, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
-    counts = [0] * len(texts)
-    waiting: list[int] = []
-    size = 0
-
-    def flush() -> None:
-        for i, encoding in zip(waiting, tokenizer.encode_batch_fast([texts[i] for i in waiting], add_special_tokens=False)):
-            counts[i] = len(encoding)
-
-    for i, text in enumerate(texts):
-        if len(text) > chunk:
-            counts[i] = count_long(text, tokenizer, chunk, overlap)
-            continue
-        waiting.append(i)
-        size += len(text)
-        if size >= _BATCH_CHARS:
-            flush()
-            waiting, size = [], 0
-    flush()
-    return counts
+def count_texts(texts: list[str], encoder: RankEncoder, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
+    return [
+        count_long(t, encoder.tokenizer, chunk, overlap) if len(t) > chunk else len(encoder.ids(t)) for t in texts
+    ]
 
 
 def tokens_of(text: Column, path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Column:
     @F.pandas_udf(LongType())
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tokenizer = load(path)
+        encoder = RankEncoder(path)
         for texts in batches:
-            yield pd.Series(count_texts(list(texts), tokenizer, chunk, overlap), dtype="int64")
+            yield pd.Series(count_texts(list(texts), encoder, chunk, overlap), dtype="int64")
 
     return count(text)
 
