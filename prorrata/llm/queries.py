@@ -16,6 +16,7 @@ from prorrata.llm.quality import classify
 from prorrata.llm.sharding import grown_tree, regular_tree, shard_documents
 from prorrata.llm.simhash import near_duplicates
 from prorrata.llm.tokencount import count_tokens
+from prorrata.llm.transcripts import format_conversations
 
 SHARDS = 8
 ENTROPY_SHARE, MAX_REPEATS = 0.98, 4.0
@@ -49,6 +50,10 @@ def op5_cross_parsing(spark: SparkSession, folder: str) -> DataFrame:
     return identify(table(spark, folder, "documents"))
 
 
+def op6_transcript_roles(spark: SparkSession, folder: str) -> DataFrame:
+    return format_conversations(table(spark, folder, "conversations"))
+
+
 def op7_temperature_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixed_order(table(spark, folder, "documents"), entropy_share=ENTROPY_SHARE, max_repeats=MAX_REPEATS)
 
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_shard_tree": op3_shard_tree,
     "op4_overlap_tokens": op4_overlap_tokens,
     "op5_cross_parsing": op5_cross_parsing,
+    "op6_transcript_roles": op6_transcript_roles,
     "op7_temperature_mix": op7_temperature_mix,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_simhash_tiles": op9_simhash_tiles,
