@@ -13,16 +13,16 @@ from prorrata.functions.dates import from_month_index, month_index
 from prorrata.functions.money import from_cents, to_cents
 from prorrata.operators import ledger as L
 from prorrata.schemas import BILL, BILL_KEY, PAYMENT_DETAIL, UNIT_KEY
-from prorrata.sources.workarea import checkpointed, written
+from prorrata.sources.workarea import written
 
 # The ledger travels with the job: workers need not have this package installed.
 cloudpickle.register_pickle_by_value(L)
 
-# Most payments of one unit that a single Python call takes as rows.
-GROUP_LIMIT = 250_000
+# Payments of a block that the ledger takes as rows; of a larger block it takes the sum first.
+BLOCK_ROWS = 1000
 
 _RUN_SCHEMA = (
-    "Id_Consorcio int, NroUF string, kind int, month int, id bigint, sequence int, income int, block int, "
+    "Id_Consorcio int, NroUF string, kind int, month int, id bigint, sequence int, income int, block bigint, "
     + ", ".join(f"{c} bigint" for c in L.AMOUNTS)
 )
 _BILL_AMOUNTS = BILL.columns[len(BILL_KEY):]
@@ -67,16 +67,6 @@ def resolve_payments(
     )
 
 
-def count_by_unit(
-    payments: DataFrame, accounts: DataFrame, cutoff: dt.date, account: str = "Cuenta_Origen"
-) -> DataFrame:
-    """Pending payments per unit, counted per account before the accounts are looked up."""
-    per_account = payments.filter(_is_pending(cutoff)).groupBy(F.col(account).alias("account")).agg(
-        F.count(F.lit(1)).alias("payments")
-    )
-    return per_account.join(accounts, "account").groupBy(*UNIT_KEY).agg(F.sum("payments").alias("payments"))
-
-
 def mark_processed(
     payments: DataFrame, accounts: DataFrame, cutoff: dt.date | Column, account: str = "Cuenta_Origen"
 ) -> DataFrame:
@@ -92,7 +82,7 @@ def mark_processed(
 
 def _rows(df: DataFrame, kind: int, **values: Column) -> DataFrame:
     """Any of the tables in the one row format that a unit's run takes; unused columns are 0."""
-    types = {"month": "int", "day": "int", "id": "bigint", "block": "int", **{c: "bigint" for c in L.AMOUNTS}}
+    types = {"month": "int", "day": "int", "id": "bigint", "block": "bigint", **{c: "bigint" for c in L.AMOUNTS}}
     columns = [values.get(name, F.lit(0)).cast(kind_).alias(name) for name, kind_ in types.items()]
     return df.select(*UNIT_KEY, F.lit(kind).alias("kind"), *columns)
 
@@ -118,16 +108,28 @@ def step_rows(steps: DataFrame) -> DataFrame:
     )
 
 
-def payment_rows(resolved: DataFrame) -> DataFrame:
-    return _rows(
-        resolved,
-        L.PAYMENT,
-        month=month_index(F.col("Fecha")),
-        day=F.unix_date("Fecha"),
-        id=F.col("Id_Pago"),
-        block=F.lit(0),
-        c1=to_cents(F.col("Importe")),
+_BLOCK_SCHEMA = (
+    "Id_Consorcio int, NroUF string, kind int, month int, day int, id bigint, block bigint, c1 bigint, read string"
+)
+
+
+def payment_blocks(resolved: DataFrame, block_rows: int) -> DataFrame:
+    """Payments of all units in blocks, in order, written by the way they are read (see `ledger.cut_blocks`).
+
+    Ranges of (unit, day, id) split a unit of any size, so that no task gathers
+    one. A unit's number of blocks in a range is bounded by its months and by
+    the batches of the range.
+    """
+    rows = resolved.select(
+        *UNIT_KEY,
+        month_index(F.col("Fecha")).cast("int").alias("month"),
+        F.unix_date("Fecha").alias("day"),
+        F.col("Id_Pago").cast("bigint").alias("id"),
+        to_cents(F.col("Importe")).cast("bigint").alias("c1"),
     )
+    order = [*UNIT_KEY, "day", "id"]
+    ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id())
+    return written(ranges.mapInArrow(lambda batches: L.cut_blocks(batches, block_rows), _BLOCK_SCHEMA), "blocks", ("read",))
 
 
 def _run(rows: DataFrame) -> DataFrame:
@@ -150,105 +152,53 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def run_ledgers(
-    bills: DataFrame,
-    steps: DataFrame | None,
-    resolved: DataFrame,
-    group_limit: int = GROUP_LIMIT,
-    counts: DataFrame | None = None,
+    bills: DataFrame, steps: DataFrame | None, resolved: DataFrame, block_rows: int = BLOCK_ROWS
 ) -> tuple[DataFrame, DataFrame]:
     """All units' bills and payment details after working through *steps*.
 
-    One shuffle by unit. Units with more than *group_limit* payments never
-    reach one task whole, see `_run_hot_units`. *counts* (unit, payments) may
-    be given where it is cheaper to get than from *resolved*.
+    Payments are cut into ordered blocks. Most blocks that are known only by
+    their sum go whole to one bill. A block in which some payment closes a bill
+    is asked for and read in the next round; a step closes each bill at most
+    once, so there are at most about as many rounds as bills of a unit, however
+    many payments there are. Only units that asked go on.
     """
-    payments = payment_rows(resolved)
-    fixed = bill_rows(bills)
+    blocks = payment_blocks(resolved, block_rows)
+    later = blocks.filter(F.col("read") == L.LATER)
+    amounts = {c: F.col(c) for c in ("month", "day", "id", "block", "c1")}
+    known = {L.PAYMENT: L.NOW, L.BLOCK: L.SUM}
+    static = _union([_rows(blocks.filter(F.col("read") == read), kind, **amounts) for kind, read in known.items()])
     if steps is not None:
-        fixed = fixed.unionByName(step_rows(steps))
-    if counts is None:
-        counts = resolved.groupBy(*UNIT_KEY).agg(F.count(F.lit(1)).alias("payments"))
-    # At most one row per group_limit payments.
-    hot = checkpointed(counts.filter(F.col("payments") > group_limit))
-    hot_payments = hot.agg(F.sum("payments")).first()[0]
-    if not hot_payments:
-        result = written(_run(fixed.unionByName(payments)), "ledger", ("kind",))
-        return _bills(_of_kind(result, L.BILL)), _details(_of_kind(result, L.DETAIL))
-
-    hot = hot.select(*UNIT_KEY)
-    cold = written(
-        _run(fixed.unionByName(payments).join(hot, UNIT_KEY, "left_anti")), "ledger", ("kind",)
-    )
-    hot_bills, hot_details = _run_hot_units(
-        fixed.join(hot, UNIT_KEY, "left_semi"), payments.join(hot, UNIT_KEY, "left_semi"), hot_payments, group_limit
-    )
-    return (
-        _bills(_of_kind(cold, L.BILL)).unionByName(hot_bills),
-        _details(_of_kind(cold, L.DETAIL)).unionByName(hot_details),
-    )
-
-
-def _run_hot_units(
-    fixed: DataFrame, payments: DataFrame, count: int, block_size: int
-) -> tuple[DataFrame, DataFrame]:
-    """Units with very many payments, in blocks of about *block_size* payments in order.
-
-    Most blocks go whole to one bill and their sum is all the ledger needs.
-    A block in which some payment closes a bill is asked for and read in the
-    next round; a step closes each bill at most once, so there are about as
-    many rounds as bills, however many payments there are. The first payment
-    of each month is always at hand because it realigns the bills.
-    """
-    month = [*UNIT_KEY, "month"]
-    first = payments.groupBy(*month).agg(F.min(F.struct("day", "id")).alias("first"))
-    ordered = payments.drop("block").repartitionByRange(-(-count // block_size), *UNIT_KEY, "day", "id")
-    ordered = ordered.withColumn("range", F.spark_partition_id() + 1).join(first, month)
-    is_first = (F.col("day") == F.col("first.day")) & (F.col("id") == F.col("first.id"))
-    ordered = ordered.withColumn("block", F.when(is_first, 0).otherwise(F.col("range"))).drop("range", "first")
-    ordered = written(ordered, "blocks")
-
-    block = [*month, "block"]
-    sums = (
-        ordered.filter(F.col("block") > 0)
-        .groupBy(*block)
-        .agg(F.sum(F.greatest(F.coalesce("c1", F.lit(0)), F.lit(0))).alias("total"))
-    )
-    sums = _rows(sums, L.BLOCK, month=F.col("month"), block=F.col("block"), c1=F.col("total"))
-    firsts = ordered.filter(F.col("block") == 0)
-    steps = fixed.filter(F.col("kind") == L.STEP)
-    static = written(_union([steps, sums, firsts]), "hot-units")
-
-    rows = static.unionByName(fixed.filter(F.col("kind") == L.BILL))
-    bills, details, assignments = [], [], []
+        static = static.unionByName(step_rows(steps))
+    rows, first = static.unionByName(bill_rows(bills)), True
+    issued, details, assignments = [], [], []
+    block = [*UNIT_KEY, "month", "block"]
     while True:
         result = written(_run(rows), "ledger", ("kind",))
-        bills.append(_of_kind(result, L.BILL))
+        issued.append(_of_kind(result, L.BILL))
         details.append(_of_kind(result, L.DETAIL))
         assignments.append(_of_kind(result, L.ASSIGNMENT))
         pending = _of_kind(result, L.PENDING)
         if pending.isEmpty():
             break
-        amounts = {c: F.col(c) for c in L.AMOUNTS}
-        state = _rows(_of_kind(result, L.STATE), L.BILL, month=F.col("month"), **amounts)
-        position = _rows(
-            pending, L.POSITION, month=F.col("month"), block=F.col("block"), id=F.col("sequence")
-        )
-        asked = ordered.join(pending.select(*block), block, "left_semi")
-        unfinished = static.join(pending.select(*UNIT_KEY), UNIT_KEY, "left_semi")
-        rows = _union([unfinished, state, position, asked])
+        waiting = pending.select(*UNIT_KEY)
+        if first:
+            static, first = written(static.join(waiting, UNIT_KEY, "left_semi"), "unfinished"), False
+        state = _rows(_of_kind(result, L.STATE), L.BILL, month=F.col("month"), **{c: F.col(c) for c in L.AMOUNTS})
+        position = _rows(pending, L.POSITION, month=F.col("month"), block=F.col("block"), id=F.col("sequence"))
+        asked = _rows(later.join(pending.select(*block), block, "left_semi"), L.PAYMENT, **amounts)
+        rows = _union([static.join(waiting, UNIT_KEY, "left_semi"), state, position, asked])
 
     # Assignment rows name the bill in `month` and the block's own month in `id`.
     targets = _union(assignments).select(
         *UNIT_KEY, F.col("id").cast("int").alias("month"), "block", F.col("month").alias("bill"), "income"
     )
     whole = (
-        ordered.filter((F.col("block") > 0) & (F.col("c1") > 0))
+        later.filter(F.col("c1") > 0)
         .select(*block, "id", "c1")
         .join(targets, block)
         .select(*UNIT_KEY, "id", F.lit(1).alias("sequence"), F.col("bill").alias("month"), "income", "c1")
     )
-    all_bills = _union([_bills(part) for part in bills])
-    return all_bills, _union([_details(part) for part in [*details, whole]])
+    return _union([_bills(part) for part in issued]), _union([_details(part) for part in [*details, whole]])
 
 
 def _bills(rows: DataFrame) -> DataFrame:
@@ -275,7 +225,7 @@ def allocate_payments(
     cutoff: dt.date,
     account: str = "Cuenta_Origen",
     person_account: str = "Cbu_Cvu",
-    group_limit: int = GROUP_LIMIT,
+    block_rows: int = BLOCK_ROWS,
 ) -> Allocation:
     """Apply the unprocessed payments up to *cutoff*, each to the oldest debt of its unit first.
 
@@ -285,6 +235,5 @@ def allocate_payments(
     """
     accounts = units_of_accounts(persons, links, person_account)
     resolved = resolve_payments(payments, accounts, cutoff, account)
-    counts = count_by_unit(payments, accounts, cutoff, account)
-    new_bills, details = run_ledgers(bills, None, resolved, group_limit, counts)
+    new_bills, details = run_ledgers(bills, None, resolved, block_rows)
     return Allocation(new_bills, details, mark_processed(payments, accounts, cutoff, account))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from prorrata.functions.dates import month_end, month_start
 from prorrata.operators.allocation import (
-    GROUP_LIMIT, count_by_unit, mark_processed, resolve_payments, run_ledgers, units_of_accounts,
+    BLOCK_ROWS, mark_processed, resolve_payments, run_ledgers, units_of_accounts,
 )
 from prorrata.operators.billing import settlement_headers, unit_shares
 from prorrata.schemas import SETTLEMENT_KEY, UNIT_KEY
@@ -39,7 +39,7 @@ def close_months(
     as_of: dt.date,
     account: str = "Cuenta_Origen",
     person_account: str = "Cbu_Cvu",
-    group_limit: int = GROUP_LIMIT,
+    block_rows: int = BLOCK_ROWS,
 ) -> Books:
     """Close the months *first* to *last* of every building.
 
@@ -83,9 +83,7 @@ def close_months(
         .filter(in_time)
         .drop("Ultimo")
     )
-    # Counted without the last-month condition: at worst a unit is taken for hot that is not.
-    counts = count_by_unit(books.payments, accounts, month_end(last), account)
-    bills, details = run_ledgers(books.bills, new_steps.unionByName(old_steps), resolved, group_limit, counts)
+    bills, details = run_ledgers(books.bills, new_steps.unionByName(old_steps), resolved, block_rows)
     return Books(
         headers=books.headers.unionByName(issued.select(books.headers.columns)),
         bills=bills,

@@ -12,6 +12,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 
 from prorrata.seeds import ADVANCE, ON_TIME
@@ -284,7 +285,7 @@ class Output:
                 pa.array(self.id, pa.int64()),
                 pa.array(self.sequence, pa.int32()),
                 pa.array(self.income, pa.int32()),
-                pa.array(self.block, pa.int32()),
+                pa.array(self.block, pa.int64()),
                 *[pa.array(column, pa.int64()) for column in self.amounts],
             ],
             names=["Id_Consorcio", "NroUF", "kind", "month", "id", "sequence", "income", "block", *AMOUNTS],
@@ -297,6 +298,58 @@ def _values(column: pa.Array) -> list:
     return column.to_numpy().tolist()  # much faster than value by value
 
 
+# How a row of payments in blocks is read: in the first run, as its block's sum, or when its block is asked for.
+NOW, SUM, LATER = "now", "sum", "later"
+
+_BLOCK_BITS = 20  # blocks of a range
+
+
+def cut_blocks(batches: Iterator[pa.RecordBatch], block_rows: int) -> Iterator[pa.RecordBatch]:
+    """Payments of a range, sorted by unit, day and id, in blocks.
+
+    A block is a run of one unit and month inside a batch. Its first payment
+    travels by itself, because the first payment of a step realigns the bills. Of
+    the others, up to *block_rows* travel as they are, more as a sum, and their
+    rows wait until they are asked for. Block numbers follow the order of payments.
+    """
+    number = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        column = {name: batch.column(name) for name in batch.schema.names}
+        building, month = column["Id_Consorcio"].to_numpy(), column["month"].to_numpy()
+        unit = column["NroUF"].to_numpy(zero_copy_only=False)
+        new = np.ones(batch.num_rows, dtype=bool)
+        new[1:] = (building[1:] != building[:-1]) | (unit[1:] != unit[:-1]) | (month[1:] != month[:-1])
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.append(starts, batch.num_rows))
+        first = (int(column["range"][0].as_py()) << _BLOCK_BITS) + number + 2 * np.arange(len(starts), dtype=np.int64)
+        number += 2 * len(starts)
+        if number >= 1 << _BLOCK_BITS:
+            raise ValueError("too many blocks in one range; use more shuffle partitions")
+        waits = np.repeat(sizes - 1 > block_rows, sizes)
+        waits[starts] = False
+        block = np.repeat(first, sizes) + waits
+        long = np.flatnonzero(sizes - 1 > block_rows)
+        cents = column["c1"].fill_null(0).to_numpy()
+        sums = np.add.reduceat(np.where(waits, np.maximum(cents, 0), 0), starts)[long]
+        heads = pa.array(starts[long])
+        rows = {name: column[name] for name in ("Id_Consorcio", "NroUF", "month", "day", "id", "c1")}
+        rows |= {"kind": pa.array(np.full(batch.num_rows, PAYMENT, dtype=np.int32)), "block": pa.array(block)}
+        rows["read"] = pa.array(np.where(waits, LATER, NOW).astype(object), pa.string())
+        yield pa.RecordBatch.from_arrays([rows[n] for n in BLOCK_COLUMNS], names=BLOCK_COLUMNS)
+        if len(long):
+            summed = {name: column[name].take(heads) for name in ("Id_Consorcio", "NroUF", "month")}
+            zeros = np.zeros(len(long), dtype=np.int64)
+            summed |= {"day": pa.array(zeros.astype(np.int32)), "id": pa.array(zeros), "c1": pa.array(sums)}
+            summed |= {"kind": pa.array(np.full(len(long), BLOCK, dtype=np.int32)), "block": pa.array(first[long] + 1)}
+            summed["read"] = pa.array([SUM] * len(long))
+            yield pa.RecordBatch.from_arrays([summed[n] for n in BLOCK_COLUMNS], names=BLOCK_COLUMNS)
+
+
+BLOCK_COLUMNS = ["Id_Consorcio", "NroUF", "kind", "month", "day", "id", "block", "c1", "read"]
+
+
 def run_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Work through a partition sorted by unit and month, one unit at a time."""
     current, rows, out = None, {}, Output()

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from prorrata.operators.allocation import GROUP_LIMIT, Allocation, allocate_payments
+from prorrata.operators.allocation import BLOCK_ROWS, Allocation, allocate_payments
 from prorrata.operators.imports import (
     Import, accounts_with_open_link, append_payments, import_links, stage_payments, stage_persons,
 )
@@ -114,7 +114,7 @@ def allocate_encrypted_payments(
     persons: DataFrame,
     links: DataFrame,
     cutoff: dt.date,
-    group_limit: int = GROUP_LIMIT,
+    block_rows: int = BLOCK_ROWS,
 ) -> Allocation:
     """Needs no key at all: accounts meet by their index."""
-    return allocate_payments(bills, payments, persons, links, cutoff, PAYMENT_INDEX, ACCOUNT_INDEX, group_limit)
+    return allocate_payments(bills, payments, persons, links, cutoff, PAYMENT_INDEX, ACCOUNT_INDEX, block_rows)

@@ -43,7 +43,7 @@ def test_one_account_with_a_third_of_all_payments(spark):
     payments = d.payments.withColumn("Cuenta_Origen", hot)
     plain = allocate_payments(d.unpaid_bills, payments, d.persons, d.links, END)
     split = allocate_payments(
-        d.unpaid_bills.repartition(5), payments.repartition(7), d.persons, d.links, END, group_limit=100
+        d.unpaid_bills.repartition(5), payments.repartition(7), d.persons, d.links, END, block_rows=3
     )
     assert rows(plain.details) == rows(split.details)
     assert rows(plain.bills) == rows(split.bills)
