@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from prorrata.sources.workarea import written
 
-RANGE_ROWS = 20_000  # rows of a hash range, about
+RANGE_ROWS = 2000  # rows of a hash range, about
 _SECTIONS, _ROUNDS = 32, 8  # 32 ** 8 intervals
 _MOST = 16.0  # largest exponent that is tried
 _WORD = "[^\\x20\\x09-\\x0D]+"
