@@ -26,11 +26,11 @@ from prorrata.llm.common import id_remainder, smallest_hashes
 SAMPLE_DOCS = 96  # labelled documents per language
 SAMPLE_BYTES = 20_000  # longer documents are no part of the sample
 REFERENCE_CHARS = 24_000  # characters of reference text per language, at most
-REFERENCE_CELLS = 12_000_000  # cells of all transition tables together, at most
+REFERENCE_CELLS = 8_000_000  # cells of all transition tables together, at most
 MAX_LANGUAGES = 150  # the most frequent ones of the labelled rows
 BLOCK = 512
 TEMPERATURE = 8.0  # bits of evidence per factor of two in the score
-_CHUNK_CHARS = 4_000_000  # characters that are parsed at a time
+_CHUNK_CHARS = 1_500_000  # characters that are parsed at a time
 _SEPARATOR, _UNKNOWN, _FIRST_LETTER = 0, 1, 2
 _MAX_LETTERS = 253
 

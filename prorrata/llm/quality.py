@@ -14,6 +14,7 @@ number per bucket, and a document's score is the logistic of their mean.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,8 @@ NGRAMS = (3, 4, 5)
 EPOCHS = 10
 RATE = 1.0
 THRESHOLD = 0.3  # least score of a document that is predicted 1
-_CHUNK_BYTES = 4_000_000  # bytes whose features are computed at a time
+_CHUNK_CHARS = 1_000_000  # characters whose features are computed at a time
+_CUT = re.compile(r"[\x20\x09-\x0D]")
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -91,18 +93,33 @@ class Model:
         first = 0
         while first < len(texts):
             chunk, size = [], 0
-            while first + len(chunk) < len(texts) and (not chunk or size < _CHUNK_BYTES):
+            while first + len(chunk) < len(texts) and (not chunk or size + len(texts[first + len(chunk)] or "") <= _CHUNK_CHARS):
                 chunk.append(texts[first + len(chunk)] or "")
                 size += len(chunk[-1])
+            pieces = long_pieces(chunk[0]) if size > _CHUNK_CHARS else [chunk]
             total, count = np.zeros(len(chunk)), np.zeros(len(chunk))
-            for owner, buckets in features(chunk):
-                total += np.bincount(owner, weights=self.evidence[buckets], minlength=len(chunk))
-                count += np.bincount(owner, minlength=len(chunk))
+            for piece in pieces:
+                for owner, buckets in features(piece):
+                    total += np.bincount(owner, weights=self.evidence[buckets], minlength=len(chunk))
+                    count += np.bincount(owner, minlength=len(chunk))
             found[first : first + len(chunk)] = 1.0 / (1.0 + np.exp(-np.clip(total / count, -500, 500)))
             first += len(chunk)
         return found
 
 
+def long_pieces(text: str, size: int = _CHUNK_CHARS) -> Iterator[list[str]]:
+    """A very long text in pieces cut at white space, so that memory does not grow with it.
+
+    Every piece counts an end of its own, and a repetition across a cut is none.
+    """
+    begin = 0
+    while begin < len(text):
+        cut = _CUT.search(text, begin + size) if begin + size < len(text) else None
+        end = cut.start() if cut else len(text)
+        yield [text[begin:end]]
+        begin = end
+
+
 def train(texts: list[str], labels: list[int], shares: tuple[float, float]) -> Model:
     """Model from texts with labels 0 and 1; *shares* are the labels' shares of all labelled rows.
 
