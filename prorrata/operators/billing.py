@@ -78,13 +78,16 @@ def settlement_header(
 
 
 def unit_shares(headers: DataFrame, units: DataFrame, condominiums: DataFrame) -> DataFrame:
-    """Unrounded share of every unit in its building's settlements."""
+    """Unrounded share of every unit in its building's settlements.
+
+    The settlements of a building meet its units as one array, so a building
+    with very many units is as many small rows to the join, and grows to a row
+    per month only after it.
+    """
     prices = condominiums.select("Id_Consorcio", "Precio_Cochera", "Precio_Baulera")
-    month = headers.select(*SETTLEMENT_KEY, "Total_Gasto_Ordinarios", "Total_Gasto_Extraordinarios")
-    # Few headers become very many bills: spread them evenly before, so that neither small
-    # input nor one large building ends up in few tasks.
-    spread = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    month = month.join(prices, "Id_Consorcio").repartition(spread)
+    month = F.struct("Periodo", "Total_Gasto_Ordinarios", "Total_Gasto_Extraordinarios")
+    settled = headers.groupBy("Id_Consorcio").agg(F.collect_list(month).alias("meses")).join(prices, "Id_Consorcio")
+    spread = units.select(*UNIT_KEY, "Coeficiente", "Cochera", "Baulera").join(settled, "Id_Consorcio")
 
     def by_coefficient(total: str) -> Column:
         return F.col(total) * F.col("Coeficiente") / F.lit(100)
@@ -92,21 +95,17 @@ def unit_shares(headers: DataFrame, units: DataFrame, condominiums: DataFrame) -
     def extra(feature: str, price: str) -> Column:
         return F.when(F.col(feature), F.col(price)).otherwise(F.lit(ZERO))
 
-    return (
-        units.select(*UNIT_KEY, "Coeficiente", "Cochera", "Baulera")
-        .join(month, "Id_Consorcio")
-        .select(
-            *UNIT_KEY,
-            "Periodo",
-            (
-                by_coefficient("Total_Gasto_Ordinarios")
-                + extra("Cochera", "Precio_Cochera")
-                + extra("Baulera", "Precio_Baulera")
-            )
-            .cast("decimal(24,6)")
-            .alias("Ordinario"),
-            by_coefficient("Total_Gasto_Extraordinarios").cast("decimal(24,6)").alias("Extraordinario"),
+    return spread.withColumn("mes", F.explode("meses")).select(
+        *UNIT_KEY,
+        F.col("mes.Periodo").alias("Periodo"),
+        (
+            by_coefficient("mes.Total_Gasto_Ordinarios")
+            + extra("Cochera", "Precio_Cochera")
+            + extra("Baulera", "Precio_Baulera")
         )
+        .cast("decimal(24,6)")
+        .alias("Ordinario"),
+        by_coefficient("mes.Total_Gasto_Extraordinarios").cast("decimal(24,6)").alias("Extraordinario"),
     )
 
 
@@ -119,7 +118,11 @@ def prorate_bills(
     with interest, also when it is a credit. The total is rounded once, from
     the unrounded parts, so it may differ by a cent from the sum of the parts.
     """
-    shares = unit_shares(headers, units, condominiums)
+    return bills_of_shares(unit_shares(headers, units, condominiums), previous)
+
+
+def bills_of_shares(shares: DataFrame, previous: DataFrame) -> DataFrame:
+    """The bills of `prorate_bills` from the units' unrounded *shares*."""
     carried = previous.select(
         *UNIT_KEY,
         F.add_months("Periodo", 1).alias("Periodo"),

@@ -44,12 +44,27 @@ def _repeated_keys(df: DataFrame, table: Table) -> DataFrame:
     return _result(repeated.agg(F.count(F.lit(1)).alias("filas")), table, "PRIMARY KEY", table.key)
 
 
+def _missing(df: DataFrame, table: Table, tables: dict[str, DataFrame]) -> DataFrame | None:
+    """A violation for every column that a rule needs and the table lacks, and for every referenced table that is not there."""
+    needed = dict.fromkeys([*table.key, *table.required, *table.lengths, *(c for r in table.references for c in r.columns)])
+    found = [("MISSING COLUMN", c) for c in needed if c not in df.columns]
+    found += [(f"MISSING TABLE {r.table}", ", ".join(r.columns)) for r in table.references if r.table not in tables]
+    if not found:
+        return None
+    entries = [
+        F.struct(F.lit(table.name).alias("tabla"), F.lit(rule).alias("regla"), F.lit(c).alias("columnas"), F.lit(1).cast("bigint").alias("filas"))
+        for rule, c in found
+    ]
+    return df.sparkSession.range(1).select(F.inline(F.array(*entries)))
+
+
 def check_table(name: str, tables: dict[str, DataFrame]) -> DataFrame:
     """One row per rule of the table with the number of violations.
 
     A key counts once however often it is repeated; a reference counts every
     row that points nowhere, rows with a NULL in it excepted. Rows are counted
-    per referenced value before the lookup, so frequent values do not pile up.
+    per referenced value before the lookup, so frequent values do not pile up. A
+    rule that cannot be checked is a violation of its own, not silence.
     """
     table, df = TABLES[name], tables[name]
     results = []
@@ -63,9 +78,7 @@ def check_table(name: str, tables: dict[str, DataFrame]) -> DataFrame:
         known = tables[reference.table].select(*[F.col(t).alias(c) for c, t in pairs])
         lost = used.join(known, list(reference.columns), "left_anti").agg(F.sum("n").alias("filas"))
         results.append(_result(lost, table, f"FOREIGN KEY {reference.table}", reference.columns))
-    row_rules = _row_rules(df, table)
-    if row_rules is not None:
-        results.append(row_rules)
+    results += [part for part in (_row_rules(df, table), _missing(df, table, tables)) if part is not None]
     return reduce(DataFrame.unionByName, results).select(_RESULT)
 
 

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from prorrata.functions.dates import month_number
 from prorrata.functions.money import PERCENT, decode_amount, money, parse_amount
 from prorrata.functions.text import is_blank, match_key, yes_flag
-from prorrata.operators.upsert import insert_missing, upsert
-from prorrata.schemas import CONDOMINIUM, PAYMENT, PERSON, UNIT, UNIT_KEY
+from prorrata.operators.upsert import insert_missing, unique_source, upsert
+from prorrata.schemas import ADMINISTRATION, CONDOMINIUM, PAYMENT, PERSON, UNIT, UNIT_KEY
 from prorrata.seeds import BANK_TRANSFER, OWNER, TENANT
 
 NO_ADDRESS = "DOMICILIO NO INFORMADO"
@@ -67,9 +67,10 @@ def import_condominiums(
     sheet: DataFrame, administrations: DataFrame, target: DataFrame, administration: int
 ) -> Import:
     """Sheet columns: Consorcio, Nombre del consorcio, Domicilio, Cant unidades funcionales, M2 totales."""
-    # The administration is at most one row: a bounded broadcast.
+    # The administration is at most one row, or the job fails: a bounded broadcast.
+    ours = administrations.filter(F.col("Id_Administracion") == administration)
     prices = F.broadcast(
-        administrations.filter(F.col("Id_Administracion") == administration).limit(1).select(
+        unique_source(ours, ["Id_Administracion"], ADMINISTRATION.name).select(
             "Id_Administracion",
             F.col("Precio_Cochera_Default").alias("Precio_Cochera"),
             F.col("Precio_Baulera_Default").alias("Precio_Baulera"),

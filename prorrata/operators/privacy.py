@@ -17,10 +17,12 @@ from prorrata.operators.allocation import BLOCK_ROWS, Allocation, allocate_payme
 from prorrata.operators.imports import (
     Import, accounts_with_open_link, append_payments, import_links, stage_payments, stage_persons,
 )
+from prorrata.operators.reports import CONTACT, top_debtors
 from prorrata.operators.upsert import upsert
 from prorrata.schemas import PERSON, PERSONAL_COLUMNS
 
 DOCUMENT_INDEX, ACCOUNT_INDEX, PAYMENT_INDEX = "dni_bidx", "cbu_bidx", "cuenta_bidx"
+CONTACT_INDEX = "contacto_bidx"
 
 
 @dataclass(frozen=True)
@@ -44,7 +46,9 @@ class Keys:
 
 
 def blind_index(value: Column, keys: Keys) -> Column:
-    return F.sha2(F.concat(F.lit(keys.pepper), value), 256)
+    """Keyed hash in two layers, so that no index can be continued to that of a longer value."""
+    pepper = F.lit(keys.pepper + "\n")
+    return F.sha2(F.concat(pepper, F.sha2(F.concat(pepper, value), 256)), 256)
 
 
 def encrypted(value: Column, keys: Keys) -> Column:
@@ -65,6 +69,11 @@ def encrypt_persons(persons: DataFrame, keys: Keys) -> DataFrame:
     ).withColumns(personal)
 
 
+def with_contact_index(persons: DataFrame, keys: Keys) -> DataFrame:
+    """Persons in the clear with the index of what the debtor report shows of them; people who share it are one."""
+    return persons.withColumn(CONTACT_INDEX, blind_index(F.to_json(F.struct(*CONTACT)), keys))
+
+
 def decrypt_persons(persons: DataFrame, keys: Keys) -> DataFrame:
     return persons.withColumns({c: decrypted(F.col(c), keys) for c in PERSONAL_COLUMNS})
 
@@ -118,3 +127,12 @@ def allocate_encrypted_payments(
 ) -> Allocation:
     """Needs no key at all: accounts meet by their index."""
     return allocate_payments(bills, payments, persons, links, cutoff, PAYMENT_INDEX, ACCOUNT_INDEX, block_rows)
+
+
+def top_encrypted_debtors(
+    bills: DataFrame, units: DataFrame, links: DataFrame, persons: DataFrame, keys: Keys, **choice
+) -> DataFrame:
+    """`reports.top_debtors` over encrypted persons (with CONTACT_INDEX); only the winners are opened."""
+    return top_debtors(
+        bills, units, links, persons, **choice, contact=F.col(CONTACT_INDEX), opened=lambda p: decrypt_persons(p, keys)
+    )

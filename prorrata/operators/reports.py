@@ -3,19 +3,27 @@
 Each report covers all buildings, or one when `condominium` is given. Applied
 money is summed per bill before it meets the bill, so a bill or unit that
 received a large part of all payments reaches the joins as a few rows.
-Windows only ever run over calendar-sized groups.
+Windows only ever run over calendar-sized groups. Reports come in the order of
+their keys.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from prorrata.functions.dates import in_year, month_start, week_number, year_month
 from prorrata.functions.money import ZERO, money, proportion
 from prorrata.schemas import BILL_KEY, UNIT_KEY
-from prorrata.sources.workarea import checkpointed
+from prorrata.sources.workarea import written
+
+# A balance up to this counts as paid.
+SMALLEST_DEBT = Decimal("0.01")
+# What the debtor report shows of a person.
+CONTACT = ("Apellido", "Nombre", "DNI", "Email", "Telefono")
 
 ORDINARY = "Importe_Ordinario_Prorrateado"
 EXTRAORDINARY = "Importe_Extraordinario_Prorrateado"
@@ -76,7 +84,7 @@ def weekly_collection(
         money(F.col("TotalSemana")).alias("TotalSemana"),
         money(F.sum("TotalSemana").over(building.orderBy("Anio", "Semana"))).alias("AcumuladoProgresivo"),
         money(F.avg("TotalSemana").over(building)).alias("PromedioPeriodo"),
-    )
+    ).orderBy("Id_Consorcio", "Anio", "Semana")
 
 
 def monthly_by_department(
@@ -103,11 +111,13 @@ def monthly_by_department(
         .agg(money(F.sum("Usado")).alias("Usado"))
     )
     if months is None:
-        cells = checkpointed(cells)  # read twice: for the list of months and for the table
+        cells = written(cells, "cells")  # read twice: for the list of months and for the table
         months = [row.Mes for row in cells.select("Mes").distinct().orderBy("Mes").collect()]
     if not months:
         return cells.select("Id_Consorcio", "Departamento").limit(0)
-    return cells.groupBy("Id_Consorcio", "Departamento").pivot("Mes", months).agg(F.first("Usado"))
+    return cells.groupBy("Id_Consorcio", "Departamento").pivot("Mes", months).agg(F.first("Usado")).orderBy(
+        "Id_Consorcio", "Departamento"
+    )
 
 
 def collection_by_origin(
@@ -147,12 +157,14 @@ def collection_by_origin(
             total(share(EXTRAORDINARY, ORDINARY)).alias("Extraordinario"),
             total(F.col("Usado")).alias("Importe"),
         )
+        .orderBy("Id_Consorcio", "Periodo")
     )
 
 
 def _top_months(monthly: DataFrame, amount: str, size: int) -> DataFrame:
     ranking = W.partitionBy("Id_Consorcio", "Anio").orderBy(F.desc(amount), "Mes")
-    return monthly.withColumn("Puesto", F.row_number().over(ranking)).filter(F.col("Puesto") <= size)
+    best = monthly.withColumn("Puesto", F.row_number().over(ranking)).filter(F.col("Puesto") <= size)
+    return best.orderBy("Id_Consorcio", "Anio", "Puesto")
 
 
 def top_expense_months(
@@ -213,11 +225,15 @@ def top_debtors(
     condominium: int | None = None,
     floor: str | None = None,
     size: int = 3,
+    contact: Column | None = None,
+    opened: Callable[[DataFrame], DataFrame] = lambda persons: persons,
 ) -> DataFrame:
     """People linked to the units with the largest open balances, per building, floor and year.
 
     Balances carry earlier debt, so the sum over months counts it again, and
-    tenants appear next to owners: both as the report is defined.
+    tenants appear next to owners: both as the report is defined. People of
+    equal *contact* (by default a hash of what is shown) are one; the contact
+    itself is joined, and *opened*, for the winners only.
     """
     open_bills = _of_condominium(bills, condominium)
     if year is not None:
@@ -229,31 +245,34 @@ def top_debtors(
     current = _of_condominium(links, condominium).filter(F.col("Fecha_Fin").isNull())
 
     debts = (
-        open_bills.filter(balance > 0.01)
+        open_bills.filter(balance > F.lit(SMALLEST_DEBT))
         .select(*BILL_KEY, balance.alias("Saldo"))
         .join(floors, UNIT_KEY)
         .join(current.select(*UNIT_KEY, "Id_Persona"), UNIT_KEY)
         .groupBy("Id_Consorcio", "Piso", "Id_Persona", "Periodo")
         .agg(F.sum("Saldo").alias("Saldo"))
     )
-    contact = persons.select(
-        "Id_Persona",
-        F.concat("Apellido", F.lit(", "), "Nombre").alias("Propietario"),
-        "DNI",
-        "Email",
-        "Telefono",
-    )
-    identity = ["Propietario", "DNI", "Email", "Telefono"]
+    contact = F.sha2(F.to_json(F.struct(*CONTACT)), 256) if contact is None else contact
     totals = (
-        debts.join(contact, "Id_Persona")
-        .groupBy("Id_Consorcio", "Piso", F.year("Periodo").alias("Anio"), *identity)
+        debts.join(persons.select("Id_Persona", contact.alias("contacto")), "Id_Persona")
+        .groupBy("Id_Consorcio", "Piso", F.year("Periodo").alias("Anio"), "contacto")
         .agg(
             money(F.sum("Saldo")).alias("DeudaTotalAcumulada"),
             F.count_distinct("Periodo").alias("Cant_Periodos_Adeudados"),
+            F.min("Id_Persona").alias("Id_Persona"),
         )
     )
-    ranking = W.partitionBy("Id_Consorcio", "Piso", "Anio").orderBy(F.desc("DeudaTotalAcumulada"), "DNI", *identity)
-    return totals.withColumn("Puesto", F.row_number().over(ranking)).filter(F.col("Puesto") <= size)
+    place = W.partitionBy("Id_Consorcio", "Piso", "Anio")
+    largest = F.rank().over(place.orderBy(F.desc("DeudaTotalAcumulada")))
+    winners = totals.withColumn("Puesto", largest).filter(F.col("Puesto") <= size).drop("Puesto", "contacto")
+    identity = ["Propietario", "DNI", "Email", "Telefono"]
+    shown = opened(persons.join(winners, "Id_Persona")).select(
+        "Id_Consorcio", "Piso", "Anio", F.concat("Apellido", F.lit(", "), "Nombre").alias("Propietario"), *identity[1:],
+        "DeudaTotalAcumulada", "Cant_Periodos_Adeudados",
+    )
+    ranking = place.orderBy(F.desc("DeudaTotalAcumulada"), "DNI", *identity)
+    ranked = shown.withColumn("Puesto", F.row_number().over(ranking)).filter(F.col("Puesto") <= size)
+    return ranked.orderBy("Id_Consorcio", "Piso", "Anio", "Puesto")
 
 
 def payment_intervals(
@@ -293,4 +312,5 @@ def payment_intervals(
             F.date_format("Siguiente", "yyyy-MM-dd").alias("FechaPagoSiguiente"),
             F.datediff("Siguiente", "Fecha").alias("DiasEntrePagos"),
         )
+        .orderBy(*UNIT_KEY, "FechaPago", "FechaPagoSiguiente")
     )

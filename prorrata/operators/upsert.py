@@ -21,18 +21,13 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 def unique_source(source: DataFrame, keys: list[str], name: str) -> DataFrame:
     """*source* as it is; the job fails, naming the key, if a key occurs twice.
 
-    The check is part of the plan: it needs the same shuffle by key as the
-    join that follows, and no extra job.
+    The check is part of the plan: rows are numbered on the shuffle and the
+    sort by key that the join that follows needs anyway.
     """
-    values = [c for c in source.columns if c not in keys]
     message = F.concat(F.lit(f"{name}: more than one source row for "), F.to_json(F.struct(*keys)))
-    grouped = source.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_rows"), F.first(F.struct(*(values or keys))).alias("_row")
-    )
-    row = F.when(F.col("_rows") > 1, F.raise_error(message)).otherwise(F.col("_row"))
-    if not values:
-        return grouped.filter(row.isNotNull()).select(*keys)
-    return grouped.select(*keys, row.alias("_row")).select(*keys, "_row.*").select(source.columns)
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(*keys))
+    once = F.when(F.col("_place") > 1, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+    return source.withColumn("_place", place).filter(once).select(source.columns)
 
 
 def assign_ids(rows: DataFrame, id_column: str, order: list[str], after: int) -> DataFrame:
@@ -83,8 +78,6 @@ def upsert(
     target has keep their value.
     """
     source = unique_source(source, keys, name)
-    if id_column is not None:
-        source = written(source, "source")  # read for the known rows and for the new ones
     updated = [c for c in source.columns if c not in keys]
     renamed = source.withColumnsRenamed({c: f"_new_{c}" for c in updated}).withColumn("_in_source", F.lit(True))
 
@@ -97,5 +90,10 @@ def upsert(
     columns = [merged(c) for c in target.columns]
     if id_column is None:
         return target.join(renamed, keys, "full").select(columns)
-    known = target.join(renamed, keys, "left").select(columns)
-    return known.unionByName(_new_rows(target, source, keys, id_column))
+    # One join tells updates from new rows; the new ones are numbered from their own part of the written result.
+    both = target.withColumn("_in_target", F.lit(True)).join(renamed, keys, "full")
+    both = written(both.select(*columns, F.col("_in_target").isNull().alias("_is_new")), "merged", ("_is_new",))
+    known = both.filter(~F.col("_is_new")).select(target.columns)
+    new = both.filter("_is_new").select([c for c in target.columns if c != id_column])
+    last = known.agg(F.max(id_column)).first()[0] or 0
+    return known.unionByName(assign_ids(new, id_column, keys, last).select(target.columns))

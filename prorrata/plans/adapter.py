@@ -14,13 +14,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from prorrata.functions.dates import month_start
 from prorrata.functions.money import PERCENT, money
-from prorrata.operators.billing import prorate_bills, settlement_headers
+from prorrata.operators.billing import bills_of_shares, settlement_headers, unit_shares
 from prorrata.schemas import BILL, BILL_KEY, UNIT_KEY
 from prorrata.seeds import BANK_TRANSFER, ON_TIME, OWNER, TENANT
 
-START, END = dt.date(1995, 1, 1), dt.date(2001, 12, 31)
-FIRST_MONTH, LAST_MONTH = dt.date(1995, 1, 1), dt.date(2001, 12, 1)
+# When the derived settlements are issued, and when people moved in.
 EMISSION = dt.date(2002, 1, 15)
+MOVED_IN = dt.date(1995, 1, 1)
 
 
 def account_of(customer_key: Column) -> Column:
@@ -37,6 +37,19 @@ class Domain:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @cached_property
+    def span(self) -> tuple[dt.date, dt.date]:
+        """First and last day on which anything was spent or paid (a month of nothing if there is neither)."""
+        days = [self.table("lineitem").select(F.col("l_shipdate").alias("day")), self.table("orders").select(F.col("o_orderdate").alias("day"))]
+        ends = [d.agg(F.min("day").alias("first"), F.max("day").alias("last")) for d in days]
+        row = ends[0].unionByName(ends[1]).agg(F.min("first").cast("date"), F.max("last").cast("date")).first()
+        return (row[0], row[1]) if row[0] is not None else (EMISSION.replace(day=1), EMISSION)
+
+    @property
+    def months(self) -> tuple[dt.date, dt.date]:
+        """First days of the first and the last month of the span."""
+        return self.span[0].replace(day=1), self.span[1].replace(day=1)
+
     @cached_property
     def condominiums(self) -> DataFrame:
         price = F.lit(Decimal("1000.00"))
@@ -57,8 +70,7 @@ class Domain:
         sizes = customers.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("unidades"))
         key = F.col("c_custkey")
         # One generated file is one task; spread it before it grows to a row per month.
-        spread = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        return customers.join(sizes, "c_nationkey").repartition(spread, "c_custkey").select(
+        return customers.join(sizes, "c_nationkey").repartition("c_custkey").select(
             F.col("c_nationkey").alias("Id_Consorcio"),
             key.cast("string").alias("NroUF"),
             (key % 10).cast("string").alias("Piso"),
@@ -94,7 +106,7 @@ class Domain:
             key.cast("string").alias("NroUF"),
             key.alias("Id_Persona"),
             F.when(key % 4 == 0, TENANT).otherwise(OWNER).alias("Id_TipoRelacion"),
-            F.lit(START).alias("Fecha_Inicio"),
+            F.lit(MOVED_IN).alias("Fecha_Inicio"),
             F.lit(None).cast("date").alias("Fecha_Fin"),
         )
 
@@ -111,7 +123,7 @@ class Domain:
                 key.cast("string").alias("NroUF"),
                 (key - 1).alias("Id_Persona"),
                 F.lit(OWNER).alias("Id_TipoRelacion"),
-                F.lit(START).alias("Fecha_Inicio"),
+                F.lit(MOVED_IN).alias("Fecha_Inicio"),
                 F.lit(None).cast("date").alias("Fecha_Fin"),
             )
         )
@@ -163,9 +175,9 @@ class Domain:
 
     @cached_property
     def headers(self) -> DataFrame:
-        """Settlements of all buildings for every month of the range."""
+        """Settlements of all buildings for every month of the span."""
         return settlement_headers(
-            self.condominiums, self.ordinary, self.extraordinary, FIRST_MONTH, LAST_MONTH, as_of=EMISSION
+            self.condominiums, self.ordinary, self.extraordinary, *self.months, as_of=EMISSION
         )
 
     @cached_property
@@ -183,11 +195,16 @@ class Domain:
             F.col("Importe").alias("Importe_Usado"),
         )
 
+    @cached_property
+    def shares(self) -> DataFrame:
+        """What every unit owes of every settlement, before rounding."""
+        return unit_shares(self.headers, self.units, self.condominiums)
+
     @cached_property
     def unpaid_bills(self) -> DataFrame:
         """One bill per unit and month: the month's share alone, nothing carried, nothing paid."""
         nothing_before = self.spark.createDataFrame([], BILL.schema)
-        return prorate_bills(self.headers, self.units, self.condominiums, nothing_before)
+        return bills_of_shares(self.shares, nothing_before)
 
     @cached_property
     def bills(self) -> DataFrame:

@@ -31,8 +31,10 @@ EXPENSES = """expenses AS (
          CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 100 AS HUGEINT) AS cents
   FROM lineitem JOIN supplier ON s_suppkey = l_suppkey)"""
 
-HEADERS = """calendar AS (
-  SELECT CAST(m AS DATE) AS month FROM generate_series(DATE '1995-01-01', DATE '2001-12-01', INTERVAL 1 MONTH) t(m)),
+HEADERS = """span AS (
+  SELECT date_trunc('month', min(day))::DATE AS first, date_trunc('month', max(day))::DATE AS last
+  FROM (SELECT l_shipdate AS day FROM lineitem UNION ALL SELECT o_orderdate FROM orders)),
+calendar AS (SELECT CAST(unnest(generate_series(first, last, INTERVAL 1 MONTH)) AS DATE) AS month FROM span),
 sums AS (
   SELECT building, month, sum(CASE WHEN special THEN 0 ELSE cents END)::HUGEINT AS ord,
          sum(CASE WHEN special THEN cents ELSE 0 END)::HUGEINT AS ext
@@ -64,8 +66,8 @@ def _ratio(part: str, whole: str) -> str:
     return f"((2 * {part} * 10000000000000 + {whole}) // (2 * {whole}))"
 
 
-def _with(*parts: str) -> str:
-    return "WITH RECURSIVE " + ",\n".join(parts) + "\n"
+def _with(*parts: str, recursive: bool = False) -> str:
+    return "WITH " + "RECURSIVE " * recursive + ",\n".join(parts) + "\n"
 
 
 REPORT_BASE = (CONDOMINIUMS, UNITS, PAYMENTS, EXPENSES, HEADERS, BILLS)
@@ -99,10 +101,9 @@ FROM headers"""
     sql["o10_prorate_bills"] = (
         _with(*REPORT_BASE)
         + f""", carried AS (
-  SELECT b.*, coalesce(v.total - coalesce(p.cents, 0), 0)::HUGEINT AS rest
+  SELECT b.*, coalesce(lag(b.total - coalesce(p.cents, 0)) OVER (PARTITION BY b.building, b.unit ORDER BY b.month), 0)::HUGEINT AS rest
   FROM bills b
-  LEFT JOIN bills v ON v.building = b.building AND v.unit = b.unit AND v.month = (b.month - INTERVAL 1 MONTH)::DATE
-  LEFT JOIN paid p ON p.building = v.building AND p.unit = v.unit AND p.month = v.month)
+  LEFT JOIN paid p ON p.building = b.building AND p.unit = b.unit AND p.month = b.month)
 SELECT building AS "Id_Consorcio", unit AS "NroUF", month AS "Periodo",
        {_money("rest")} AS "Saldo_Anterior", CAST(0 AS DECIMAL(18,2)) AS "Pagos_Recibidos_Mes",
        {_money("rest")} AS "Deuda", {_money(_half_away("rest * 5", 100))} AS "Interes_Por_Mora",
@@ -119,7 +120,7 @@ FROM carried"""
   LEFT JOIN paid p ON p.building = b.building AND p.unit = b.unit AND p.month = b.month),
 chain AS (
   SELECT building, unit, month, paid, ord, ext, 0::HUGEINT AS rest, 0::HUGEINT AS interest, total, total - paid AS carry
-  FROM settled WHERE month = DATE '1995-01-01'
+  FROM settled WHERE month = (SELECT min(month) FROM calendar)
   UNION ALL
   SELECT s.building, s.unit, s.month, s.paid, s.ord, s.ext, c.carry,
          {_half_away("greatest(c.carry, 0) * 5", 100)},
@@ -127,6 +128,7 @@ chain AS (
          {_half_away("(100 * (c.carry + s.ord + s.ext - s.paid) + 5 * greatest(c.carry, 0))", 100)}
   FROM chain c JOIN settled s ON s.building = c.building AND s.unit = c.unit
        AND s.month = (c.month + INTERVAL 1 MONTH)::DATE)""",
+            recursive=True,
         )
         + f"""SELECT building AS "Id_Consorcio", unit AS "NroUF", month AS "Periodo",
        {_money("rest")} AS "Saldo_Anterior", {_money("paid")} AS "Pagos_Recibidos_Mes",
@@ -144,7 +146,7 @@ WITH links AS (
 ranked AS (
   SELECT o_orderkey, o_orderdate, o_totalprice, building, unit,
          row_number() OVER (PARTITION BY o_orderkey ORDER BY building, unit) AS place
-  FROM orders JOIN links ON person = o_custkey WHERE o_orderdate <= DATE '2001-12-31')
+  FROM orders JOIN links ON person = o_custkey)
 SELECT o_orderkey AS "Id_Pago", CAST(o_orderdate AS DATE) AS "Fecha", CAST(o_totalprice AS DECIMAL(18,2)) AS "Importe",
        building AS "Id_Consorcio", unit AS "NroUF"
 FROM ranked WHERE place = 1"""
@@ -271,7 +273,11 @@ SELECT "Id_Consorcio", "Anio", '<ReporteTopMesesIngresosGastos>' || chr(10)
        || '</ReporteTopMesesIngresosGastos>' AS xml
 FROM listed"""
 
+    sql["o19_top_debtors_encrypted"] = sql["o19_top_debtors"]
     sql.update(_import_queries())
+    sql.update(_reject_queries())
+    for kind in ("units", "persons", "links", "payments", "expenses"):
+        sql[f"{FILE_QUERIES[kind]}_file"] = sql[FILE_QUERIES[kind]]
     sql.update(_privacy_queries(sql))
     sql.update(_other_queries())
     sql.update(_allocation_queries())
@@ -285,6 +291,49 @@ _PERSON = """c_custkey AS "Id_Persona", CAST(c_custkey + 10000000 AS VARCHAR) AS
   c_custkey % 4 = 0 AS inquilino, lpad(CAST(c_custkey AS VARCHAR), 22, '0') AS "Cbu_Cvu\""""
 
 
+# Imports that also run from files.
+FILE_QUERIES = {
+    "units": "o02_import_units",
+    "persons": "o03_import_persons",
+    "links": "o04_import_links",
+    "payments": "o05_import_payments",
+    "expenses": "o07_import_expenses",
+}
+
+
+def _reject_queries() -> dict[str, str]:
+    return {
+        "o01_rejected_condominiums": """
+SELECT lower(c_name) AS "Nombre del consorcio",
+       CASE WHEN c_custkey % 17 = 0 THEN 'condominium missing' ELSE 'condominium is not a number' END AS reason
+FROM customer WHERE c_custkey % 17 = 0 OR c_custkey % 13 = 0""",
+        "o03_rejected_persons": """
+SELECT CAST(o_orderkey AS VARCHAR) AS "Telefono",
+       CASE WHEN o_orderkey % 11 = 0 THEN 'document is not a number' ELSE 'document missing' END AS reason
+FROM orders WHERE o_orderkey % 11 = 0 OR o_orderkey % 13 = 0""",
+        "o04_rejected_links": """
+SELECT DISTINCT CASE WHEN c_custkey % 7 = 0 THEN 'unknown' ELSE lpad(CAST(c_custkey AS VARCHAR), 22, '0') END AS account,
+       CASE WHEN c_custkey % 11 = 0 THEN 'ZZZ' ELSE CAST(c_custkey AS VARCHAR) END AS "NroUF",
+       'NATION_' || c_nationkey AS consorcio,
+       CASE WHEN c_custkey % 7 = 0 THEN 'unknown account' ELSE 'unknown unit' END AS reason
+FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_custkey % 7 = 0 OR c_custkey % 11 = 0""",
+        "o05_rejected_payments": """
+SELECT CAST(o_orderkey AS VARCHAR) AS id, 'account or amount missing' AS reason FROM orders WHERE o_orderkey % 21 = 0""",
+        "o06_rejected_suppliers": """
+SELECT CAST(s_suppkey AS VARCHAR) AS "F3", 'title or header' AS reason FROM supplier
+WHERE s_suppkey % 9 = 0 OR s_suppkey % 7 = 0""",
+        "o07_rejected_expenses": """
+WITH cells AS (
+  SELECT DISTINCT s_nationkey AS b, month(l_shipdate) AS m, l_linenumber AS n
+  FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),
+counts AS (
+  SELECT 'unknown month' AS reason, count(*) AS n FROM cells WHERE m = 12
+  UNION ALL
+  SELECT 'amount missing', (SELECT 7 * count(DISTINCT (b, m)) FROM cells) - (SELECT count(*) FROM cells))
+SELECT reason, CAST(n AS BIGINT) AS filas FROM counts WHERE n > 0""",
+    }
+
+
 def _import_queries() -> dict[str, str]:
     sql = {}
     sql["o01_import_condominiums"] = """
@@ -351,8 +400,8 @@ FROM merged, top"""
 
     sql["o03_import_persons"] = persons('"DNI"')
     sql["o25_import_encrypted_persons"] = persons(
-        """sha256('generated-data' || "DNI")""",
-        """, sha256('generated-data' || "DNI") AS dni_bidx, sha256('generated-data' || "Cbu_Cvu") AS cbu_bidx""",
+        """sha256('generated-data' || chr(10) || sha256('generated-data' || chr(10) || "DNI"))""",
+        """, sha256('generated-data' || chr(10) || sha256('generated-data' || chr(10) || "DNI")) AS dni_bidx, sha256('generated-data' || chr(10) || sha256('generated-data' || chr(10) || "Cbu_Cvu")) AS cbu_bidx""",
     )
 
     sql["o04_import_links"] = """
@@ -380,7 +429,7 @@ SELECT o_orderkey AS "Id_Pago", 1 AS "Id_Forma_De_Pago",
        o_orderdate < DATE '1998-01-01' OR o_orderkey % 8 <> 0 AS "Es_Pago_Asociado", FALSE AS "Procesado"
 FROM orders WHERE o_orderdate < DATE '1998-01-01' OR o_orderkey % 21 <> 0"""
     sql["o27_import_encrypted_payments"] = (
-        f"""SELECT *, sha256('generated-data' || "Cuenta_Origen") AS cuenta_bidx FROM ({sql["o05_import_payments"]})"""
+        f"""SELECT *, sha256('generated-data' || chr(10) || sha256('generated-data' || chr(10) || "Cuenta_Origen")) AS cuenta_bidx FROM ({sql["o05_import_payments"]})"""
     )
 
     sql["o06_import_suppliers"] = """
@@ -432,7 +481,7 @@ FROM orders"""
 def _privacy_queries(sql: dict[str, str]) -> dict[str, str]:
     return {
         "o23_encrypt_persons": f"""
-SELECT *, sha256('generated-data' || "DNI") AS dni_bidx, sha256('generated-data' || "Cbu_Cvu") AS cbu_bidx, TRUE AS cifrado
+SELECT *, sha256('generated-data' || chr(10) || sha256('generated-data' || chr(10) || "DNI")) AS dni_bidx, sha256('generated-data' || chr(10) || sha256('generated-data' || chr(10) || "Cbu_Cvu")) AS cbu_bidx, TRUE AS cifrado
 FROM (SELECT {_PERSON} FROM customer)""",
         "o24_match_encrypted_accounts": """
 SELECT o_orderkey AS "Id_Pago", o_custkey AS "Id_Persona", lpad(CAST(o_custkey AS VARCHAR), 22, '0') AS "Cuenta_Origen"
@@ -504,7 +553,14 @@ decided AS (
         ("unidades.Unidad_Persona", "FOREIGN KEY unidades.Unidad_Funcional", "Id_Consorcio, NroUF"):
             "SELECT count(*) FROM customer WHERE c_custkey % 11 = 0 AND c_nationkey <> 7",
     }
+    missing = [
+        ("negocio.Consorcio", "MISSING TABLE negocio.Administracion", "Id_Administracion"),
+        ("gastos.Gasto_Ordinario", "MISSING COLUMN", "Descripcion"),
+        ("unidades.Unidad_Funcional", "MISSING COLUMN", "Piso"),
+        ("unidades.Unidad_Persona", "MISSING TABLE unidades.TipoRelacionPersonaUnidad", "Id_TipoRelacion"),
+    ]
     checks = [f"SELECT '{t}', '{r}', '{c}', CAST(0 AS BIGINT)" for t, r, c in satisfied]
+    checks += [f"SELECT '{t}', '{r}', '{c}', CAST(1 AS BIGINT)" for t, r, c in missing]
     checks += [f"SELECT '{t}', '{r}', '{c}', CAST(({q}) AS BIGINT)" for (t, r, c), q in counted.items()]
     return {
         "o29_change_units": decided
@@ -524,6 +580,30 @@ SELECT units.b AS "Id_Consorcio", units.u AS "NroUF",
 FROM units LEFT JOIN last ON last.b = units.b AND last.u = units.u""",
         "o29_rejected_changes": decided + "SELECT ordinal, reason FROM decided WHERE reason IS NOT NULL",
         "o30_integrity_checks": "SELECT * FROM (" + " UNION ALL ".join(checks) + ") t(tabla, regla, columnas, filas)",
+        "o31_all_seeds": """
+WITH booked AS (
+  SELECT l_returnflag = 'R' AS special, l_linenumber FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),
+used AS (
+  SELECT 'gastos.Tipo_Gasto_Ordinario' AS tabla, l_linenumber % 6 + 1 AS id, count(*) AS n FROM booked WHERE NOT special GROUP BY ALL
+  UNION ALL
+  SELECT 'gastos.Tipo_Pago_Extraordinario', l_linenumber % 3 + 1, count(*) FROM booked WHERE special GROUP BY ALL
+  UNION ALL
+  SELECT 'unidades.TipoRelacionPersonaUnidad', CASE WHEN c_custkey % 4 = 0 THEN 2 ELSE 1 END, count(*) FROM customer GROUP BY ALL
+  UNION ALL SELECT 'pagos.Forma_De_Pago', 1, count(*) FROM orders
+  UNION ALL SELECT 'pagos.Tipo_ingreso', 1, count(*) FROM orders JOIN customer ON c_custkey = o_custkey
+  UNION ALL SELECT 'negocio.Administracion', 1, count(*) FROM nation)
+SELECT t AS tabla, CAST(i AS INTEGER) AS id, nombre, CAST(coalesce(n, 0) AS BIGINT) AS filas
+FROM (VALUES ('negocio.Administracion', 1, 'Administradora Central'),
+  ('unidades.TipoRelacionPersonaUnidad', 1, 'Propietario'), ('unidades.TipoRelacionPersonaUnidad', 2, 'Inquilino'),
+  ('pagos.Forma_De_Pago', 1, 'Transferencia Bancaria'), ('pagos.Forma_De_Pago', 2, 'Efectivo'),
+  ('pagos.Forma_De_Pago', 3, 'Debito Automatico'), ('pagos.Tipo_ingreso', 1, 'EN TERMINO'),
+  ('pagos.Tipo_ingreso', 2, 'ADEUDADO'), ('pagos.Tipo_ingreso', 3, 'ADELANTADO'),
+  ('gastos.Tipo_Pago_Extraordinario', 1, 'Reparaciones'), ('gastos.Tipo_Pago_Extraordinario', 2, 'Mejoras'),
+  ('gastos.Tipo_Pago_Extraordinario', 3, 'Fondo de Reserva'), ('gastos.Tipo_Gasto_Ordinario', 1, 'BANCARIOS'),
+  ('gastos.Tipo_Gasto_Ordinario', 2, 'LIMPIEZA'), ('gastos.Tipo_Gasto_Ordinario', 3, 'ADMINISTRACION'),
+  ('gastos.Tipo_Gasto_Ordinario', 4, 'SEGUROS'), ('gastos.Tipo_Gasto_Ordinario', 5, 'GASTOS GENERALES'),
+  ('gastos.Tipo_Gasto_Ordinario', 6, 'SERVICIOS PUBLICOS'), ('gastos.Tipo_Servicio', 1, 'Agua'),
+  ('gastos.Tipo_Servicio', 2, 'Luz'), ('gastos.Tipo_Servicio', 3, 'Gas')) seeds(t, i, nombre) LEFT JOIN used ON tabla = t AND id = i""",
         "o31_seed_tables": """
 WITH kinds AS (
   SELECT unnest([1, 2, 3, 4, 5, 6]) AS kind,
@@ -597,6 +677,7 @@ def _ledger_sql(initial: str, events: str, *before: str) -> str:
                nullif(list_position(list_transform(r.bills, lambda z: z.t - z.p > 1), TRUE), 0) AS open
         FROM run r JOIN events e ON e.building = r.building AND e.unit = r.unit
              AND e.n = CASE WHEN r.remaining = 0 THEN r.n + 1 ELSE r.n END))))""",
+        recursive=True,
     )
 
 
@@ -611,15 +692,25 @@ _FINAL_BILLS = f"""SELECT building AS "Id_Consorcio", unit AS "NroUF", b.month A
 FROM (SELECT building, unit, unnest(arg_max(bills, (n, sequence))) AS b FROM run GROUP BY building, unit)"""
 
 
-def _allocation_queries() -> dict[str, str]:
-    given = _ledger_sql(
+# A third of all payments come from one account.
+HOT_PAYMENTS = PAYMENTS.replace(
+    "FROM orders JOIN", "FROM (SELECT * REPLACE (CASE WHEN o_orderkey % 3 = 0 THEN 5 ELSE o_custkey END AS o_custkey) FROM orders) JOIN"
+)
+
+
+def _given_sql(*base: str) -> str:
+    return _ledger_sql(
         """SELECT building, unit, list({'month': month, 'o': ord::BIGINT, 'x': ext::BIGINT, 'g': (ord + ext)::BIGINT,
              'p': 0::BIGINT, 'c': 0::BIGINT, 'i': 0::BIGINT, 'd': 0::BIGINT, 't': total::BIGINT} ORDER BY month) AS bills
            FROM bills GROUP BY building, unit""",
         """SELECT building, unit, id, cents::BIGINT AS cents, NULL::DATE AS month, NULL::BIGINT AS ord6, NULL::BIGINT AS ext6,
              row_number() OVER (PARTITION BY building, unit ORDER BY day, id) AS n FROM payments""",
-        *REPORT_BASE,
+        *base,
     )
+
+
+def _allocation_queries() -> dict[str, str]:
+    given = _given_sql(*REPORT_BASE)
     closing = _ledger_sql(
         f"SELECT building, unit, []::{_BILL_TYPE} AS bills FROM units",
         """SELECT *, row_number() OVER (PARTITION BY building, unit ORDER BY month, cents IS NOT NULL, day, id) AS n
@@ -636,3 +727,9 @@ def _allocation_queries() -> dict[str, str]:
         "o14_close_months_details": closing + _DETAILS,
         "o28_allocate_encrypted_payments": given + _DETAILS,
     }
+
+
+def slow_oracle_queries() -> dict[str, str]:
+    """SQL that is right but takes minutes at sf0.01, as it recurses once per payment of the hot account."""
+    hot = [HOT_PAYMENTS if part is PAYMENTS else part for part in REPORT_BASE]
+    return {"o13_hot_account": _given_sql(*hot) + _DETAILS}

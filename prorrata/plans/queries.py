@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import os
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -17,10 +18,12 @@ from prorrata.operators.unit_changes import change_units
 from prorrata.operators.upsert import upsert
 from prorrata.operators.workdays import business_days
 from prorrata.plans import raw_files as raw
-from prorrata.plans.adapter import EMISSION, END, FIRST_MONTH, LAST_MONTH, START, Domain
+from prorrata.plans.adapter import EMISSION, Domain, account_of
 from prorrata.schemas import BILL, PAYMENT_DETAIL, SETTLEMENT
 from prorrata.seeds import seed_table
+from prorrata.sources import files
 from prorrata.sources.files import top_months_xml, xml_row
+from prorrata.sources.workarea import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -87,6 +90,78 @@ def o07_import_expenses(d: Domain) -> DataFrame:
     return I.import_expenses(raw.expense_documents(d), d.condominiums, types, raw.existing_expenses(d), 2025).table
 
 
+@_query
+def o01_rejected_condominiums(d: Domain) -> DataFrame:
+    administrations = seed_table(d.spark, S.ADMINISTRATION)
+    done = I.import_condominiums(raw.condominium_sheet(d), administrations, raw.existing_condominiums(d), 1)
+    return done.rejects.select("Nombre del consorcio", "reason")
+
+
+@_query
+def o03_rejected_persons(d: Domain) -> DataFrame:
+    return I.stage_persons(raw.person_lines(d), "ordinal")[1].select("Telefono", "reason")
+
+
+@_query
+def o04_rejected_links(d: Domain) -> DataFrame:
+    done = I.import_links(raw.link_lines(d), d.condominiums, d.units, d.persons, raw.existing_links(d), TODAY)
+    return done.rejects.select("account", "NroUF", "consorcio", "reason")
+
+
+@_query
+def o05_rejected_payments(d: Domain) -> DataFrame:
+    return I.stage_payments(raw.payment_lines(d))[1].select("id", "reason")
+
+
+@_query
+def o06_rejected_suppliers(d: Domain) -> DataFrame:
+    done = I.import_suppliers(raw.supplier_sheet(d), d.condominiums, raw.existing_suppliers(d))
+    return done.rejects.select("F3", "reason")
+
+
+@_query
+def o07_rejected_expenses(d: Domain) -> DataFrame:
+    types = seed_table(d.spark, S.ORDINARY_TYPE)
+    done = I.import_expenses(raw.expense_documents(d), d.condominiums, types, raw.existing_expenses(d), 2025)
+    return done.rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("filas"))
+
+
+@_query
+def o02_import_units_file(d: Domain) -> DataFrame:
+    """From a file of tab-separated lines, as the following ones from theirs."""
+    old = d.units.filter(F.col("Departamento") != raw.NEW_DEPARTMENT).withColumn("Piso", F.lit("OLD"))
+    path = raw.delimited_file(raw.unit_lines(d), "units", "\t")
+    return I.import_units(files.read_units(d.spark, path), d.condominiums, old).table
+
+
+@_query
+def o03_import_persons_file(d: Domain) -> DataFrame:
+    lines = raw.person_lines(d).orderBy("ordinal").drop("ordinal")
+    path = raw.delimited_file(lines, "persons", ";")
+    return I.import_persons(files.read_persons(d.spark, path), raw.existing_persons(d)).table
+
+
+@_query
+def o04_import_links_file(d: Domain) -> DataFrame:
+    lines = files.read_links(d.spark, raw.delimited_file(raw.link_lines(d), "links", "|"))
+    return I.import_links(lines, d.condominiums, d.units, d.persons, raw.existing_links(d), TODAY).table
+
+
+@_query
+def o05_import_payments_file(d: Domain) -> DataFrame:
+    """The separator is a comma, so amounts have a point."""
+    lines = raw.payment_lines(d).withColumn("importe", F.translate("importe", ",", "."))
+    path = raw.delimited_file(lines, "payments", ",")
+    return I.import_payments(files.read_payments(d.spark, path), d.persons, d.links, raw.existing_payments(d)).table
+
+
+@_query
+def o07_import_expenses_file(d: Domain) -> DataFrame:
+    types = seed_table(d.spark, S.ORDINARY_TYPE)
+    documents = files.read_expenses(d.spark, raw.json_file(raw.expense_documents(d), "expenses"), lines=True)
+    return I.import_expenses(documents, d.condominiums, types, raw.existing_expenses(d), 2025).table
+
+
 @_query
 def o08_keyed_upsert(d: Domain) -> DataFrame:
     """Payments of the earlier years, corrected and continued by those of the later ones."""
@@ -103,7 +178,8 @@ def o09_settlement_headers(d: Domain) -> DataFrame:
 
 @_query
 def o10_prorate_bills(d: Domain) -> DataFrame:
-    return B.prorate_bills(d.headers, d.units, d.condominiums, previous=d.bills)
+    d.shares = written(d.shares, "shares")  # read for the earlier bills and for the new ones
+    return B.bills_of_shares(d.shares, previous=d.bills)
 
 
 @_query
@@ -114,17 +190,25 @@ def o11_recalculate_balances(d: Domain) -> DataFrame:
 @_query
 def o12_resolve_payments(d: Domain) -> DataFrame:
     accounts = A.units_of_accounts(d.persons, d.links.unionByName(d.second_links))
-    return A.resolve_payments(d.payments, accounts, END)
+    return A.resolve_payments(d.payments, accounts, d.span[1])
 
 
 @_query
 def o13_allocate_payments(d: Domain) -> DataFrame:
-    return A.allocate_payments(d.unpaid_bills, d.payments, d.persons, d.links, END).details
+    return A.allocate_payments(d.unpaid_bills, d.payments, d.persons, d.links, d.span[1]).details
+
+
+@_query
+def o13_hot_account(d: Domain) -> DataFrame:
+    """A third of all payments come from one account."""
+    hot = F.when(F.col("Id_Pago") % 3 == 0, account_of(F.lit(5))).otherwise(F.col("Cuenta_Origen"))
+    payments = d.payments.withColumn("Cuenta_Origen", hot)
+    return A.allocate_payments(d.unpaid_bills, payments, d.persons, d.links, d.span[1]).details
 
 
 @_query
 def o13_allocated_bills(d: Domain) -> DataFrame:
-    return A.allocate_payments(d.unpaid_bills, d.payments, d.persons, d.links, END).bills
+    return A.allocate_payments(d.unpaid_bills, d.payments, d.persons, d.links, d.span[1]).bills
 
 
 def _closed_books(d: Domain) -> Books:
@@ -135,7 +219,7 @@ def _closed_books(d: Domain) -> Books:
     today = d.condominiums.select(F.lit(EMISSION).alias("Fecha")).distinct()
     return close_months(
         books, d.condominiums, d.units, d.persons, d.links, d.ordinary, d.extraordinary,
-        business_days(today, d.holidays), FIRST_MONTH, LAST_MONTH, EMISSION,
+        business_days(today, d.holidays), *d.months, EMISSION,
     )
 
 
@@ -151,17 +235,17 @@ def o14_close_months_details(d: Domain) -> DataFrame:
 
 @_query
 def o15_weekly_collection(d: Domain) -> DataFrame:
-    return R.weekly_collection(d.payments, d.details, d.bills, START, END)
+    return R.weekly_collection(d.payments, d.details, d.bills, *d.span)
 
 
 @_query
 def o16_monthly_by_department(d: Domain) -> DataFrame:
-    return R.monthly_by_department(d.payments, d.details, d.units, START, END)
+    return R.monthly_by_department(d.payments, d.details, d.units, *d.span)
 
 
 @_query
 def o17_collection_by_origin(d: Domain) -> DataFrame:
-    return R.collection_by_origin(d.payments, d.details, d.bills, START, END)
+    return R.collection_by_origin(d.payments, d.details, d.bills, *d.span)
 
 
 @_query
@@ -184,9 +268,16 @@ def o19_top_debtors(d: Domain) -> DataFrame:
     return R.top_debtors(d.bills, d.units, d.links, d.persons)
 
 
+@_query
+def o19_top_debtors_encrypted(d: Domain) -> DataFrame:
+    keys = _keys()
+    stored = P.encrypt_persons(P.with_contact_index(d.persons, keys), keys)
+    return P.top_encrypted_debtors(d.bills, d.units, d.links, stored, keys)
+
+
 @_query
 def o20_payment_intervals(d: Domain) -> DataFrame:
-    return R.payment_intervals(d.payments, d.details, d.bills, START, END)
+    return R.payment_intervals(d.payments, d.details, d.bills, *d.span)
 
 
 @_query
@@ -196,7 +287,7 @@ def o22_business_days(d: Domain) -> DataFrame:
 
 @_query
 def o21_weekly_xml(d: Domain) -> DataFrame:
-    report = R.weekly_collection(d.payments, d.details, d.bills, START, END)
+    report = R.weekly_collection(d.payments, d.details, d.bills, *d.span)
     columns = [c for c in report.columns if c != "Id_Consorcio"]
     return report.select("Id_Consorcio", "Anio", "Semana", xml_row("Fila", *columns).alias("xml"))
 
@@ -257,7 +348,7 @@ def o27_import_encrypted_payments(d: Domain) -> DataFrame:
 def o28_allocate_encrypted_payments(d: Domain) -> DataFrame:
     keys = _keys()
     return P.allocate_encrypted_payments(
-        d.unpaid_bills, P.encrypt_payments(d.payments, keys), P.encrypt_persons(d.persons, keys), d.links, END
+        d.unpaid_bills, P.encrypt_payments(d.payments, keys), P.encrypt_persons(d.persons, keys), d.links, d.span[1]
     ).details
 
 
@@ -302,6 +393,31 @@ def o30_integrity_checks(d: Domain) -> DataFrame:
     )
 
 
+@_query
+def o31_all_seeds(d: Domain) -> DataFrame:
+    """Every seeded row with the number of derived rows that use it."""
+    uses = [
+        (S.ADMINISTRATION, d.condominiums.select("Id_Administracion")),
+        (S.RELATION_TYPE, d.links.select("Id_TipoRelacion")),
+        (S.PAYMENT_METHOD, d.payments.select("Id_Forma_De_Pago")),
+        (S.INCOME_TYPE, d.details.select("Id_Tipo_Ingreso")),
+        (S.EXTRAORDINARY_TYPE, d.extraordinary.select("Id_tipo_pago")),
+        (S.ORDINARY_TYPE, d.ordinary.select("Id_Tipo_Gasto")),
+        (S.SERVICE_TYPE, None),
+    ]
+    parts = []
+    for table, used in uses:
+        seeds = seed_table(d.spark, table)
+        key, name = seeds.columns[:2]
+        rows = seeds.select(F.lit(table.name).alias("tabla"), F.col(key).cast("int").alias("id"), F.col(name).alias("nombre"))
+        if used is None:
+            parts.append(rows.withColumn("filas", F.lit(0).cast("bigint")))
+            continue
+        counts = used.groupBy(F.col(used.columns[0]).cast("int").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+        parts.append(rows.join(counts, "id", "left").select("tabla", "id", "nombre", F.coalesce("n", F.lit(0)).alias("filas")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @_query
 def o31_seed_tables(d: Domain) -> DataFrame:
     """Seeded expense types with the expenses booked on each."""

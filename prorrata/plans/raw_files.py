@@ -7,6 +7,7 @@ values, repeated rows, unknown references, title rows.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -15,6 +16,7 @@ from prorrata.functions.money import money
 from prorrata.operators.imports import EXPENSE_COLUMNS
 from prorrata.plans.adapter import Domain, account_of
 from prorrata.seeds import TENANT
+from prorrata.sources.workarea import work_area
 
 # What earlier files brought: everything but one market segment, and payments before a day.
 NEW_SEGMENT, NEW_DEPARTMENT = "MACHINERY", "MACHI"
@@ -29,6 +31,21 @@ def _null() -> Column:
     return F.lit(None).cast("string")
 
 
+def delimited_file(lines: DataFrame, name: str, separator: str) -> str:
+    """Path of *lines* as text in the work area: a header, no quoting, empty for NULL, white space kept."""
+    path = f"{work_area(lines.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    writer = lines.write.option("sep", separator).option("header", True).option("quote", "").option("emptyValue", "")
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return path
+
+
+def json_file(documents: DataFrame, name: str) -> str:
+    """Path of *documents* in the work area, one object per line."""
+    path = f"{work_area(documents.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    documents.write.json(path)
+    return path
+
+
 def condominium_sheet(d: Domain) -> DataFrame:
     """One building per customer."""
     key = F.col("c_custkey")

@@ -2,30 +2,44 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# What this process writes lies under one name, so that close_work_area() can remove it.
+_RUN = uuid.uuid4().hex
+_local_folder: list[str] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder named by spark.checkpoint.dir; a temporary one only for local sessions without it."""
+    """Folder named by spark.checkpoint.dir.
+
+    Where it is unset, a session inside one process (master local or local[n])
+    gets a temporary folder that goes with the process; any other session fails.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="prorrata-work-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    if not _local_folder:
+        _local_folder.append(tempfile.mkdtemp(prefix="prorrata-work-"))
+        atexit.register(shutil.rmtree, _local_folder[0], ignore_errors=True)
+    return _local_folder[0]
+
+
+def work_area(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/prorrata-{_RUN}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, for small results that are used more than once."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
+def close_work_area(spark: SparkSession) -> None:
+    """Remove everything that this process has written; results that still read it must be stored before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(work_area(spark))
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
@@ -35,7 +49,7 @@ def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Dat
     table is columnar, so each later use reads only the columns and
     partitions it needs.
     """
-    path = f"{shared_folder(df.sparkSession)}/prorrata/{name}-{uuid.uuid4().hex}"
+    path = f"{work_area(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
