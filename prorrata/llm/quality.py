@@ -28,8 +28,9 @@ SAMPLE_BYTES = 16_000  # longer documents are no part of the sample
 BUCKETS = 1 << 18
 DIMENSION = 8
 NGRAMS = (3, 4, 5)
-EPOCHS = 10
-RATE = 1.0
+STEPS = 20_000  # documents that training looks at, each of the sample equally often
+RATE = 0.5
+BOUND = 40.0  # weights stay within, so that no sample can make the steps run away
 THRESHOLD = 0.3  # least score of a document that is predicted 1
 _CHUNK_CHARS = 1_000_000  # characters whose features are computed at a time
 _CUT = re.compile(r"[\x20\x09-\x0D]")
@@ -137,8 +138,9 @@ def train(texts: list[str], labels: list[int], shares: tuple[float, float]) -> M
     random = np.random.default_rng(0)
     vectors = random.uniform(-1 / DIMENSION, 1 / DIMENSION, (BUCKETS, DIMENSION)).astype(np.float32)
     layer = np.zeros((DIMENSION, 2), dtype=np.float32)
-    steps, done = EPOCHS * len(labels), 0
-    for _ in range(EPOCHS):
+    epochs, done = -(-STEPS // len(labels)), 0
+    steps = epochs * len(labels)
+    for _ in range(epochs):
         for i in random.permutation(len(labels)):
             buckets, part = documents[i]
             mean = part @ vectors[buckets]
@@ -148,9 +150,10 @@ def train(texts: list[str], labels: list[int], shares: tuple[float, float]) -> M
             error[labels[i]] -= 1.0
             error *= RATE * (1 - done / steps) * min(weight[labels[i]], 5.0)
             back = layer @ error
-            layer -= np.outer(mean, error)
+            layer = np.clip(layer - np.outer(mean, error), -BOUND, BOUND)
             # Averaged features get a gradient of 1 / count each; it is restored here, else rare ones never move.
-            vectors[buckets] -= np.minimum(part * len(buckets), 4.0)[:, None] * back
+            step = np.minimum(part * len(buckets), 4.0)[:, None] * back
+            vectors[buckets] = np.clip(vectors[buckets] - step, -BOUND, BOUND)
             done += 1
     return Model((vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float64))
 

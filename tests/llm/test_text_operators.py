@@ -84,6 +84,24 @@ def test_classifier_on_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 for r in checked)
 
 
+def test_training_stays_finite():
+    """Short equal texts with contradicting labels, and one text many times."""
+    texts = ["a a a", "b"] * 300 + ["the same text again"] * 600
+    labels = [0, 1] * 150 + [1, 0] * 150 + [1] * 500 + [0] * 100
+    scores = quality.train(texts, labels, (0.1, 0.9)).scores(["a a a", "b", "the same text again", "", "unseen"])
+    assert np.isfinite(scores).all() and ((0 <= scores) & (scores <= 1)).all() and scores[2] > 0.5
+
+
+def test_long_texts_are_scored_in_pieces(monkeypatch):
+    model = quality.Model(np.random.default_rng(1).standard_normal(quality.BUCKETS))
+    text = prose(random.Random(4), "en", 3000)
+    pieces = [p for [p] in quality.long_pieces(text, 700)]
+    assert "".join(pieces) == text and max(map(len, pieces)) < 720
+    whole = model.scores([text, "short"])
+    monkeypatch.setattr(quality, "_CHUNK_CHARS", 2000)
+    assert np.allclose(whole, model.scores([text, "short"]), atol=1e-3)
+
+
 def test_classifier_on_edge_rows(edge_docs, no_labels, no_docs):
     found = quality.classify(edge_docs, no_labels)
     assert found.count() == len(edge_rows()) and found.filter("score = 0.5 AND predicted = 1").count() == len(edge_rows())
