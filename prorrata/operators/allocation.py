@@ -84,7 +84,8 @@ def _rows(df: DataFrame, kind: int, **values: Column) -> DataFrame:
     """Any of the tables in the one row format that a unit's run takes; unused columns are 0."""
     types = {"month": "int", "day": "int", "id": "bigint", "block": "bigint", **{c: "bigint" for c in L.AMOUNTS}}
     columns = [values.get(name, F.lit(0)).cast(kind_).alias(name) for name, kind_ in types.items()]
-    return df.select(*UNIT_KEY, F.lit(kind).alias("kind"), *columns)
+    steps = values.get("steps", F.lit(None)).cast("array<bigint>").alias("steps")
+    return df.select(*UNIT_KEY, F.lit(kind).alias("kind"), *columns, steps)
 
 
 def bill_rows(bills: DataFrame) -> DataFrame:
@@ -93,19 +94,17 @@ def bill_rows(bills: DataFrame) -> DataFrame:
 
 
 def step_rows(steps: DataFrame) -> DataFrame:
-    """Steps have the unit, Periodo, Nuevo, and the unrounded shares of a bill to issue."""
-
-    def millionths(name: str) -> Column:
-        return (F.col(name) * F.lit(1_000_000)).cast("bigint")
-
-    return _rows(
-        steps,
-        L.STEP,
-        month=month_index(F.col("Periodo")),
-        day=F.col("Nuevo"),
-        c1=millionths("Ordinario"),
-        c2=millionths("Extraordinario"),
-    )
+    """Steps have the unit and `Pasos`, see `step_numbers`: one row per unit."""
+    return _rows(steps, L.STEP, steps=F.col("Pasos"))
+
+
+def step_numbers(month: Column, issues: Column, ordinary: Column, extraordinary: Column) -> Column:
+    """One step as four numbers: month, whether a bill is issued, and its unrounded shares in millionths."""
+
+    def millionths(share: Column) -> Column:
+        return (share * F.lit(1_000_000)).cast("bigint")
+
+    return F.array(month_index(month).cast("bigint"), issues.cast("bigint"), millionths(ordinary), millionths(extraordinary))
 
 
 _BLOCK_SCHEMA = (

@@ -77,35 +77,40 @@ def settlement_header(
     )
 
 
-def unit_shares(headers: DataFrame, units: DataFrame, condominiums: DataFrame) -> DataFrame:
-    """Unrounded share of every unit in its building's settlements.
+def units_with_months(months: DataFrame, units: DataFrame, condominiums: DataFrame) -> DataFrame:
+    """Every unit with its building's months as one array `meses`, and what its shares depend on.
 
-    The settlements of a building meet its units as one array, so a building
-    with very many units is as many small rows to the join, and grows to a row
-    per month only after it.
+    *months* has the building, Periodo and any other columns. A building with very
+    many units is as many small rows to the join, whatever the number of months.
     """
+    fields = [c for c in months.columns if c != "Id_Consorcio"]
     prices = condominiums.select("Id_Consorcio", "Precio_Cochera", "Precio_Baulera")
-    month = F.struct("Periodo", "Total_Gasto_Ordinarios", "Total_Gasto_Extraordinarios")
-    settled = headers.groupBy("Id_Consorcio").agg(F.collect_list(month).alias("meses")).join(prices, "Id_Consorcio")
-    spread = units.select(*UNIT_KEY, "Coeficiente", "Cochera", "Baulera").join(settled, "Id_Consorcio")
+    by_building = months.groupBy("Id_Consorcio").agg(F.collect_list(F.struct(*fields)).alias("meses"))
+    return units.select(*UNIT_KEY, "Coeficiente", "Cochera", "Baulera").join(
+        by_building.join(prices, "Id_Consorcio"), "Id_Consorcio"
+    )
+
+
+def shares_of(month: Column) -> tuple[Column, Column]:
+    """Unrounded ordinary and extraordinary share of a unit (`units_with_months`) in a settlement."""
 
     def by_coefficient(total: str) -> Column:
-        return F.col(total) * F.col("Coeficiente") / F.lit(100)
+        return month[total] * F.col("Coeficiente") / F.lit(100)
 
     def extra(feature: str, price: str) -> Column:
         return F.when(F.col(feature), F.col(price)).otherwise(F.lit(ZERO))
 
-    return spread.withColumn("mes", F.explode("meses")).select(
-        *UNIT_KEY,
-        F.col("mes.Periodo").alias("Periodo"),
-        (
-            by_coefficient("mes.Total_Gasto_Ordinarios")
-            + extra("Cochera", "Precio_Cochera")
-            + extra("Baulera", "Precio_Baulera")
-        )
-        .cast("decimal(24,6)")
-        .alias("Ordinario"),
-        by_coefficient("mes.Total_Gasto_Extraordinarios").cast("decimal(24,6)").alias("Extraordinario"),
+    ordinary = by_coefficient("Total_Gasto_Ordinarios") + extra("Cochera", "Precio_Cochera") + extra("Baulera", "Precio_Baulera")
+    return ordinary.cast("decimal(24,6)"), by_coefficient("Total_Gasto_Extraordinarios").cast("decimal(24,6)")
+
+
+def unit_shares(headers: DataFrame, units: DataFrame, condominiums: DataFrame) -> DataFrame:
+    """Unrounded share of every unit in its building's settlements."""
+    months = headers.select(*SETTLEMENT_KEY, "Total_Gasto_Ordinarios", "Total_Gasto_Extraordinarios")
+    spread = units_with_months(months, units, condominiums).withColumn("mes", F.explode("meses"))
+    ordinary, extraordinary = shares_of(F.col("mes"))
+    return spread.select(
+        *UNIT_KEY, F.col("mes.Periodo").alias("Periodo"), ordinary.alias("Ordinario"), extraordinary.alias("Extraordinario")
     )
 
 

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from prorrata.functions.dates import month_end, month_start
 from prorrata.operators.allocation import (
-    BLOCK_ROWS, mark_processed, resolve_payments, run_ledgers, units_of_accounts,
+    BLOCK_ROWS, mark_processed, resolve_payments, run_ledgers, step_numbers, units_of_accounts,
 )
-from prorrata.operators.billing import settlement_headers, unit_shares
+from prorrata.operators.billing import settlement_headers, shares_of, units_with_months
 from prorrata.schemas import SETTLEMENT_KEY, UNIT_KEY
 
 
@@ -56,18 +56,11 @@ def close_months(
     in_range = F.col("Periodo").between(F.lit(first), F.lit(last))
     settled = books.headers.filter(in_range).select(*SETTLEMENT_KEY)
 
-    new_steps = unit_shares(issued, units, condominiums).withColumn("Nuevo", F.lit(1))
-    old_steps = (
-        units.select(*UNIT_KEY)
-        .join(settled, "Id_Consorcio")
-        .select(
-            *UNIT_KEY,
-            "Periodo",
-            F.lit(None).cast("decimal(24,6)").alias("Ordinario"),
-            F.lit(None).cast("decimal(24,6)").alias("Extraordinario"),
-            F.lit(0).alias("Nuevo"),
-        )
-    )
+    months = issued.select(
+        *SETTLEMENT_KEY, "Total_Gasto_Ordinarios", "Total_Gasto_Extraordinarios", F.lit(1).alias("Nuevo")
+    ).unionByName(settled.withColumn("Nuevo", F.lit(0)), allowMissingColumns=True)
+    steps = F.transform("meses", lambda m: step_numbers(m["Periodo"], m["Nuevo"], *shares_of(m)))
+    plan = units_with_months(months, units, condominiums).select(*UNIT_KEY, F.flatten(steps).alias("Pasos"))
     last_step = (
         issued.select(*SETTLEMENT_KEY)
         .unionByName(settled)
@@ -83,7 +76,7 @@ def close_months(
         .filter(in_time)
         .drop("Ultimo")
     )
-    bills, details = run_ledgers(books.bills, new_steps.unionByName(old_steps), resolved, block_rows)
+    bills, details = run_ledgers(books.bills, plan, resolved, block_rows)
     return Books(
         headers=books.headers.unionByName(issued.select(books.headers.columns)),
         bills=bills,

@@ -293,7 +293,7 @@ class Output:
 
 
 def _values(column: pa.Array) -> list:
-    if column.null_count or pa.types.is_string(column.type):
+    if column.null_count or pa.types.is_string(column.type) or pa.types.is_list(column.type):
         return column.to_pylist()
     return column.to_numpy().tolist()  # much faster than value by value
 
@@ -398,7 +398,8 @@ def run_unit(rows: dict[str, list], out: Output) -> None:
         if kind == BILL:
             ledger.insert(month, [column[i] for column in amounts])
         elif kind == STEP:
-            steps.append((month, rows["day"][i], amounts[0][i], amounts[1][i]))
+            numbers = rows["steps"][i]
+            steps += zip(numbers[::4], numbers[1::4], numbers[2::4], numbers[3::4])
         elif kind == PAYMENT:
             payments.setdefault((month, block), []).append((rows["day"][i], rows["id"][i], amounts[0][i] or 0))
         elif kind == BLOCK:

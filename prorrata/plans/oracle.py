@@ -725,6 +725,7 @@ def _allocation_queries() -> dict[str, str]:
         "o13_allocated_bills": given + _FINAL_BILLS,
         "o14_close_months": closing + _FINAL_BILLS,
         "o14_close_months_details": closing + _DETAILS,
+        "o14_continue_closing": closing + _FINAL_BILLS,
         "o28_allocate_encrypted_payments": given + _DETAILS,
     }
 

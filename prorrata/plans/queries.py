@@ -211,15 +211,18 @@ def o13_allocated_bills(d: Domain) -> DataFrame:
     return A.allocate_payments(d.unpaid_bills, d.payments, d.persons, d.links, d.span[1]).bills
 
 
-def _closed_books(d: Domain) -> Books:
+def _closed_books(d: Domain, books: Books | None = None, last: dt.date | None = None) -> Books:
+    """All months closed, up to *last*; empty *books* at first."""
+
     def empty(table):
         return d.spark.createDataFrame([], table.schema)
 
-    books = Books(empty(SETTLEMENT), empty(BILL), d.payments, empty(PAYMENT_DETAIL))
+    if books is None:
+        books = Books(empty(SETTLEMENT), empty(BILL), d.payments, empty(PAYMENT_DETAIL))
     today = d.condominiums.select(F.lit(EMISSION).alias("Fecha")).distinct()
     return close_months(
         books, d.condominiums, d.units, d.persons, d.links, d.ordinary, d.extraordinary,
-        business_days(today, d.holidays), *d.months, EMISSION,
+        business_days(today, d.holidays), d.months[0], last or d.months[1], EMISSION,
     )
 
 
@@ -233,6 +236,14 @@ def o14_close_months_details(d: Domain) -> DataFrame:
     return _closed_books(d).details
 
 
+@_query
+def o14_continue_closing(d: Domain) -> DataFrame:
+    """Closed up to the middle of the span, then all months again: the settled ones stay."""
+    first, last = d.months
+    middle = (first + (last - first) / 2).replace(day=1)
+    return _closed_books(d, _closed_books(d, last=middle)).bills
+
+
 @_query
 def o15_weekly_collection(d: Domain) -> DataFrame:
     return R.weekly_collection(d.payments, d.details, d.bills, *d.span)

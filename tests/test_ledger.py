@@ -10,9 +10,10 @@ from decimal import ROUND_HALF_UP, Decimal
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from prorrata.operators import ledger as L
-from prorrata.operators.allocation import allocate_payments, run_ledgers
+from prorrata.operators.allocation import allocate_payments, run_ledgers, step_numbers
 from prorrata.schemas import BILL, PAYMENT, PERSON, UNIT_PERSON
 from tests.conftest import rows
 
@@ -69,13 +70,14 @@ class Model:
 
 
 def input_table(rows_):
-    names = ["Id_Consorcio", "NroUF", "kind", "month", "day", "id", "block", *L.AMOUNTS]
+    names = ["Id_Consorcio", "NroUF", "kind", "month", "day", "id", "block", *L.AMOUNTS, "steps"]
+    types = {"NroUF": pa.string(), "steps": pa.list_(pa.int64())}
     columns = {n: [] for n in names}
     for row in rows_:
         full = {"Id_Consorcio": 1, "NroUF": "1", **row}
         for name in names:
             columns[name].append(full.get(name))
-    return pa.table({n: pa.array(v, pa.string() if n == "NroUF" else pa.int64()) for n, v in columns.items()})
+    return pa.table({n: pa.array(v, types.get(n, pa.int64())) for n, v in columns.items()})
 
 
 def result(table):
@@ -120,7 +122,7 @@ def test_cycle_of_one_unit_equals_the_literal_rules(seed):
             if p_month == month:
                 model.pay(number, amount, details)
     data = [
-        dict(kind=L.STEP, month=m, day=1, c1=int(o * 10**6), c2=int(e * 10**6)) for m, o, e in steps
+        dict(kind=L.STEP, steps=[n for m, o, e in steps for n in (m, 1, int(o * 10**6), int(e * 10**6))])
     ] + [
         dict(kind=L.PAYMENT, month=m, day=m * 31 + d, id=n, block=0, c1=int(a * 100)) for m, d, n, a in payments
     ]
@@ -216,6 +218,8 @@ def test_hot_units_give_the_same_result_in_blocks(spark, seed):
     steps = spark.createDataFrame(
         [(1, u, m, Decimal("333.333333"), Decimal("10"), 1) for u in ("1", "2", "3") for m in UNIT_MONTHS], steps_schema
     )
+    numbers = step_numbers(F.col("Periodo"), F.col("Nuevo"), F.col("Ordinario"), F.col("Extraordinario"))
+    steps = steps.groupBy("Id_Consorcio", "NroUF").agg(F.flatten(F.collect_list(numbers)).alias("Pasos"))
     none = spark.createDataFrame([], BILL.schema)
     for start, plan in ((frames[0], None), (none, steps)):
         whole = run_ledgers(start, plan, frames[1])
