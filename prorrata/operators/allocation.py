@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -131,7 +132,12 @@ def payment_blocks(resolved: DataFrame, block_rows: int) -> DataFrame:
     return written(ranges.mapInArrow(lambda batches: L.cut_blocks(batches, block_rows), _BLOCK_SCHEMA), "blocks", ("read",))
 
 
-def _run(rows: DataFrame) -> DataFrame:
+def recalculated_bills(bills: DataFrame) -> DataFrame:
+    """Bills with the balances of every unit carried forward from its first month."""
+    return _bills(_run(bill_rows(bills), L.recalculate_units))
+
+
+def _run(rows: DataFrame, work: Callable = L.run_units) -> DataFrame:
     """Run every unit: one shuffle by unit, and whole batches, not single units, cross into Python.
 
     Numbering the rows of each unit makes Spark gather and sort them by unit,
@@ -139,7 +145,7 @@ def _run(rows: DataFrame) -> DataFrame:
     it can be dropped where the input seems to be partitioned already.)
     """
     in_order = W.partitionBy(*UNIT_KEY).orderBy("month", "kind", "day", "id")
-    return rows.withColumn("position", F.row_number().over(in_order)).mapInArrow(L.run_units, _RUN_SCHEMA)
+    return rows.withColumn("position", F.row_number().over(in_order)).mapInArrow(work, _RUN_SCHEMA)
 
 
 def _of_kind(df: DataFrame, kind: int) -> DataFrame:
