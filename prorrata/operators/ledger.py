@@ -9,7 +9,7 @@ when a bill is issued. NULL amounts stay None.
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -350,24 +350,8 @@ def cut_blocks(batches: Iterator[pa.RecordBatch], block_rows: int) -> Iterator[p
 BLOCK_COLUMNS = ["Id_Consorcio", "NroUF", "kind", "month", "day", "id", "block", "c1", "read"]
 
 
-def recalculate_unit(rows: dict[str, list], out: Output) -> None:
-    """Carry the balances of a unit's bills forward from its first month."""
-    ledger, amounts = Ledger(), [rows[name] for name in AMOUNTS]
-    for i, month in enumerate(rows["month"]):
-        ledger.insert(month, [column[i] for column in amounts])
-    ledger.recalculate(0, everything=True)
-    out.bills(ledger, BILL)
-
-
-def recalculate_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return run_units(batches, recalculate_unit)
-
-
-def run_units(
-    batches: Iterator[pa.RecordBatch], work: Callable[[dict[str, list], Output], None] | None = None
-) -> Iterator[pa.RecordBatch]:
+def run_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Work through a partition sorted by unit and month, one unit at a time."""
-    work = work or run_unit
     current, rows, out = None, {}, Output()
     for batch in batches:
         columns = {name: _values(batch.column(name)) for name in batch.schema.names}
@@ -384,7 +368,7 @@ def run_units(
                     rows[name] += values
             else:
                 if current is not None:
-                    work(rows, out)
+                    run_unit(rows, out)
                     out.end_unit(*current)
                     if len(out.kind) >= BATCH_ROWS:
                         yield out.batch()
@@ -392,7 +376,7 @@ def run_units(
                 current, rows = unit, part
             start = end
     if current is not None:
-        work(rows, out)
+        run_unit(rows, out)
         out.end_unit(*current)
         yield out.batch()
 
