@@ -15,12 +15,18 @@ is met, are found in one pass; the number is the smallest that reaches
 TARGET_RECALL on the sample. The lowest level a sample query needs is the floor
 of the ascent. Groups of (tree, prefix of floor bits) are what the cluster
 spreads; groups of more than ROW_PART rows or QUERY_PART queries are split.
+
+Queries outside the sample can need less than the floor. Those that have not
+matches enough there, or fewer neighbours than wanted among their matches, are
+compared with all rows, QUERY_BLOCK queries in a pass. So no query ends with
+fewer neighbours than wanted while the table has more.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +42,7 @@ TARGET_RECALL = 0.95
 MAX_FLOOR = 16
 LEVELS = 24  # levels above the floor that are told apart
 ROW_PART, QUERY_PART = 4096, 4096
+QUERY_BLOCK = 2048  # about so many queries are compared with all rows in one pass
 
 
 def projections(dimension: int, trees: int = TREES, bits: int = BITS) -> np.ndarray:
@@ -246,20 +253,15 @@ def _best(vectors: np.ndarray, ids: np.ndarray, at: np.ndarray, queries: np.ndar
         yield q, near[order], exact[order]
 
 
-def search(vectors: DataFrame, is_query: Column, neighbours: int = NEIGHBOURS, trees: int = TREES, target: float = TARGET_RECALL) -> DataFrame:
-    """query_id, rank, vec_id, score: the nearest rows found for every query row, nearest first, ties to the smaller id.
+def _ranked(found: DataFrame, neighbours: int) -> DataFrame:
+    """The best rows of each query with their rank; rows that were met several times count once."""
+    once = found.groupBy("query_id", "own", "vec_id", "at").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(W.partitionBy("query_id", "own").orderBy(F.desc("score"), "vec_id", "at"))
+    return once.withColumn("rank", rank).filter(F.col("rank") <= neighbours)
 
-    Vectors that are null, zero, or hold null or non-finite numbers take no
-    part, nor do rows without an id. A repeated row is a candidate of its own;
-    only the query's own row is left out. Other columns are ignored; an empty
-    table gives no rows.
-    """
-    id_kind = vectors.schema["vec_id"].dataType.simpleString()
-    result = f"query_id {id_kind}, own long, vec_id {id_kind}, at long, score double"
-    forest = build(vectors, is_query, trees, target, neighbours)
-    if forest is None:
-        empty = vectors.sparkSession.createDataFrame([], result)
-        return empty.select("query_id", F.lit(1).alias("rank"), "vec_id", "score")
+
+def _in_forest(forest: Forest, result: str, neighbours: int) -> DataFrame:
+    """The best rows of all queries that have matches enough at the floor."""
     rows, queries = _grouped(forest)
     dimension, floor = forest.dimension, forest.floor
 
@@ -276,8 +278,8 @@ def search(vectors: DataFrame, is_query: Column, neighbours: int = NEIGHBOURS, t
         count, "own long, " + ", ".join(f"c{s} long" for s in range(LEVELS))
     )
     totals = counted.groupBy("own").agg(*[F.sum(f"c{s}").alias(f"c{s}") for s in range(LEVELS)])
-    level = F.greatest(F.lit(floor), *[F.when(F.col(f"c{s}") >= forest.matches, F.lit(floor + s)) for s in range(LEVELS)])
-    levels = written(totals.select(F.col("own").alias("_of"), level.alias("level")), "forest-levels")
+    level = F.array_max(F.array(*[F.when(F.col(f"c{s}") >= forest.matches, F.lit(floor + s)) for s in range(LEVELS)]))
+    reached = totals.select(F.col("own").alias("_of"), level.alias("level")).filter("level IS NOT NULL")
 
     def compare(rows_of: pa.Table, queries_of: pa.Table) -> pa.Table:
         codes = rows_of.column("code").to_numpy().view(np.uint64)
@@ -302,13 +304,65 @@ def search(vectors: DataFrame, is_query: Column, neighbours: int = NEIGHBOURS, t
         scores = np.concatenate([x[2] for x in found]) if found else np.zeros(0)
         return pa.table({"query_id": query_ids[which], "own": own[which], "vec_id": ids[near], "at": at[near], "score": scores})
 
-    levelled = queries.join(levels, F.col("own") == F.col("_of")).select(*_KEY, "code", "own", "query_id", "query", "level")
+    levelled = queries.join(written(reached, "forest-levels"), F.col("own") == F.col("_of"))
     found = (
         rows.select(*_KEY, "code", "_at", "vec_id", "embedding")
         .groupBy(*_KEY)
-        .cogroup(levelled.groupBy(*_KEY))
+        .cogroup(levelled.select(*_KEY, "code", "own", "query_id", "query", "level").groupBy(*_KEY))
         .applyInArrow(compare, result)
     )
-    once = found.groupBy("query_id", "own", "vec_id", "at").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id", "own").orderBy(F.desc("score"), "vec_id", "at"))
-    return once.withColumn("rank", rank).filter(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score")
+    return _ranked(found, neighbours)
+
+
+def _with_all_rows(forest: Forest, asked: list, result: str, neighbours: int) -> DataFrame:
+    """The best of all rows for each query of *asked*. Each task keeps its own best ones."""
+    dimension = forest.dimension
+    query_ids, own = [r["vec_id"] for r in asked], np.array([r["_at"] for r in asked])
+    shared = forest.coded.sparkSession.sparkContext.broadcast(np.array([r["embedding"] for r in asked], dtype=np.float64))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[np.ndarray, ...]] = {}
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field("vec_id").type
+            vectors = _matrix(batch.column("embedding"), dimension)
+            ids, at = batch.column("vec_id").to_numpy(zero_copy_only=False), batch.column("_at").to_numpy()
+            for start in range(0, len(own), 256):
+                for q, near, scores in _best(vectors, ids, at, shared.value[start : start + 256], own[start : start + 256], neighbours):
+                    these = (ids[near], at[near], scores)
+                    every = [np.concatenate(x) for x in zip(best[start + q], these)] if start + q in best else these
+                    order = np.lexsort((every[1], every[0], -every[2]))[:neighbours]
+                    best[start + q] = tuple(x[order] for x in every)
+        for q, (ids, at, scores) in best.items():
+            columns = [pa.array([query_ids[q]] * len(ids), type=kind), pa.array(np.full(len(ids), own[q])), pa.array(ids, type=kind), pa.array(at), pa.array(scores)]
+            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "own", "vec_id", "at", "score"])
+
+    return _ranked(forest.coded.select("vec_id", "embedding", "_at").mapInArrow(scan, result), neighbours)
+
+
+def search(vectors: DataFrame, is_query: Column, neighbours: int = NEIGHBOURS, trees: int = TREES, target: float = TARGET_RECALL) -> DataFrame:
+    """query_id, rank, vec_id, score: the nearest rows found for every query row, nearest first, ties to the smaller id.
+
+    Every query gets *neighbours* rows, or all other rows if there are fewer.
+    Vectors that are null, zero, or hold null or non-finite numbers take no
+    part, nor do rows without an id. A repeated row is a candidate of its own;
+    only the query's own row is left out. Other columns are ignored; an empty
+    table gives no rows.
+    """
+    id_kind = vectors.schema["vec_id"].dataType.simpleString()
+    result = f"query_id {id_kind}, own long, vec_id {id_kind}, at long, score double"
+    forest = build(vectors, is_query, trees, target, neighbours)
+    if forest is None:
+        empty = vectors.sparkSession.createDataFrame([], result)
+        return empty.select("query_id", F.lit(1).alias("rank"), "vec_id", "score")
+    best = written(_in_forest(forest, result, neighbours), "forest-neighbours")
+    full = best.groupBy("own").agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") >= neighbours).select(F.col("own").alias("_of"))
+    found = [best.join(full, F.col("own") == F.col("_of"), "left_semi")]
+    left = written(forest.coded.filter("is_query").join(full, F.col("_at") == F.col("_of"), "left_anti"), "open-queries")
+    blocks = -(-left.count() // QUERY_BLOCK)
+    for block in range(blocks):
+        # Bounded: about QUERY_BLOCK queries.
+        some = left.filter(F.pmod(F.xxhash64("_at"), F.lit(blocks)) == block).select("vec_id", "embedding", "_at").collect()
+        if some:
+            found.append(written(_with_all_rows(forest, some, result, neighbours), "forest-neighbours"))
+    return reduce(DataFrame.unionByName, found).select("query_id", "rank", "vec_id", "score")

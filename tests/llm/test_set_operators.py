@@ -281,3 +281,32 @@ def test_forest_edge_rows(spark):
     assert set(found) == wanted and len(found) == 6
     assert hashforest.search(frame.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     assert hashforest.search(frame.filter("vec_id = 1"), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_isolated_queries_get_all_neighbours(spark, monkeypatch):
+    """Queries outside the sample, far from every cluster, get as many neighbours as all others, and the exact ones."""
+    r = np.random.default_rng(8)
+    centres = r.standard_normal((20, 24)) * 5
+    data = centres[np.arange(3000) % 20] + r.standard_normal((3000, 24)) * 0.02
+    lone = -centres.mean(axis=0) * 4 + r.standard_normal((12, 24)) * 3
+    data = np.concatenate([data, lone]).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id bigint, embedding array<float>")
+    built = hashforest.build
+
+    def without_lone(vectors, is_query, *rest):
+        """The forest of a sample that holds none of the lone queries."""
+        forest = built(vectors, is_query & (F.col("vec_id") < 3000), *rest)
+        return hashforest.Forest(forest.coded.withColumn("is_query", is_query), forest.dimension, forest.matches, forest.floor)
+
+    monkeypatch.setattr(hashforest, "build", without_lone)
+    monkeypatch.setattr(hashforest, "QUERY_BLOCK", 5, raising=False)
+    by_query = defaultdict(list)
+    for x in hashforest.search(frame, (F.col("vec_id") % 20 == 0) | (F.col("vec_id") >= 3000)).collect():
+        by_query[x["query_id"]].append((x["rank"], x["vec_id"]))
+    assert set(by_query) == {*range(0, 3000, 20), *range(3000, 3012)}
+    assert all([rank for rank, _ in sorted(got)] == list(range(1, 21)) and len({i for _, i in got}) == 20 for got in by_query.values())
+    exact = data.astype(np.float64)
+    for q in range(3000, 3012):
+        scores = exact @ exact[q]
+        scores[q] = -np.inf
+        assert {i for _, i in by_query[q]} == set(np.argsort(-scores)[:20].tolist())
