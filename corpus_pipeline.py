@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from prorrata.llm import langid, mixing, nearcopies, packing, quality
+from prorrata.llm import langid, mixing, packing, quality, simhash
 from prorrata.llm.common import id_remainder, table
 from prorrata.llm.queries import ENTROPY_SHARE, MAX_REPEATS, byte_bpe
 from prorrata.sources.workarea import written
@@ -41,15 +41,15 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies (0.8 of five-word shingles): the smallest doc_id, null ids last.
+    """One document of each class of op9's near-duplicates: the one with the smallest doc_id, null ids last.
 
     Rows get a number that is written with them, so that of repeated rows, with
     the same id or none, one stays as well.
     """
     numbered = written(docs.withColumn("_at", F.monotonically_increasing_id()), "numbered-docs")
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("_at").alias("a"))
-    classes = nearcopies.near_copies(numbered.withColumn("_order", order), "_at", "_order")
-    kept = classes.filter(F.col("_at") == F.col("root")).select("_at")
+    classes = simhash.near_duplicates(numbered.withColumn("_order", order), id_column="_order")
+    kept = classes.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.a").alias("_at"))
     return numbered.join(kept, "_at", "left_semi").select(docs.columns)
 
 
