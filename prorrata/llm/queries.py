@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from prorrata.llm.backoff import score_documents
+from prorrata.llm.bursttrie import conversation_trie
 from prorrata.llm.common import table
 from prorrata.llm.divergence import quality_rules
 from prorrata.llm.hashforest import search
 from prorrata.llm.langid import identify
 from prorrata.llm.mixing import mixed_order
+from prorrata.llm.multiindex import mine_negatives
 from prorrata.llm.packing import pack_documents
 from prorrata.llm.quality import classify
 from prorrata.llm.sharding import grown_tree, regular_tree, shard_documents
@@ -70,6 +73,18 @@ def op10_prefix_forest(spark: SparkSession, folder: str) -> DataFrame:
     return search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_multi_index(spark: SparkSession, folder: str) -> DataFrame:
+    return mine_negatives(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op12_burst_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_trie(table(spark, folder, "conversations"))
+
+
+def op13_backoff_automaton(spark: SparkSession, folder: str) -> DataFrame:
+    return score_documents(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_divergence_rules": op1_divergence_rules,
     "op2_subword_classifier": op2_subword_classifier,
@@ -81,6 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_simhash_tiles": op9_simhash_tiles,
     "op10_prefix_forest": op10_prefix_forest,
+    "op11_multi_index": op11_multi_index,
+    "op12_burst_trie": op12_burst_trie,
+    "op13_backoff_automaton": op13_backoff_automaton,
 }
 
 # Hashes, learned models and tokenizers have no counterpart in SQL; these queries are tested
