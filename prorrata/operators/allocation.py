@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -12,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from prorrata.functions.dates import from_month_index, month_index
 from prorrata.functions.money import from_cents, to_cents
 from prorrata.operators import ledger as L
-from prorrata.schemas import BILL, BILL_KEY, PAYMENT_DETAIL, UNIT_KEY
-from prorrata.sources.workarea import written
+from prorrata.schemas import BILL, BILL_KEY, PAYMENT_DETAIL, SETTLEMENT_KEY, UNIT_KEY
+from prorrata.sources.workarea import new_folder, written
 
 # The ledger travels with the job: workers need not have this package installed.
 cloudpickle.register_pickle_by_value(L)
@@ -24,6 +25,7 @@ BLOCK_ROWS = 1000
 _RUN_SCHEMA = (
     "Id_Consorcio int, NroUF string, kind int, month int, id bigint, sequence int, income int, block bigint, "
     + ", ".join(f"{c} bigint" for c in L.AMOUNTS)
+    + ", book array<bigint>"
 )
 _BILL_AMOUNTS = BILL.columns[len(BILL_KEY):]
 
@@ -88,9 +90,20 @@ def _rows(df: DataFrame, kind: int, **values: Column) -> DataFrame:
     return df.select(*UNIT_KEY, F.lit(kind).alias("kind"), *columns, steps)
 
 
-def bill_rows(bills: DataFrame) -> DataFrame:
-    cents = {c: to_cents(F.col(name)) for c, name in zip(L.AMOUNTS, _BILL_AMOUNTS)}
-    return _rows(bills, L.BILL, month=month_index(F.col("Periodo")), **cents)
+def books_of(bills: DataFrame) -> DataFrame:
+    """UNIT_KEY, libro: all bills of a unit in one array, a month and its amounts in cents after the other."""
+    numbers = [month_index(F.col("Periodo")), *[to_cents(F.col(name)) for name in _BILL_AMOUNTS]]
+    bill = F.array(*[n.cast("bigint") for n in numbers])
+    return bills.groupBy(*UNIT_KEY).agg(F.flatten(F.collect_list(bill)).alias("libro"))
+
+
+def bills_of(books: DataFrame) -> DataFrame:
+    """The bills of *books*, a row each."""
+    starts = F.sequence(F.lit(0), F.size("libro") - 1, F.lit(L.BOOK_WIDTH))
+    one = books.select(*UNIT_KEY, "libro", F.explode(starts).alias("_at"))
+    amounts = [from_cents(F.get("libro", F.col("_at") + i)).alias(name) for i, name in enumerate(_BILL_AMOUNTS, 1)]
+    month = from_month_index(F.get("libro", F.col("_at")).cast("int")).alias("Periodo")
+    return one.select(*UNIT_KEY, month, *amounts).select(BILL.columns)
 
 
 def step_rows(steps: DataFrame) -> DataFrame:
@@ -139,7 +152,8 @@ def _run(rows: DataFrame) -> DataFrame:
     it can be dropped where the input seems to be partitioned already.)
     """
     in_order = W.partitionBy(*UNIT_KEY).orderBy("month", "kind", "day", "id")
-    return rows.withColumn("position", F.row_number().over(in_order)).mapInArrow(L.run_units, _RUN_SCHEMA)
+    numbered = rows.withColumn("position", F.row_number().over(in_order))
+    return numbered.mapInArrow(lambda batches: L.run_units(batches, books=True), _RUN_SCHEMA)
 
 
 def _of_kind(df: DataFrame, kind: int) -> DataFrame:
@@ -150,45 +164,63 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def run_ledgers(
-    bills: DataFrame, steps: DataFrame | None, resolved: DataFrame, block_rows: int = BLOCK_ROWS
-) -> tuple[DataFrame, DataFrame]:
-    """All units' bills and payment details after working through *steps*.
+@dataclass(frozen=True)
+class Run:
+    """What a run changes; books are (UNIT_KEY, libro)."""
+
+    touched: DataFrame  # units with payments
+    books: DataFrame  # of the touched units, whole
+    issued: DataFrame  # new bills of the other units
+    details: DataFrame
+
+
+def run_books(
+    held: Callable[[DataFrame], DataFrame], steps: DataFrame | None, resolved: DataFrame, block_rows: int = BLOCK_ROWS
+) -> Run:
+    """Work through *steps* the units that have them or payments.
+
+    *held* gives, for the touched units (those with payments), the books that
+    the run needs: theirs, and of other units only what their next bills carry on.
 
     Payments are cut into ordered blocks. Most blocks that are known only by
     their sum go whole to one bill. A block in which some payment closes a bill
-    is asked for and read in the next round; a step closes each bill at most
-    once, so there are at most about as many rounds as bills of a unit, however
-    many payments there are. Only units that asked go on.
+    is asked for, with the next ones, and read in the next round; a step closes
+    each bill at most once, so there are at most about as many rounds as bills of
+    a unit, however many payments there are. Only units that asked go on. All
+    rounds are parts of one table.
     """
     blocks = payment_blocks(resolved, block_rows)
+    spark = blocks.sparkSession
+    touched = written(blocks.select(*UNIT_KEY).distinct(), "touched")
     later = blocks.filter(F.col("read") == L.LATER)
     amounts = {c: F.col(c) for c in ("month", "day", "id", "block", "c1")}
     known = {L.PAYMENT: L.NOW, L.BLOCK: L.SUM}
     static = _union([_rows(blocks.filter(F.col("read") == read), kind, **amounts) for kind, read in known.items()])
     if steps is not None:
         static = static.unionByName(step_rows(steps))
-    rows, first = static.unionByName(bill_rows(bills)), True
-    issued, details, assignments = [], [], []
+    rows, number = static.unionByName(_rows(held(touched), L.BOOK, steps=F.col("libro"))), 0
     block = [*UNIT_KEY, "month", "block"]
+    folder = new_folder(spark, "ledger")
     while True:
-        result = written(_run(rows), "ledger", ("kind",))
-        issued.append(_of_kind(result, L.BILL))
-        details.append(_of_kind(result, L.DETAIL))
-        assignments.append(_of_kind(result, L.ASSIGNMENT))
+        path = f"{folder}/round={number}"
+        _run(rows).write.mode("errorifexists").partitionBy("kind").parquet(path)
+        result = spark.read.schema(_RUN_SCHEMA).parquet(path)
         pending = _of_kind(result, L.PENDING)
         if pending.isEmpty():
             break
         waiting = pending.select(*UNIT_KEY)
-        if first:
-            static, first = written(static.join(waiting, UNIT_KEY, "left_semi"), "unfinished"), False
-        state = _rows(_of_kind(result, L.STATE), L.BILL, month=F.col("month"), **{c: F.col(c) for c in L.AMOUNTS})
+        if number == 0:
+            static = written(static.join(waiting, UNIT_KEY, "left_semi"), "unfinished")
+        state = _rows(_of_kind(result, L.STATE), L.BOOK, steps=F.col("book"))
         position = _rows(pending, L.POSITION, month=F.col("month"), block=F.col("block"), id=F.col("sequence"))
-        asked = _rows(later.join(pending.select(*block), block, "left_semi"), L.PAYMENT, **amounts)
+        wanted = result.filter(F.col("kind").isin(L.PENDING, L.ASKED)).select(*block)
+        asked = _rows(later.join(wanted, block, "left_semi"), L.PAYMENT, **amounts)
         rows = _union([static.join(waiting, UNIT_KEY, "left_semi"), state, position, asked])
+        number += 1
 
+    rounds = spark.read.schema(f"{_RUN_SCHEMA}, round int").parquet(folder).drop("round")
     # Assignment rows name the bill in `month` and the block's own month in `id`.
-    targets = _union(assignments).select(
+    targets = _of_kind(rounds, L.ASSIGNMENT).select(
         *UNIT_KEY, F.col("id").cast("int").alias("month"), "block", F.col("month").alias("bill"), "income"
     )
     whole = (
@@ -197,12 +229,40 @@ def run_ledgers(
         .join(targets, block)
         .select(*UNIT_KEY, "id", F.lit(1).alias("sequence"), F.col("bill").alias("month"), "income", "c1")
     )
-    return _union([_bills(part) for part in issued]), _union([_details(part) for part in [*details, whole]])
 
+    def books(kind: int) -> DataFrame:
+        return _of_kind(rounds, kind).select(*UNIT_KEY, F.col("book").alias("libro"))
+
+    details = _details(_of_kind(rounds, L.DETAIL)).unionByName(_details(whole))
+    return Run(touched, books(L.BOOK), books(L.ISSUED), details)
+
+
+def run_ledgers(
+    bills: DataFrame,
+    steps: DataFrame | None,
+    resolved: DataFrame,
+    block_rows: int = BLOCK_ROWS,
+    carried_months: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """All units' bills and payment details after working through *steps*.
+
+    Bills of units without payments stay as they are and never reach the ledger,
+    except those of *carried_months* (building, Periodo), which the bills that the
+    steps issue carry on; without it, all of them may.
+    """
 
-def _bills(rows: DataFrame) -> DataFrame:
-    amounts = [from_cents(F.col(c)).alias(name) for c, name in zip(L.AMOUNTS, _BILL_AMOUNTS)]
-    return rows.select(*UNIT_KEY, from_month_index(F.col("month")).alias("Periodo"), *amounts)
+    def held(touched: DataFrame) -> DataFrame:
+        own = bills.join(touched, UNIT_KEY, "left_semi")
+        if steps is None:
+            return books_of(own)
+        if carried_months is None:
+            return books_of(bills)
+        carried = bills.join(carried_months, SETTLEMENT_KEY, "left_semi").join(touched, UNIT_KEY, "left_anti")
+        return books_of(own.unionByName(carried))
+
+    run = run_books(held, steps, resolved, block_rows)
+    untouched = bills.select(BILL.columns).join(run.touched, UNIT_KEY, "left_anti")
+    return _union([untouched, bills_of(run.books.unionByName(run.issued))]), run.details
 
 
 def _details(rows: DataFrame) -> DataFrame:

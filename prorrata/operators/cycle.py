@@ -47,7 +47,8 @@ def close_months(
     business day (`business_days`: Fecha, is_business_day); then the payments
     up to the end of the month are applied. A month that stays unsettled
     applies nothing. Settlements depend on expenses only and units not on each
-    other, so all months are one pass over units instead of a pass per month.
+    other, so all months are one pass over units instead of a pass per month. Of
+    units without payments, only the bills before an issued month are read.
     """
     working = business_days.filter("is_business_day").select(F.col("Fecha").alias("Fecha_Emision"))
     issued = settlement_headers(
@@ -76,7 +77,8 @@ def close_months(
         .filter(in_time)
         .drop("Ultimo")
     )
-    bills, details = run_ledgers(books.bills, plan, resolved, block_rows)
+    carried = issued.select("Id_Consorcio", F.add_months("Periodo", -1).alias("Periodo"))
+    bills, details = run_ledgers(books.bills, plan, resolved, block_rows, carried)
     return Books(
         headers=books.headers.unionByName(issued.select(books.headers.columns)),
         bills=bills,

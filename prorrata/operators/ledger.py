@@ -10,7 +10,8 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +21,18 @@ from prorrata.seeds import ADVANCE, ON_TIME
 # Kinds of row in and out of a unit's run.
 BILL, STEP, PAYMENT, BLOCK, POSITION = 0, 1, 2, 3, 4
 STATE, DETAIL, ASSIGNMENT, PENDING = 5, 6, 7, 8
+# All bills of a unit in one row; those that the run issued; a block that will be needed after the pending one.
+BOOK, ISSUED, ASKED = 9, 10, 11
 
 AMOUNTS = [f"c{i}" for i in range(1, 8)]
+# Numbers of a bill in a book: its month and its amounts.
+BOOK_WIDTH = 1 + len(AMOUNTS)
 
-# Rows after which finished units are handed back to Spark.
-BATCH_ROWS = 20_000
+# Blocks that a unit asks for at a time: fewer rounds, and never more than so many blocks of rows in a task.
+BLOCKS_ASKED = 16
+
+# Rows after which finished units are handed back to Spark; a book counts as so many.
+BATCH_ROWS, BOOK_ROWS = 20_000, 50
 
 # A balance of one cent or less counts as paid.
 SMALLEST_DEBT = 1
@@ -48,6 +56,7 @@ class Ledger:
         self.extraordinary: list = []
         self.total: list = []
         self.own: list = []  # ordinary plus extraordinary
+        self.issued: set[int] = set()
         self._search_from = 0
         self._dirty: int | None = None
         self._untouched = True  # no payment yet in the current step
@@ -55,6 +64,23 @@ class Ledger:
     def columns(self) -> list[list]:
         return [self.carried, self.paid, self.debt, self.interest, self.ordinary, self.extraordinary, self.total]
 
+    def load(self, numbers: list) -> None:
+        """All bills of a book at once, into an empty ledger."""
+        bills = sorted(zip(*[iter(numbers)] * BOOK_WIDTH), key=itemgetter(0))
+        if not bills:
+            return
+        columns = [list(c) for c in zip(*bills)]
+        self.months = columns[0]
+        for before, month in zip(self.months, self.months[1:]):
+            if before == month:
+                raise ValueError(f"two bills of one unit for month {month // 12}-{month % 12 + 1:02d}")
+        self.carried, self.paid, self.debt, self.interest, self.ordinary, self.extraordinary, self.total = columns[1:]
+        self.own = [None if o is None or e is None else o + e for o, e in zip(self.ordinary, self.extraordinary)]
+
+    def numbers(self, only_issued: bool = False) -> list:
+        bills = zip(self.months, *self.columns())
+        return list(chain.from_iterable(b for b in bills if not only_issued or b[0] in self.issued))
+
     def insert(self, month: int, amounts: list) -> None:
         months = self.months
         at = len(months) if not months or months[-1] < month else bisect_left(months, month)
@@ -78,6 +104,7 @@ class Ledger:
             total = rounded(rest * 10_500 + ordinary + extraordinary, 10_000)
         share = [None if s is None else rounded(s, 10_000) for s in (ordinary, extraordinary)]
         self.insert(month, [rest, 0, rest, rounded(rest * 5, 100), *share, total])
+        self.issued.add(month)
 
     def begin_step(self) -> None:
         self.settle()
@@ -230,6 +257,7 @@ class Output:
         self.income: list = []
         self.block: list = []
         self.amounts: list[list] = [[] for _ in AMOUNTS]
+        self.books: dict[int, list] = {}  # by row
 
     def _row(self, kind: int, month: int, row_id=None, sequence=None, income=None, block=None) -> None:
         self.kind.append(kind)
@@ -256,6 +284,16 @@ class Output:
         self._row(PENDING, month, None, step, None, block)
         self._amount(None)
 
+    def asked(self, month: int, block: int) -> None:
+        self._row(ASKED, month, block=block)
+        self._amount(None)
+
+    def book(self, kind: int, numbers: list) -> None:
+        if numbers:
+            self.books[len(self.kind)] = numbers
+            self._row(kind, 0)
+            self._amount(None)
+
     def _amount(self, cents: int | None) -> None:
         self.amounts[0].append(cents)
         for column in self.amounts[1:]:
@@ -275,6 +313,13 @@ class Output:
         self.building += [building] * size
         self.unit += [unit] * size
 
+    def _book_column(self) -> pa.Array:
+        sizes = np.zeros(len(self.kind) + 1, dtype=np.int32)
+        for row, numbers in self.books.items():
+            sizes[row + 1] = len(numbers)
+        values = pa.array(list(chain.from_iterable(self.books.values())), pa.int64())
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), values)
+
     def batch(self) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
             [
@@ -287,12 +332,17 @@ class Output:
                 pa.array(self.income, pa.int32()),
                 pa.array(self.block, pa.int64()),
                 *[pa.array(column, pa.int64()) for column in self.amounts],
+                self._book_column(),
             ],
-            names=["Id_Consorcio", "NroUF", "kind", "month", "id", "sequence", "income", "block", *AMOUNTS],
+            names=["Id_Consorcio", "NroUF", "kind", "month", "id", "sequence", "income", "block", *AMOUNTS, "book"],
         )
 
 
 def _values(column: pa.Array) -> list:
+    if pa.types.is_list(column.type) and not column.flatten().null_count:
+        values, ends = column.flatten().to_numpy().tolist(), column.offsets.to_numpy().tolist()
+        first = ends[0] if ends else 0
+        return [values[a - first : b - first] for a, b in zip(ends, ends[1:])]
     if column.null_count or pa.types.is_string(column.type) or pa.types.is_list(column.type):
         return column.to_pylist()
     return column.to_numpy().tolist()  # much faster than value by value
@@ -301,7 +351,7 @@ def _values(column: pa.Array) -> list:
 # How a row of payments in blocks is read: in the first run, as its block's sum, or when its block is asked for.
 NOW, SUM, LATER = "now", "sum", "later"
 
-_BLOCK_BITS = 20  # blocks of a range
+_BLOCK_BITS = 40  # blocks of a range; 2**23 ranges fit above them
 
 
 def cut_blocks(batches: Iterator[pa.RecordBatch], block_rows: int) -> Iterator[pa.RecordBatch]:
@@ -325,8 +375,6 @@ def cut_blocks(batches: Iterator[pa.RecordBatch], block_rows: int) -> Iterator[p
         sizes = np.diff(np.append(starts, batch.num_rows))
         first = (int(column["range"][0].as_py()) << _BLOCK_BITS) + number + 2 * np.arange(len(starts), dtype=np.int64)
         number += 2 * len(starts)
-        if number >= 1 << _BLOCK_BITS:
-            raise ValueError("too many blocks in one range; use more shuffle partitions")
         waits = np.repeat(sizes - 1 > block_rows, sizes)
         waits[starts] = False
         block = np.repeat(first, sizes) + waits
@@ -350,8 +398,12 @@ def cut_blocks(batches: Iterator[pa.RecordBatch], block_rows: int) -> Iterator[p
 BLOCK_COLUMNS = ["Id_Consorcio", "NroUF", "kind", "month", "day", "id", "block", "c1", "read"]
 
 
-def run_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Work through a partition sorted by unit and month, one unit at a time."""
+def run_units(batches: Iterator[pa.RecordBatch], books: bool = False) -> Iterator[pa.RecordBatch]:
+    """Work through a partition sorted by unit and month, one unit at a time.
+
+    Bills leave as a row each or, with *books*, as one row per unit: all of them
+    if the unit has payments, else only those that the run has issued.
+    """
     current, rows, out = None, {}, Output()
     for batch in batches:
         columns = {name: _values(batch.column(name)) for name in batch.schema.names}
@@ -368,20 +420,20 @@ def run_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     rows[name] += values
             else:
                 if current is not None:
-                    run_unit(rows, out)
+                    run_unit(rows, out, books)
                     out.end_unit(*current)
-                    if len(out.kind) >= BATCH_ROWS:
+                    if len(out.kind) + BOOK_ROWS * len(out.books) >= BATCH_ROWS:
                         yield out.batch()
                         out = Output()
                 current, rows = unit, part
             start = end
     if current is not None:
-        run_unit(rows, out)
+        run_unit(rows, out, books)
         out.end_unit(*current)
         yield out.batch()
 
 
-def run_unit(rows: dict[str, list], out: Output) -> None:
+def run_unit(rows: dict[str, list], out: Output, books: bool = False) -> None:
     """Work one unit through its steps.
 
     A step optionally issues a bill and then applies the payments up to its
@@ -397,6 +449,8 @@ def run_unit(rows: dict[str, list], out: Output) -> None:
     for i, (kind, month, block) in enumerate(zip(kinds, months, rows["block"])):
         if kind == BILL:
             ledger.insert(month, [column[i] for column in amounts])
+        elif kind == BOOK:
+            ledger.load(rows["steps"][i])
         elif kind == STEP:
             numbers = rows["steps"][i]
             steps += zip(numbers[::4], numbers[1::4], numbers[2::4], numbers[3::4])
@@ -429,10 +483,20 @@ def run_unit(rows: dict[str, list], out: Output) -> None:
                 assigned = ledger.pay_together(sums[block])
                 if assigned is None:
                     ledger.settle()
-                    out.bills(ledger, STATE)
+                    if books:
+                        out.book(STATE, ledger.numbers())
+                    else:
+                        out.bills(ledger, STATE)
                     out.pending(block[0], block[1], number)
+                    for later in [b for b in blocks[next_block + 1 :] if b not in payments][: BLOCKS_ASKED - 1]:
+                        out.asked(*later)
                     return
                 out.assignment(assigned[0], block[0], block[1], assigned[1])
             next_block += 1
     ledger.settle()
-    out.bills(ledger, BILL)
+    if not books:
+        out.bills(ledger, BILL)
+    elif blocks:
+        out.book(BOOK, ledger.numbers())
+    else:
+        out.book(ISSUED, ledger.numbers(only_issued=True))

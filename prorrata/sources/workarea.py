@@ -42,6 +42,11 @@ def close_work_area(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """Place of a new table, or of a folder of tables, in the work area."""
+    return f"{work_area(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write *df* once and read it back.
 
@@ -49,7 +54,7 @@ def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Dat
     table is columnar, so each later use reads only the columns and
     partitions it needs.
     """
-    path = f"{work_area(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
