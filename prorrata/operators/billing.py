@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import datetime as dt
-from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from prorrata.functions.dates import month_start
-from prorrata.functions.money import MONEY, MONTHLY_INTEREST, ZERO, money
+from prorrata.functions.money import MONEY, MONTHLY_INTEREST, ZERO, from_cents, money, to_cents
+from prorrata.operators import balances
 from prorrata.schemas import BILL, SETTLEMENT, SETTLEMENT_KEY, UNIT_KEY
 
+# The steps travel with the job: workers need not have this package installed.
+cloudpickle.register_pickle_by_value(balances)
+
+_ORDINARY, _EXTRAORDINARY = "Importe_Ordinario_Prorrateado", "Importe_Extraordinario_Prorrateado"
+
 FIRST_DUE_DAYS, SECOND_DUE_DAYS = 10, 20
 
 
@@ -162,49 +168,23 @@ def recalculate_balances(bills: DataFrame) -> DataFrame:
     """Carry balances through the months of every unit.
 
     The clamp at zero and the rounding of each step make this a recurrence, so
-    the months of a unit (one row each, hence few) are folded in order. The
-    first month stays as it is; interest is due on positive balances only.
+    the months of a unit are worked in order (see `balances`); the units of a
+    batch take each month together. The first month stays as it is; interest is
+    due on positive balances only. One shuffle by unit, linear in the months.
     """
-    fields = ["Periodo", *[c for c in BILL.columns if c not in (*UNIT_KEY, "Periodo")]]
-    months = F.array_sort(F.collect_list(F.struct(*fields)))
-    step_type = "struct<carry:decimal(18,2),months:array<struct<Saldo:decimal(18,2),Interes:decimal(18,2),Total:decimal(18,2)>>>"
-    start = F.struct(F.lit(None).cast(MONEY).alias("carry"), F.array().alias("months")).cast(step_type)
-
-    def step(state: Column, bill: Column) -> Column:
-        first = F.size(state["months"]) == 0
-        carry = state["carry"]
-        own = bill["Importe_Ordinario_Prorrateado"] + bill["Importe_Extraordinario_Prorrateado"]
-        interest = F.when(carry > 0, carry * F.lit(MONTHLY_INTEREST)).otherwise(F.lit(Decimal("0.0000")))
-        total = carry + interest + own
-        rest = F.when(first, bill["Total_A_Pagar"] - bill["Pagos_Recibidos_Mes"]).otherwise(
-            total - bill["Pagos_Recibidos_Mes"]
-        )
-        month = F.struct(
-            F.when(first, bill["Saldo_Anterior"]).otherwise(carry).cast(MONEY).alias("Saldo"),
-            F.when(first, bill["Interes_Por_Mora"]).otherwise(interest).cast(MONEY).alias("Interes"),
-            F.when(first, bill["Total_A_Pagar"]).otherwise(total).cast(MONEY).alias("Total"),
-        )
-        return F.struct(
-            rest.cast(MONEY).alias("carry"),
-            F.concat(state["months"], F.array(month)).alias("months"),
-        ).cast(step_type)
-
-    folded = bills.groupBy(*UNIT_KEY).agg(months.alias("old")).select(
-        *UNIT_KEY, "old", F.aggregate("old", start, step)["months"].alias("new")
-    )
-    rows = folded.select(*UNIT_KEY, F.posexplode(F.arrays_zip("old", "new")).alias("pos", "bill"))
-    old, new = F.col("bill.old"), F.col("bill.new")
-    debt = F.when(F.col("pos") == 0, old["Deuda"]).otherwise(
-        F.when(new["Saldo"] > 0, new["Saldo"]).otherwise(F.lit(ZERO))
+    own = F.col(_ORDINARY) + F.col(_EXTRAORDINARY)
+    cents = {
+        "carried": "Saldo_Anterior", "paid": "Pagos_Recibidos_Mes", "debt": "Deuda", "interest": "Interes_Por_Mora",
+        "total": "Total_A_Pagar", "ordinary": _ORDINARY, "extraordinary": _EXTRAORDINARY,
+    }
+    rows = bills.select(
+        *UNIT_KEY, "Periodo", *[to_cents(F.col(c)).alias(n) for n, c in cents.items()], to_cents(own).alias("own")
     )
-    return rows.select(
-        *UNIT_KEY,
-        old["Periodo"].alias("Periodo"),
-        new["Saldo"].alias("Saldo_Anterior"),
-        old["Pagos_Recibidos_Mes"].alias("Pagos_Recibidos_Mes"),
-        money(debt).alias("Deuda"),
-        new["Interes"].alias("Interes_Por_Mora"),
-        old["Importe_Ordinario_Prorrateado"].alias("Importe_Ordinario_Prorrateado"),
-        old["Importe_Extraordinario_Prorrateado"].alias("Importe_Extraordinario_Prorrateado"),
-        new["Total"].alias("Total_A_Pagar"),
-    ).select(BILL.columns)
+    # Numbering the rows makes Spark gather and sort them by unit and month.
+    place = F.row_number().over(W.partitionBy(*UNIT_KEY).orderBy("Periodo"))
+    in_order = rows.withColumn("_place", place)
+    amounts = ", ".join(f"{n} bigint" for n in [*cents, "own"])
+    schema = f"Id_Consorcio int, NroUF string, Periodo date, {amounts}, _place int"
+    done = in_order.mapInArrow(balances.recalculated, schema)
+    made = [from_cents(F.col(n)).alias(c) for n, c in cents.items()]
+    return done.select(*UNIT_KEY, "Periodo", *made).select(BILL.columns)
