@@ -1,5 +1,9 @@
 """Personal data at rest: encrypted columns, and index columns to match on.
 
+The key and the secret of the index never are literals of a plan: they are read
+by scalar subqueries from a table of one row in memory, so that neither
+explain() nor an event log shows them.
+
 Encryption is randomised, so equal values have different ciphertexts. What has
 to be matched (document, account) also gets an index: a keyed hash of the
 value. Joins and upserts use the index; ciphertext is only opened in the last
@@ -31,11 +35,21 @@ class Keys:
 
     key: bytes = field(repr=False)
     pepper: str = field(repr=False)
+    _tables: dict = field(default_factory=dict, repr=False, compare=False)
 
     def __post_init__(self) -> None:
         if len(self.key) != 32:
             raise ValueError("the encryption key must have 32 bytes")
 
+    def columns(self) -> tuple[Column, Column]:
+        """Key and pepper as columns of the active session."""
+        spark = SparkSession.active()
+        if self._tables.get("session") is not spark:
+            row = spark.createDataFrame([(bytearray(self.key), self.pepper + "\n")], "secret_key binary, secret_pepper string")
+            self._tables.update(session=spark, secrets=row)
+        secrets = self._tables["secrets"]
+        return secrets.select("secret_key").scalar(), secrets.select("secret_pepper").scalar()
+
     @classmethod
     def from_conf(cls, spark: SparkSession) -> Keys:
         key = spark.conf.get("spark.prorrata.privacy.key", None)
@@ -47,16 +61,16 @@ class Keys:
 
 def blind_index(value: Column, keys: Keys) -> Column:
     """Keyed hash in two layers, so that no index can be continued to that of a longer value."""
-    pepper = F.lit(keys.pepper + "\n")
+    _, pepper = keys.columns()
     return F.sha2(F.concat(pepper, F.sha2(F.concat(pepper, value), 256)), 256)
 
 
 def encrypted(value: Column, keys: Keys) -> Column:
-    return F.aes_encrypt(value, F.lit(keys.key))
+    return F.aes_encrypt(value, keys.columns()[0])
 
 
 def decrypted(value: Column, keys: Keys) -> Column:
-    return F.aes_decrypt(value, F.lit(keys.key)).cast("string")
+    return F.aes_decrypt(value, keys.columns()[0]).cast("string")
 
 
 def encrypt_persons(persons: DataFrame, keys: Keys) -> DataFrame:

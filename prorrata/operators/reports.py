@@ -3,8 +3,8 @@
 Each report covers all buildings, or one when `condominium` is given. Applied
 money is summed per bill before it meets the bill, so a bill or unit that
 received a large part of all payments reaches the joins as a few rows.
-Windows only ever run over calendar-sized groups. Reports come in the order of
-their keys.
+Windows only ever run over calendar-sized groups. Rows come in no order;
+`ordered` sorts a finished report by its keys.
 """
 
 from __future__ import annotations
@@ -29,6 +29,18 @@ ORDINARY = "Importe_Ordinario_Prorrateado"
 EXTRAORDINARY = "Importe_Extraordinario_Prorrateado"
 
 
+# Keys of the reports in the order in which they sort.
+_KEYS = (
+    "Id_Consorcio", "Piso", "Departamento", "NroUF", "Anio", "Semana", "Periodo", "FechaPago", "FechaPagoSiguiente",
+    "Puesto",
+)
+
+
+def ordered(report: DataFrame) -> DataFrame:
+    """A report in the order of its keys, for showing or writing it."""
+    return report.orderBy(*[c for c in _KEYS if c in report.columns])
+
+
 def _of_condominium(df: DataFrame, condominium: int | None) -> DataFrame:
     return df if condominium is None else df.filter(F.col("Id_Consorcio") == condominium)
 
@@ -84,7 +96,7 @@ def weekly_collection(
         money(F.col("TotalSemana")).alias("TotalSemana"),
         money(F.sum("TotalSemana").over(building.orderBy("Anio", "Semana"))).alias("AcumuladoProgresivo"),
         money(F.avg("TotalSemana").over(building)).alias("PromedioPeriodo"),
-    ).orderBy("Id_Consorcio", "Anio", "Semana")
+    )
 
 
 def monthly_by_department(
@@ -115,9 +127,7 @@ def monthly_by_department(
         months = [row.Mes for row in cells.select("Mes").distinct().orderBy("Mes").collect()]
     if not months:
         return cells.select("Id_Consorcio", "Departamento").limit(0)
-    return cells.groupBy("Id_Consorcio", "Departamento").pivot("Mes", months).agg(F.first("Usado")).orderBy(
-        "Id_Consorcio", "Departamento"
-    )
+    return cells.groupBy("Id_Consorcio", "Departamento").pivot("Mes", months).agg(F.first("Usado"))
 
 
 def collection_by_origin(
@@ -157,14 +167,12 @@ def collection_by_origin(
             total(share(EXTRAORDINARY, ORDINARY)).alias("Extraordinario"),
             total(F.col("Usado")).alias("Importe"),
         )
-        .orderBy("Id_Consorcio", "Periodo")
     )
 
 
 def _top_months(monthly: DataFrame, amount: str, size: int) -> DataFrame:
     ranking = W.partitionBy("Id_Consorcio", "Anio").orderBy(F.desc(amount), "Mes")
-    best = monthly.withColumn("Puesto", F.row_number().over(ranking)).filter(F.col("Puesto") <= size)
-    return best.orderBy("Id_Consorcio", "Anio", "Puesto")
+    return monthly.withColumn("Puesto", F.row_number().over(ranking)).filter(F.col("Puesto") <= size)
 
 
 def top_expense_months(
@@ -233,7 +241,8 @@ def top_debtors(
     Balances carry earlier debt, so the sum over months counts it again, and
     tenants appear next to owners: both as the report is defined. People of
     equal *contact* (by default a hash of what is shown) are one; the contact
-    itself is joined, and *opened*, for the winners only.
+    itself is joined, and *opened*, for the winners only. Of equal debts the
+    lower person comes first.
     """
     open_bills = _of_condominium(bills, condominium)
     if year is not None:
@@ -244,35 +253,32 @@ def top_debtors(
         floors = floors.filter(F.col("Piso") == floor)
     current = _of_condominium(links, condominium).filter(F.col("Fecha_Fin").isNull())
 
+    # A row per unit and year before any join; the months of a year are bits of a number, so that units of one
+    # contact can share them without a count of distinct values.
     debts = (
         open_bills.filter(balance > F.lit(SMALLEST_DEBT))
-        .select(*BILL_KEY, balance.alias("Saldo"))
-        .join(floors, UNIT_KEY)
-        .join(current.select(*UNIT_KEY, "Id_Persona"), UNIT_KEY)
-        .groupBy("Id_Consorcio", "Piso", "Id_Persona", "Periodo")
-        .agg(F.sum("Saldo").alias("Saldo"))
+        .groupBy(*UNIT_KEY, F.year("Periodo").alias("Anio"))
+        .agg(money(F.sum(balance)).alias("Saldo"), F.bit_or(F.call_function("shiftleft", F.lit(1), F.month("Periodo"))).alias("Meses"))
     )
     contact = F.sha2(F.to_json(F.struct(*CONTACT)), 256) if contact is None else contact
+    linked = current.select(*UNIT_KEY, "Id_Persona").join(persons.select("Id_Persona", contact.alias("contacto")), "Id_Persona")
     totals = (
-        debts.join(persons.select("Id_Persona", contact.alias("contacto")), "Id_Persona")
-        .groupBy("Id_Consorcio", "Piso", F.year("Periodo").alias("Anio"), "contacto")
+        debts.join(floors, UNIT_KEY)
+        .join(linked, UNIT_KEY)
+        .groupBy("Id_Consorcio", "Piso", "Anio", "contacto")
         .agg(
             money(F.sum("Saldo")).alias("DeudaTotalAcumulada"),
-            F.count_distinct("Periodo").alias("Cant_Periodos_Adeudados"),
+            F.bit_count(F.bit_or("Meses")).cast("bigint").alias("Cant_Periodos_Adeudados"),
             F.min("Id_Persona").alias("Id_Persona"),
         )
     )
-    place = W.partitionBy("Id_Consorcio", "Piso", "Anio")
-    largest = F.rank().over(place.orderBy(F.desc("DeudaTotalAcumulada")))
-    winners = totals.withColumn("Puesto", largest).filter(F.col("Puesto") <= size).drop("Puesto", "contacto")
-    identity = ["Propietario", "DNI", "Email", "Telefono"]
-    shown = opened(persons.join(winners, "Id_Persona")).select(
-        "Id_Consorcio", "Piso", "Anio", F.concat("Apellido", F.lit(", "), "Nombre").alias("Propietario"), *identity[1:],
-        "DeudaTotalAcumulada", "Cant_Periodos_Adeudados",
+    # A cut at a fixed number of rows is made in the map tasks first; ties go to the lower person.
+    ranking = W.partitionBy("Id_Consorcio", "Piso", "Anio").orderBy(F.desc("DeudaTotalAcumulada"), "Id_Persona")
+    winners = totals.withColumn("Puesto", F.row_number().over(ranking)).filter(F.col("Puesto") <= size).drop("contacto")
+    return opened(persons.join(winners, "Id_Persona")).select(
+        "Id_Consorcio", "Piso", "Anio", F.concat("Apellido", F.lit(", "), "Nombre").alias("Propietario"),
+        "DNI", "Email", "Telefono", "DeudaTotalAcumulada", "Cant_Periodos_Adeudados", "Puesto",
     )
-    ranking = place.orderBy(F.desc("DeudaTotalAcumulada"), "DNI", *identity)
-    ranked = shown.withColumn("Puesto", F.row_number().over(ranking)).filter(F.col("Puesto") <= size)
-    return ranked.orderBy("Id_Consorcio", "Piso", "Anio", "Puesto")
 
 
 def payment_intervals(
@@ -312,5 +318,4 @@ def payment_intervals(
             F.date_format("Siguiente", "yyyy-MM-dd").alias("FechaPagoSiguiente"),
             F.datediff("Siguiente", "Fecha").alias("DiasEntrePagos"),
         )
-        .orderBy(*UNIT_KEY, "FechaPago", "FechaPagoSiguiente")
     )

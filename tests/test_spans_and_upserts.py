@@ -95,7 +95,7 @@ def test_missing_columns_and_tables_are_violations(spark):
 def test_xml_files_hold_the_report_in_order(spark, tmp_path):
     d = Domain(spark, FOLDER)
     report = R.weekly_collection(d.payments, d.details, d.bills, *d.span)
-    wanted = [(r["Id_Consorcio"], r["Anio"], r["Semana"]) for r in report.collect()]
+    wanted = [(r["Id_Consorcio"], r["Anio"], r["Semana"]) for r in R.ordered(report).collect()]
     assert wanted == sorted(wanted) and len(wanted) > 100
     write_xml(report, str(tmp_path / "report"), "Fila", "Reporte")
     text = "".join(p.read_text() for p in sorted((tmp_path / "report").glob("part-*")))
