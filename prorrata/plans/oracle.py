@@ -6,6 +6,8 @@ decimal division there is floating point.
 
 from __future__ import annotations
 
+from prorrata.schemas import TABLES
+
 MONTHS = [f"{y}-{m:02d}" for y in range(1995, 2002) for m in range(1, 13)]
 
 CONDOMINIUMS = """condominiums AS (
@@ -281,9 +283,97 @@ FROM listed"""
     sql.update(_privacy_queries(sql))
     sql.update(_other_queries())
     sql.update(_allocation_queries())
+    sql["o07_import_expenses_array"] = sql["o07_import_expenses"]
+    sql["o13_post_in_two_runs"] = sql["o13_allocated_bills"]
+    sql["o15_weekly_of_a_building"] = f"""SELECT * FROM ({sql["o15_weekly_collection"]}) WHERE "Id_Consorcio" = 7"""
+    sql["o19_top_debtors_of_a_floor"] = (
+        f"""SELECT * FROM ({sql["o19_top_debtors"]}) WHERE "Id_Consorcio" = 3 AND "Anio" = 1997 AND "Piso" = '7'"""
+    )
+    sql["o21_weekly_xml_file"] = sql["o15_weekly_collection"]
+    sql.update(_stored_queries())
     return sql
 
 
+def _stored_queries() -> dict[str, str]:
+    """Stored tables that are changed in place, reports with parameters, and checks of all tables."""
+    last = "(SELECT max(month) FROM calendar)"
+
+    def bill(rest: str, paid: str, total: str) -> str:
+        interest = _money(_half_away(f"({rest}) * 5", 100))
+        return f"""SELECT b.building AS "Id_Consorcio", b.unit AS "NroUF", b.month AS "Periodo", {_money(rest)} AS "Saldo_Anterior",
+       {_money(paid)} AS "Pagos_Recibidos_Mes", {_money(rest)} AS "Deuda", {interest} AS "Interes_Por_Mora",
+       {_money("b.ord")} AS "Importe_Ordinario_Prorrateado", {_money("b.ext")} AS "Importe_Extraordinario_Prorrateado",
+       {_money(total)} AS "Total_A_Pagar"
+FROM bills b LEFT JOIN paid p ON p.building = b.building AND p.unit = b.unit AND p.month = b.month
+LEFT JOIN (SELECT b.building, b.unit, b.month, (b.total - coalesce(p.cents, 0))::HUGEINT AS rest FROM bills b
+           LEFT JOIN paid p ON p.building = b.building AND p.unit = b.unit AND p.month = b.month) e
+  ON e.building = b.building AND e.unit = b.unit AND b.month = {last} AND e.month = (b.month - INTERVAL 1 MONTH)::DATE"""
+
+    rest = "coalesce(e.rest, 0)::HUGEINT"
+    coefficient = "CASE WHEN c_custkey % 23 = 0 THEN 'abc' ELSE (c_custkey % 900 + 1) // 100 || ',' || lpad(((c_custkey % 900 + 1) % 100)::VARCHAR, 2, '0') END"
+    fields = [
+        "CASE WHEN c_custkey % 19 = 0 THEN '' WHEN c_custkey % 17 = 0 THEN 'Nowhere' ELSE ' nation_' || c_nationkey || ' ' END",
+        "' ' || c_custkey || ' '", "c_custkey % 10", "c_mktsegment[1:5]", coefficient, "(c_custkey % 90 + 30) || '.9'",
+        "CASE WHEN c_custkey % 3 = 0 THEN 'si ' WHEN c_custkey % 5 = 0 THEN '' ELSE 'NO' END",
+        "CASE WHEN c_custkey % 2 = 0 THEN 'SI' ELSE 'no' END", "c_custkey % 300",
+    ]
+    line = " || chr(9) || ".join(f"({f})" for f in fields)
+    lost_item = "l_suppkey % 30 NOT IN (SELECT n_nationkey FROM nation)"
+    repeated_item = (
+        "SELECT count(*) FROM (SELECT 1 FROM lineitem WHERE l_returnflag {} 'R' GROUP BY l_orderkey * 10 + l_linenumber HAVING count(*) > 1)"
+    )
+    owned = "FROM orders JOIN customer ON c_custkey = o_custkey"
+    counted = {
+        ("unidades.Unidad_Funcional", "LENGTH", "Departamento"): "SELECT count(*) FROM customer WHERE length(c_mktsegment) >= 5",
+        ("unidades.Unidad_Persona", "FOREIGN KEY unidades.Persona", "Id_Persona"): "SELECT count(*) FROM customer WHERE c_custkey % 13 = 0",
+        ("gastos.Gasto_Ordinario", "FOREIGN KEY negocio.Consorcio", "Id_Consorcio"):
+            f"SELECT count(*) FROM lineitem WHERE l_returnflag <> 'R' AND {lost_item}",
+        ("gastos.Gasto_Extraordinario", "FOREIGN KEY negocio.Consorcio", "Id_Consorcio"):
+            f"SELECT count(*) FROM lineitem WHERE l_returnflag = 'R' AND {lost_item}",
+        ("gastos.Gasto_Extraordinario", "FOREIGN KEY gastos.Tipo_Pago_Extraordinario", "Id_tipo_pago"):
+            "SELECT count(*) FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber > 3",
+        ("gastos.Gasto_Ordinario", "PRIMARY KEY", "Id_gasto"): repeated_item.format("<>"),
+        ("gastos.Gasto_Extraordinario", "PRIMARY KEY", "Id_gasto"): repeated_item.format("="),
+        ("pagos.Detalle_Pago", "FOREIGN KEY liquidacion.Detalle_Expensa_UF", "Id_Consorcio, NroUF, Periodo"):
+            f"SELECT count(*) {owned} WHERE o_orderkey % 97 = 0",
+        ("pagos.Detalle_Pago", "FOREIGN KEY pagos.Pago", "Id_Pago"):
+            f"SELECT count(*) {owned} WHERE o_orderkey % 32 = 1 AND o_orderkey - 1 NOT IN (SELECT o_orderkey FROM orders)",
+        ("pagos.Detalle_Pago", "PRIMARY KEY", "Id_Pago, Secuencia"):
+            f"""SELECT count(*) FROM (SELECT o_orderkey - CASE WHEN o_orderkey % 32 = 1 THEN 1 ELSE 0 END AS k {owned}
+                GROUP BY k HAVING count(*) > 1)""",
+    }
+    unwritten = (
+        "negocio.Estado_Financiero gastos.Gasto_Administracion gastos.Gasto_Seguro gastos.Gasto_General gastos.Empresa_Limpieza"
+        " gastos.Gasto_Mantenimiento gastos.Empleado_Limpieza gastos.Gasto_Servicio_Publico liquidacion.Mora"
+    ).split()
+    checks = []
+    for table in TABLES.values():
+        if table.name in unwritten:
+            continue
+        rules = [("PRIMARY KEY", table.key), *((f"FOREIGN KEY {r.table}", r.columns) for r in table.references)]
+        rules += [("NOT NULL", (c,)) for c in table.required] + [("LENGTH", (c,)) for c in table.lengths]
+        for rule, columns in rules:
+            place = (table.name, rule, ", ".join(columns))
+            checks.append(f"SELECT '{place[0]}', '{place[1]}', '{place[2]}', CAST(({counted.get(place, '0')}) AS BIGINT)")
+    return {
+        "o08_upsert_month": _with(*REPORT_BASE) + bill("0::HUGEINT", f"CASE WHEN b.month = {last} THEN coalesce(p.cents, 0) ELSE 0 END", "b.total"),
+        "o10_replace_settlements": _with(*REPORT_BASE) + bill(rest, "0", _half_away(f"({rest} * 10500 + b.ord6 + b.ext6)", 10000)),
+        "o02_malformed_lines": f"""
+SELECT {line} || CASE WHEN c_custkey % 29 = 0 THEN '' ELSE chr(9) || c_custkey % 20 || chr(9) || 'extra' END AS linea,
+       CASE WHEN c_custkey % 29 = 0 THEN 'too few fields' ELSE 'too many fields' END AS reason
+FROM customer WHERE c_custkey % 29 = 0 OR c_custkey % 31 = 0""",
+        "o18_top_expenses_of_a_year": _with(*REPORT_BASE) + f""", spent AS (
+  SELECT building, year(day) AS y, month(day) AS m, sum(cents) AS cents,
+         CASE WHEN bool_or(special) AND bool_or(NOT special) THEN 'Gasto Extraordinario, Gasto Ordinario'
+              WHEN bool_or(special) THEN 'Gasto Extraordinario' ELSE 'Gasto Ordinario' END AS kinds
+  FROM expenses WHERE building = 3 AND year(day) = 1996 AND (special OR kind = 2) GROUP BY ALL)
+SELECT building AS "Id_Consorcio", CAST(y AS INTEGER) AS "Anio", CAST(m AS INTEGER) AS "Mes", {_money("cents")} AS "TotalGasto",
+       kinds AS "TiposIncluidos", CAST(place AS INTEGER) AS "Puesto"
+FROM (SELECT *, row_number() OVER (ORDER BY cents DESC, m) AS place FROM spent) WHERE place <= 5""",
+        "o30_all_tables": "SELECT * FROM (" + " UNION ALL ".join(checks) + ") t(tabla, regla, columnas, filas)",
+    }
+
+
 _PERSON = """c_custkey AS "Id_Persona", CAST(c_custkey + 10000000 AS VARCHAR) AS "DNI",
   upper(c_mktsegment[1:5]) AS "Nombre", upper(c_name) AS "Apellido",
   lower(replace(c_name, '#', '.')) || '@example.com' AS "Email",

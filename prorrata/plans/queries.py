@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from prorrata import schemas as S
 from prorrata.functions.money import money
 from prorrata.operators import allocation as A, billing as B, imports as I, privacy as P, reports as R
+from prorrata.operators.books import post_payments, publish, store_books, stored_bills
 from prorrata.operators.checks import check_tables
 from prorrata.operators.cycle import Books, close_months
 from prorrata.operators.unit_changes import change_units
@@ -22,8 +23,9 @@ from prorrata.plans.adapter import EMISSION, Domain, account_of
 from prorrata.schemas import BILL, PAYMENT_DETAIL, SETTLEMENT
 from prorrata.seeds import seed_table
 from prorrata.sources import files
-from prorrata.sources.files import top_months_xml, xml_row
-from prorrata.sources.workarea import written
+from prorrata.sources.files import top_months_xml, write_xml, xml_row
+from prorrata.sources.tables import read_table, replace_settlements, upsert_months, write_table
+from prorrata.sources.workarea import new_folder, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -162,6 +164,38 @@ def o07_import_expenses_file(d: Domain) -> DataFrame:
     return I.import_expenses(documents, d.condominiums, types, raw.existing_expenses(d), 2025).table
 
 
+@_query
+def o07_import_expenses_array(d: Domain) -> DataFrame:
+    """From files that hold a JSON array each, cut across tasks."""
+    types = seed_table(d.spark, S.ORDINARY_TYPE)
+    documents = files.read_expenses(d.spark, raw.json_array_files(raw.expense_documents(d), "expenses"))
+    return I.import_expenses(documents, d.condominiums, types, raw.existing_expenses(d), 2025).table
+
+
+@_query
+def o02_malformed_lines(d: Domain) -> DataFrame:
+    return files.malformed_lines(d.spark, raw.faulty_unit_file(d), "units").select("linea", "reason")
+
+
+@_query
+def o08_upsert_month(d: Domain) -> DataFrame:
+    """Bills stored by month; the last month's are updated with their payments, the other files stay."""
+    path = new_folder(d.spark, "stored-bills")
+    write_table(d.unpaid_bills, BILL, path)
+    upsert_months(d.spark, BILL, path, d.bills.filter(F.col("Periodo") == F.lit(d.months[1])), S.BILL_KEY)
+    return read_table(d.spark, BILL, path)
+
+
+@_query
+def o10_replace_settlements(d: Domain) -> DataFrame:
+    """Bills stored by month; the last month's settlements are generated again from the balances of the month before."""
+    path = new_folder(d.spark, "stored-bills")
+    write_table(d.unpaid_bills, BILL, path)
+    last = F.col("Periodo") == F.lit(d.months[1])
+    replace_settlements(d.spark, BILL, path, B.bills_of_shares(d.shares.filter(last), previous=d.bills))
+    return read_table(d.spark, BILL, path)
+
+
 @_query
 def o08_keyed_upsert(d: Domain) -> DataFrame:
     """Payments of the earlier years, corrected and continued by those of the later ones."""
@@ -211,6 +245,18 @@ def o13_allocated_bills(d: Domain) -> DataFrame:
     return A.allocate_payments(d.unpaid_bills, d.payments, d.persons, d.links, d.span[1]).bills
 
 
+@_query
+def o13_post_in_two_runs(d: Domain) -> DataFrame:
+    """Stored books: all payments but those of the last week, then these, which touch few units."""
+    path = new_folder(d.spark, "books")
+    store_books(d.unpaid_bills, path)
+    accounts, last = A.units_of_accounts(d.persons, d.links), d.span[1]
+    week = F.col("Fecha") > F.lit(last - dt.timedelta(days=7))
+    for payments in (d.payments.filter(~week), d.payments.filter(week)):
+        publish(d.spark, path, post_payments(d.spark, path, A.resolve_payments(payments, accounts, last)))
+    return stored_bills(d.spark, path)
+
+
 def _closed_books(d: Domain, books: Books | None = None, last: dt.date | None = None) -> Books:
     """All months closed, up to *last*; empty *books* at first."""
 
@@ -249,6 +295,11 @@ def o15_weekly_collection(d: Domain) -> DataFrame:
     return R.weekly_collection(d.payments, d.details, d.bills, *d.span)
 
 
+@_query
+def o15_weekly_of_a_building(d: Domain) -> DataFrame:
+    return R.weekly_collection(d.payments, d.details, d.bills, *d.span, condominium=7)
+
+
 @_query
 def o16_monthly_by_department(d: Domain) -> DataFrame:
     return R.monthly_by_department(d.payments, d.details, d.units, *d.span)
@@ -274,6 +325,17 @@ def o18_top_months(d: Domain) -> DataFrame:
     return spent.select(columns).unionByName(earned.select(columns))
 
 
+@_query
+def o18_top_expenses_of_a_year(d: Domain) -> DataFrame:
+    """Of one building and year; of the ordinary expenses one type only."""
+    return R.top_expense_months(d.ordinary, d.extraordinary, year=1996, condominium=3, expense_type=2)
+
+
+@_query
+def o19_top_debtors_of_a_floor(d: Domain) -> DataFrame:
+    return R.top_debtors(d.bills, d.units, d.links, d.persons, year=1997, condominium=3, floor="7")
+
+
 @_query
 def o19_top_debtors(d: Domain) -> DataFrame:
     return R.top_debtors(d.bills, d.units, d.links, d.persons)
@@ -303,6 +365,15 @@ def o21_weekly_xml(d: Domain) -> DataFrame:
     return report.select("Id_Consorcio", "Anio", "Semana", xml_row("Fila", *columns).alias("xml"))
 
 
+@_query
+def o21_weekly_xml_file(d: Domain) -> DataFrame:
+    """The weekly report written as XML files and read from them."""
+    report = R.weekly_collection(d.payments, d.details, d.bills, *d.span)
+    path = new_folder(d.spark, "weekly-xml")
+    write_xml(report, path, "Fila", "Reporte")
+    return d.spark.read.format("xml").option("rowTag", "Fila").schema(report.schema).load(path)
+
+
 @_query
 def o21_top_months_xml(d: Domain) -> DataFrame:
     return top_months_xml(
@@ -404,6 +475,38 @@ def o30_integrity_checks(d: Domain) -> DataFrame:
     )
 
 
+@_query
+def o30_all_tables(d: Domain) -> DataFrame:
+    """All 18 tables that operations write, with faults: lost references and bills, repeated details, long names."""
+    seeds = {t.name: seed_table(d.spark, t) for t in (
+        S.ADMINISTRATION, S.EXTRAORDINARY_TYPE, S.ORDINARY_TYPE, S.SERVICE_TYPE, S.RELATION_TYPE, S.PAYMENT_METHOD, S.INCOME_TYPE
+    )}
+    items = d.table("lineitem")
+    item_id = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("Id_gasto")
+    supplier = (F.col("l_suppkey") % 30).cast("int").alias("Id_Consorcio")
+    special = F.col("l_returnflag") == "R"
+    payment = F.col("Id_Pago")
+    lost_bill = F.when(payment % 97 == 0, F.add_months("Periodo", 1200)).otherwise(F.col("Periodo"))
+    found = [
+        (S.CONDOMINIUM, d.condominiums),
+        (S.SUPPLIER, raw.existing_suppliers(d)),
+        (S.UNIT, d.units.withColumn("Departamento", F.concat("Departamento", F.lit("-")))),
+        (S.PERSON, d.persons),
+        (S.UNIT_PERSON, d.links.withColumn("Id_Persona", F.when(F.col("Id_Persona") % 13 != 0, F.col("Id_Persona")).otherwise(-1))),
+        (S.ORDINARY_EXPENSE, items.filter(~special).select(item_id, supplier, (F.col("l_linenumber") % 6 + 1).alias("Id_Tipo_Gasto"))),
+        (S.EXTRAORDINARY_EXPENSE, items.filter(special).select(item_id, supplier, F.col("l_linenumber").alias("Id_tipo_pago"))),
+        (S.SETTLEMENT, d.headers),
+        (S.BILL, d.unpaid_bills),
+        (S.PAYMENT, d.payments),
+        (S.PAYMENT_DETAIL, d.details.withColumn("Periodo", lost_bill).withColumn("Id_Pago", payment - F.when(payment % 32 == 1, 1).otherwise(0))),
+    ]
+    whole = {
+        t.name: df.select(*[F.col(c) if c in df.columns else F.lit(None).cast(t.schema[c].dataType).alias(c) for c in t.columns])
+        for t, df in found
+    }
+    return check_tables({**seeds, **whole})
+
+
 @_query
 def o31_all_seeds(d: Domain) -> DataFrame:
     """Every seeded row with the number of derived rows that use it."""

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from prorrata.functions.dates import MONTH_NAMES
@@ -16,7 +18,7 @@ from prorrata.functions.money import money
 from prorrata.operators.imports import EXPENSE_COLUMNS
 from prorrata.plans.adapter import Domain, account_of
 from prorrata.seeds import TENANT
-from prorrata.sources.workarea import work_area
+from prorrata.sources.workarea import new_folder, work_area
 
 # What earlier files brought: everything but one market segment, and payments before a day.
 NEW_SEGMENT, NEW_DEPARTMENT = "MACHINERY", "MACHI"
@@ -46,6 +48,34 @@ def json_file(documents: DataFrame, name: str) -> str:
     return path
 
 
+def _framed_text(lines: DataFrame, name: str, first: str, last: str | None = None) -> str:
+    """Path of text files of *lines* (value); every file has its first and, if given, its last line."""
+
+    def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts in ([first], *(b.column("value").to_pylist() for b in batches), [] if last is None else [last]):
+            yield pa.RecordBatch.from_arrays([pa.array(texts, type=pa.string())], names=["value"])
+
+    path = new_folder(lines.sparkSession, name)
+    lines.mapInArrow(framed, "value string").write.text(path)
+    return path
+
+
+def json_array_files(documents: DataFrame, name: str) -> str:
+    """Path of *documents* in the work area, one array per file. Every document ends with a comma and an empty one closes the array."""
+    return _framed_text(documents.select(F.concat(F.to_json(F.struct("*")), F.lit(",")).alias("value")), name, "[", "{}]")
+
+
+def faulty_unit_file(d: Domain) -> str:
+    """The lines of `unit_lines` as a file; some lack their last field, some have one more."""
+    key = F.col("c_custkey")
+    lines = unit_lines(d, "c_custkey")
+    fields = [c for c in lines.columns if c != "c_custkey"]
+    texts = [F.coalesce(c, F.lit("")) for c in fields]
+    last = _every(key, 29, F.lit(""), F.concat(F.lit("\t"), texts[-1], _every(key, 31, F.lit("\textra"), F.lit(""))))
+    line = F.concat(F.concat_ws("\t", *texts[:-1]), last)
+    return _framed_text(lines.select(line.alias("value")), "faulty-units", "\t".join(fields))
+
+
 def condominium_sheet(d: Domain) -> DataFrame:
     """One building per customer."""
     key = F.col("c_custkey")
@@ -74,7 +104,7 @@ def existing_condominiums(d: Domain) -> DataFrame:
     )
 
 
-def unit_lines(d: Domain) -> DataFrame:
+def unit_lines(d: Domain, *more: str) -> DataFrame:
     key = F.col("c_custkey")
     hundredths = (key % 900 + 1).cast("int")
     coefficient = F.concat(
@@ -92,6 +122,7 @@ def unit_lines(d: Domain) -> DataFrame:
         _every(key, 2, F.lit("SI"), F.lit("no")).alias("cochera"),
         (key % 300).cast("string").alias("m2_baulera"),
         (key % 20).cast("string").alias("m2_cochera"),
+        *more,
     )
 
 
