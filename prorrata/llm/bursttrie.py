@@ -71,7 +71,9 @@ def turn_sequences(conversations: DataFrame) -> DataFrame:
         return (a["numbered"] == b["numbered"]) & (a["turn"] == b["turn"]) & (a["letter"] != b["letter"])
 
     tied = F.exists(F.zip_with(before, after, differ), lambda x: x)
-    ids = first.filter(tied).select("conv_id")
+    ids = written(first.filter(tied).select("conv_id"), "tied")
+    if ids.isEmpty():
+        return first.select("conv_id", F.transform("items", lambda x: x["letter"]).alias("letters"))
     # Only conversations in which a number has different turns are read again, with their texts.
     again = turns.join(ids, "conv_id", "left_semi")
     place = F.dense_rank().over(W.partitionBy("conv_id", "numbered", "turn").orderBy("role", "text"))
