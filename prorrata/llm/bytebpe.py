@@ -1,13 +1,21 @@
 """A byte-level BPE tokenizer on texts of any length.
 
-Two facts about the byte-level pre-tokenizer carry the exactness of everything
-here. A *stable* position is a space between two characters that are not white
-space. (1) Every pattern of the pre-tokenizer that can reach it starts there:
-runs of letters, numbers or signs end before white space, and white-space runs of
-one space before another character belong to what follows. (2) Special strings
-of the vocabulary hold no white space (checked when the tokenizer is loaded). So
-a pre-token, and with it a token, begins at each stable position whatever stands
-before.
+A *stable* position is one at which a pre-token, and with it a token, begins
+whatever stands before. These are stable:
+
+(1) A space between two characters that are not white space. Runs of letters,
+numbers or signs end before white space, and white-space runs of one space before
+another character belong to what follows.
+(2) The character after a line break or tab, unless it is white space: of a
+white-space run, only a space can belong to what follows.
+(3) A change between a letter, a digit and a sign. Each run holds one of these
+kinds only; the one pattern with a sign and letters is a contraction, which
+begins with an apostrophe, so a letter after an apostrophe is left out. Letters
+and signs are taken from scripts whose classes are beyond doubt.
+
+Special strings of the vocabulary are cut out before all this. They hold no white
+space, and changes next to one of their signs are left out; a vocabulary whose
+special strings could hold a stable position all the same is refused.
 """
 
 from __future__ import annotations
@@ -21,7 +29,11 @@ import numpy as np
 from prorrata.llm.common import process_cache
 
 LONG_RUN = 2000  # characters
-_STABLE = re.compile(r"(?<=\S) (?=\S)")
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏΑ-ΡΣ-ωА-яぁ-ゖァ-ヺ一-龥가-힣"
+_SIGNS = r"!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~、。，：；？！"  # without the apostrophe and the signs of special strings: < | >
+_STABLE = re.compile(
+    rf"(?<=\S) (?=\S)|(?<=[\n\r\t])(?=\S)|(?<=[{_LETTERS}])(?=[0-9{_SIGNS}'])|(?<=[0-9])(?=[{_LETTERS}{_SIGNS}'])|(?<=[{_SIGNS}])(?=[{_LETTERS}0-9])"
+)
 _RUN = re.compile(r"[^ ]{%d}|\s{%d}" % (LONG_RUN, LONG_RUN))
 
 
@@ -34,8 +46,8 @@ def load(path: str):
 
         tokenizer = Tokenizer.from_file(path)
         added = tokenizer.get_added_tokens_decoder().values()
-        if any(re.search(r"\s", t.content) or t.lstrip or t.rstrip for t in added):
-            raise ValueError("a special string with white space would break the proof of stable positions")
+        if any(re.search(r"\s", t.content) or _STABLE.search(t.content) or t.lstrip or t.rstrip for t in added):
+            raise ValueError("a special string that may hold a stable position would break their proof")
         cache[path] = tokenizer
     return cache[path]
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window as W
 
 from prorrata.sources.workarea import written
@@ -55,6 +57,20 @@ def process_cache(name: str) -> dict:
     return vars(sys).setdefault("_prorrata_llm", {}).setdefault(name, {})
 
 
+def shared_value(spark: SparkSession, value) -> Callable:
+    """A broadcast of *value*; the function returned opens it inside a task.
+
+    Spark pickles broadcasts by reference to their classes, which workers could
+    not import; these are bytes that carry the classes along.
+    """
+    packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def opened():
+        return cloudpickle.loads(packed.value)
+
+    return opened
+
+
 def number_within(rows: DataFrame, group: str, slot: str) -> DataFrame:
     """Gapless numbers from 0 inside each value of *group*, in the order of a written copy.
 

@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from prorrata.llm.common import process_cache, whole_text
+from prorrata.llm.common import process_cache, shared_value, whole_text
 
 COMMON_SHARE = 1 / 200
 LANGUAGE_SHARE = 1 / 500
@@ -209,13 +209,14 @@ def judge(text: str, lang: str | None, found: dict[str, Reference]) -> tuple:
 
 def verdict_of(docs: DataFrame, text: Column, lang: Column, found: dict[str, Reference]) -> Column:
     """Struct of the verdict on a text column. The references are bounded (see the module's text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(found)
+    shared = shared_value(docs.sparkSession, found)
     names = [part.split()[0] for part in _JUDGED.split(",")]
 
     @F.pandas_udf(_JUDGED)
     def verdict(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        found = shared()
         for texts, langs in batches:
-            rows = [judge(t, x, shared.value) for t, x in zip(texts, langs)]
+            rows = [judge(t, x, found) for t, x in zip(texts, langs)]
             frame = pd.DataFrame(rows, columns=names)
             yield frame.astype({"char_distance": "float64", "word_distance": "float64", "base_failed": bool, "kept": bool})
 

@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from prorrata.llm.common import id_remainder, smallest_hashes
+from prorrata.llm.common import id_remainder, shared_value, smallest_hashes
 
 SAMPLE_DOCS = 96  # labelled documents per language
 SAMPLE_BYTES = 20_000  # longer documents are no part of the sample
@@ -208,12 +208,13 @@ def learn(labelled: DataFrame) -> Languages:
 
 def language_of(docs: DataFrame, text: Column, model: Languages) -> Column:
     """struct(lang_pred, score) of a text column. The model's size is bounded by REFERENCE_CELLS."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shared_value(docs.sparkSession, model)
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = shared()
         for texts in batches:
-            names, scores = shared.value.predict(list(texts))
+            names, scores = model.predict(list(texts))
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
     return predict(text)

@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from prorrata.llm.common import id_remainder, smallest_hashes
+from prorrata.llm.common import id_remainder, shared_value, smallest_hashes
 
 SAMPLE_DOCS = 1200  # labelled documents per label, at most
 SAMPLE_BYTES = 16_000  # longer documents are no part of the sample
@@ -178,12 +178,13 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
 
 def score_of(docs: DataFrame, text: Column, model: Model) -> Column:
     """Score of a text column; the model is BUCKETS numbers."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shared_value(docs.sparkSession, model)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = shared()
         for texts in batches:
-            yield pd.Series(shared.value.scores(list(texts)))
+            yield pd.Series(model.scores(list(texts)))
 
     return score(text)
 

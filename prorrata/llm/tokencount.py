@@ -6,8 +6,9 @@ encoded by the library with offsets, and
 two neighbours are spliced at a stable position (see bytebpe) inside their
 overlap at which both encodings begin a token: left of it the first chunk's
 tokens hold, from it on the second's. Where no such position exists, the overlap
-is widened, up to the rest of the text. Memory is bounded by the chunk, unless
-the text itself offers no stable position.
+is widened up to the whole chunk, and then a chunk of twice its length replaces
+it; so a text that offers no stable position is encoded about twice in all.
+Memory is bounded by the chunk, unless the text itself offers no such position.
 """
 
 from __future__ import annotations
@@ -54,18 +55,18 @@ def count_long(text: str, tokenizer, chunk: int = CHUNK, overlap: int = OVERLAP)
     end = min(begin + chunk, len(text))
     left, count = _encoded(tokenizer, text[begin:end])
     while end < len(text):
-        shared = overlap
-        while True:
-            start = max(begin, end - shared)
-            stop = min(end + chunk, len(text))
+        shared, place, start = overlap, -1, max(begin, end - overlap)
+        while start > begin and place <= valid:
+            if stable_positions(text, start + 1, end - 1):
+                stop = min(end + chunk, len(text))
+                right, right_count = _encoded(tokenizer, text[start:stop])
+                place = splice_point(text, left, begin, right, start, end)
+            if place <= valid:
+                shared *= 2
+                start = max(begin, end - shared)
+        if place <= valid:  # nothing in the whole chunk is stable: one of twice its length replaces it
+            place, start, stop = valid, begin, min(2 * end - begin, len(text))
             right, right_count = _encoded(tokenizer, text[start:stop])
-            place = splice_point(text, left, begin, right, start, end) if start > begin else -1
-            if place > valid:
-                break
-            if start == begin:  # the overlap took in the whole chunk: the wider chunk replaces it
-                place = valid
-                break
-            shared *= 2
         total += bisect.bisect_left(left, place - begin) - bisect.bisect_left(left, valid - begin)
         valid, begin, end, left, count = place, start, stop, right, right_count
     return total + count - bisect.bisect_left(left, valid - begin)

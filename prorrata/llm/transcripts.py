@@ -22,7 +22,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from prorrata.llm.common import smallest_hashes
+from prorrata.llm.common import shared_value, smallest_hashes
 
 SAMPLE = 400  # transcripts that the model is fitted on
 ROLES = ("system", "user", "assistant")
@@ -158,12 +158,13 @@ def parse_transcripts(transcripts: DataFrame, model: RoleModel) -> DataFrame:
     transcript are kept. A transcript is parsed by itself, so rows of any number
     need no shuffle.
     """
-    shared = transcripts.sparkSession.sparkContext.broadcast(model)
+    shared = shared_value(transcripts.sparkSession, model)
 
     @F.pandas_udf("array<struct<role: string, text: string>>")
     def parse(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = shared()
         for texts in batches:
-            yield pd.Series([[{"role": r, "text": x} for r, x in shared.value.turns(t or "")] for t in texts])
+            yield pd.Series([[{"role": r, "text": x} for r, x in model.turns(t or "")] for t in texts])
 
     kept = [c for c in transcripts.columns if c != "transcript"]
     turns = transcripts.select(*kept, F.posexplode(parse("transcript")).alias("turn", "_t"))
