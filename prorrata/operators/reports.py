@@ -46,11 +46,28 @@ def _of_condominium(df: DataFrame, condominium: int | None) -> DataFrame:
 
 
 def _dated_applications(
-    payments: DataFrame, details: DataFrame, when: Column, condominium: int | None
+    payments: DataFrame, details: DataFrame | None, when: Column, condominium: int | None
 ) -> DataFrame:
+    """Applied money with its day; without *details*, `payments` are collections that have both already."""
+    if details is None:
+        return _of_condominium(payments, condominium).filter(when)
     dated = payments.filter(when).select("Id_Pago", "Fecha")
     applied = _of_condominium(details, condominium).select("Id_Pago", *BILL_KEY, "Importe_Usado")
-    return applied.join(dated, "Id_Pago")
+    return applied.join(dated, "Id_Pago").withColumn("Pagos", F.lit(1))
+
+
+def collections(payments: DataFrame, details: DataFrame) -> DataFrame:
+    """Applied money and number of payments per bill and day.
+
+    A unit has no more rows than the calendar allows, whatever its payments, so
+    they may be stored by unit (see `sources.buckets`). The reports take them in
+    place of *payments*, with no *details*.
+    """
+    return (
+        _dated_applications(payments, details, F.lit(True), None)
+        .groupBy(*BILL_KEY, "Fecha")
+        .agg(money(F.sum("Importe_Usado")).alias("Importe_Usado"), F.sum("Pagos").alias("Pagos"))
+    )
 
 
 def _between(start: dt.date, end: dt.date) -> Column:
@@ -63,7 +80,7 @@ def _bill_parts(bills: DataFrame, condominium: int | None) -> DataFrame:
 
 def weekly_collection(
     payments: DataFrame,
-    details: DataFrame,
+    details: DataFrame | None,
     bills: DataFrame,
     start: dt.date,
     end: dt.date,
@@ -101,7 +118,7 @@ def weekly_collection(
 
 def monthly_by_department(
     payments: DataFrame,
-    details: DataFrame,
+    details: DataFrame | None,
     units: DataFrame,
     start: dt.date,
     end: dt.date,
@@ -132,7 +149,7 @@ def monthly_by_department(
 
 def collection_by_origin(
     payments: DataFrame,
-    details: DataFrame,
+    details: DataFrame | None,
     bills: DataFrame,
     start: dt.date,
     end: dt.date,
@@ -209,7 +226,7 @@ def top_expense_months(
 
 def top_income_months(
     payments: DataFrame,
-    details: DataFrame,
+    details: DataFrame | None,
     year: int | None = None,
     condominium: int | None = None,
     size: int = 5,
@@ -283,7 +300,7 @@ def top_debtors(
 
 def payment_intervals(
     payments: DataFrame,
-    details: DataFrame,
+    details: DataFrame | None,
     bills: DataFrame,
     start: dt.date,
     end: dt.date,
@@ -300,7 +317,7 @@ def payment_intervals(
     days = (
         _dated_applications(payments, details, _between(start, end), condominium)
         .groupBy(*BILL_KEY, "Fecha")
-        .agg(F.count(F.lit(1)).alias("Pagos"))
+        .agg(F.sum("Pagos").alias("Pagos"))
         .join(with_ordinary, BILL_KEY)
         .groupBy(*UNIT_KEY, "Fecha")
         .agg(F.sum("Pagos").alias("Pagos"))

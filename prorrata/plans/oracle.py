@@ -291,6 +291,13 @@ FROM listed"""
     )
     sql["o21_weekly_xml_file"] = sql["o15_weekly_collection"]
     sql.update(_stored_queries())
+    in_buckets = {
+        "o10_prorate_buckets": "o10_prorate_bills", "o11_recalculate_buckets": "o11_recalculate_balances",
+        "o13_allocate_buckets": "o13_allocated_bills", "o15_weekly_buckets": "o15_weekly_collection",
+        "o17_origin_buckets": "o17_collection_by_origin", "o19_debtors_buckets": "o19_top_debtors",
+        "o20_intervals_buckets": "o20_payment_intervals",
+    }
+    sql.update({name: sql[same] for name, same in in_buckets.items()})
     return sql
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -23,6 +24,7 @@ from prorrata.plans.adapter import EMISSION, Domain, account_of
 from prorrata.schemas import BILL, PAYMENT_DETAIL, SETTLEMENT
 from prorrata.seeds import seed_table
 from prorrata.sources import files
+from prorrata.sources.buckets import store_buckets
 from prorrata.sources.files import top_months_xml, write_xml, xml_row
 from prorrata.sources.tables import read_table, replace_settlements, upsert_months, write_table
 from prorrata.sources.workarea import new_folder, written
@@ -353,6 +355,54 @@ def o20_payment_intervals(d: Domain) -> DataFrame:
     return R.payment_intervals(d.payments, d.details, d.bills, *d.span)
 
 
+def _in_buckets(d: Domain, rows: DataFrame, kind: str, keys: list[str] = S.UNIT_KEY) -> DataFrame:
+    """*rows* stored by unit or bill; the following queries read their facts from such tables."""
+    return store_buckets(rows, f"prorrata_{kind}_{uuid.uuid4().hex}", new_folder(d.spark, f"buckets-{kind}"), keys=keys)
+
+
+def _collected(d: Domain) -> tuple[DataFrame, None, DataFrame]:
+    """Collections, and bills, by bill."""
+    applied = _in_buckets(d, R.collections(d.payments, d.details), "collections", S.BILL_KEY)
+    return applied, None, _in_buckets(d, d.unpaid_bills, "bills", S.BILL_KEY)
+
+
+@_query
+def o10_prorate_buckets(d: Domain) -> DataFrame:
+    """Last balances meet the new shares where both lie."""
+    return B.bills_of_shares(_in_buckets(d, d.shares, "shares"), previous=_in_buckets(d, d.bills, "bills"))
+
+
+@_query
+def o11_recalculate_buckets(d: Domain) -> DataFrame:
+    return B.recalculate_balances(_in_buckets(d, d.bills, "bills"))
+
+
+@_query
+def o13_allocate_buckets(d: Domain) -> DataFrame:
+    return A.allocate_payments(_in_buckets(d, d.unpaid_bills, "bills"), d.payments, d.persons, d.links, d.span[1]).bills
+
+
+@_query
+def o15_weekly_buckets(d: Domain) -> DataFrame:
+    return R.weekly_collection(*_collected(d), *d.span)
+
+
+@_query
+def o17_origin_buckets(d: Domain) -> DataFrame:
+    return R.collection_by_origin(*_collected(d), *d.span)
+
+
+@_query
+def o19_debtors_buckets(d: Domain) -> DataFrame:
+    bills, units = _in_buckets(d, d.bills, "bills"), _in_buckets(d, d.units, "units")
+    return R.top_debtors(bills, units, d.links, d.persons)
+
+
+@_query
+def o20_intervals_buckets(d: Domain) -> DataFrame:
+    return R.payment_intervals(*_collected(d), *d.span)
+
+
 @_query
 def o22_business_days(d: Domain) -> DataFrame:
     return business_days(d.payments.select("Fecha").distinct(), d.holidays)
