@@ -7,8 +7,8 @@ length, and whether it asks. State sequences are found by Viterbi; start,
 transition and emission probabilities are counts over a bounded sample of
 transcripts with known roles (SAMPLE), smoothed by one.
 
-Lines of a turn are joined, markers are taken off where a turn begins, and every
-turn is rendered in one form.
+Lines of a turn are joined, with the blank lines between them; markers that name
+a speaker are taken off where a turn begins, and every turn is rendered in one form.
 """
 
 from __future__ import annotations
@@ -22,12 +22,13 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from prorrata.llm.common import shared_value, smallest_hashes
+from prorrata.llm.common import id_remainder, number_within, shared_value, smallest_hashes
+from prorrata.sources.workarea import written
 
 SAMPLE = 400  # transcripts that the model is fitted on
 ROLES = ("system", "user", "assistant")
-PART_TURNS = 64  # turn numbers of a conversation that make one transcript
-PART_ROWS = 256  # turns of one transcript, about, where turn numbers repeat
+PART_ROWS = 4096  # turns of one transcript; a longer conversation is several, so no task holds it whole
+HELD_OUT = 5  # the model is not fitted on conversations whose crc32(conv_id) is divisible by this
 # Names by which speakers are marked, in lower case.
 NAMES = {
     "system": ("system", "instruction", "instructions", "context", "prompt"),
@@ -42,15 +43,18 @@ STATES = [(role, begins) for role in ROLES for begins in (True, False)]
 def marker_of(line: str) -> tuple[str, str]:
     """Kind of the speaker marker of a line (a role, ``other`` or ``none``) and the line without it.
 
-    A marker is a name with a colon, brackets or a heading sign; a bare word is none.
+    A marker is a name with a colon or a closing bracket behind it, or a heading
+    of its own; a bare word or a quoted line is none.
     """
     found = _MARKER.match(line)
     if not found:
         return "none", line
-    written = found.group(0)
+    before, after = line[: found.start(1)], line[found.end(1) : found.end()]
     rest = line[found.end() :]
-    signed = any(c in written for c in ":])>|") or written.lstrip().startswith(("#", "*"))
-    if not signed or (":" not in written and written.lstrip().startswith(("#", "*")) and rest):
+    heading = before.lstrip().startswith(("#", "*"))
+    if heading and rest and ":" not in after:
+        return "none", line
+    if not heading and not any(c in after for c in ":])>|"):
         return "none", line
     return _ROLE_OF.get(found.group(1).lower(), "other"), rest
 
@@ -119,16 +123,29 @@ class RoleModel:
         return path[::-1]
 
     def turns(self, transcript: str) -> list[tuple[str, str]]:
-        """(role, text) of the turns of a transcript. A blank line inside a turn is kept as one line break."""
-        lines = features(transcript.split("\n"))
+        """(role, text) of the turns of a transcript.
+
+        Blank lines inside a turn stay; those before and after it are layout. A
+        marker is taken off only if it names a known speaker.
+        """
+        lines = transcript.split("\n")
+        shown = features(lines)
         found: list[tuple[str, list[str]]] = []
-        for (line, shown, _), state in zip(lines, self.states([f for _, f, _ in lines])):
+        last = 0
+        for (line, _, number), state in zip(shown, self.states([f for _, f, _ in shown])):
             role, begins = STATES[state]
             if begins or not found or found[-1][0] != role:
-                found.append((role, [marker_of(line)[1] if shown[0][1] != "none" else line]))
+                kind, rest = marker_of(line)
+                found.append((role, [rest if kind in ROLES else line]))
             else:
-                found[-1][1].append(line)
-        return [(role, "\n".join(x for x in text if x.strip())) for role, text in found]
+                found[-1][1].extend([*lines[last + 1 : number], line])
+            last = number
+        return [(role, _without_blank_ends(text)) for role, text in found]
+
+
+def _without_blank_ends(lines: list[str]) -> str:
+    filled = [i for i, x in enumerate(lines) if x.strip()]
+    return "\n".join(lines[filled[0] : filled[-1] + 1]) if filled else ""
 
 
 def labelled_lines(turns: list[tuple[str, str]]) -> list[tuple[tuple, int]]:
@@ -189,40 +206,66 @@ def _marker(style: Column, role: Column) -> Column:
     return reduce(lambda case, c: case.when((style == c[0]) & (role == c[1]), c[2]), cases[1:], start)
 
 
+def _parts(rows: DataFrame) -> DataFrame:
+    """*rows* with part: the PART_ROWS consecutive rows of a conversation that a row belongs to.
+
+    Conversations are counted first; only those of more rows than a part are
+    sorted and numbered, across tasks.
+    """
+    spark = rows.sparkSession
+    long = rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > PART_ROWS)
+    long = written(long.select(F.col("conv_id").alias("_long")), "long-conversations")
+    if long.isEmpty():
+        return rows.withColumn("part", F.lit(0))
+    same = F.col("conv_id").eqNullSafe(F.col("_long"))
+    # The row's place spreads equal rows over ranges.
+    spread = rows.join(long, same, "left_semi").withColumn("_place", F.monotonically_increasing_id())
+    order = ["conv_id", "turn", "role", "text", "_place"]
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    numbered = number_within(spread.repartitionByRange(partitions, *order).sortWithinPartitions(*order), "conv_id", "_slot")
+    parted = numbered.withColumn("part", F.floor(F.col("_slot") / PART_ROWS).cast("int"))
+    return rows.join(long, same, "left_anti").withColumn("part", F.lit(0)).unionByName(parted.select(*rows.columns, "part"))
+
+
 def written_transcripts(conversations: DataFrame) -> DataFrame:
     """Loose transcripts of *conversations* (conv_id, turn, role, text): conv_id, part, transcript, turns.
 
     The style follows from the conversation's id; every fourth turn or so after
-    the first has no marker, only a blank line before it. Roles other than
-    system and assistant count as user, null texts as empty. Equal rows are one
-    turn. A conversation is one transcript per PART_TURNS turn numbers, and more
-    where a turn number has very many different rows.
+    the first of a transcript has no marker, only a blank line before it. Roles
+    other than system and assistant count as user, null texts as empty, null
+    turns as 0. Turns of one number are ordered by role and text; equal rows are
+    turns of their own. A conversation is one transcript per PART_ROWS turns.
     """
     rows = conversations.select(
         "conv_id",
         F.coalesce("turn", F.lit(0)).alias("turn"),
         F.when(F.col("role").isin("system", "assistant"), F.col("role")).otherwise("user").alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
-    ).distinct()
-    rows = rows.withColumn("_piece", F.floor(F.col("turn") / PART_TURNS))
-    counts = rows.groupBy("conv_id", "_piece").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).alias("_salts"))
-    of = counts.select(F.col("conv_id").alias("_conv"), F.col("_piece").alias("_of"), "_salts")
-    salted = rows.join(of, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_piece") == F.col("_of")))
-    part = F.concat_ws(".", "_piece", F.pmod(F.xxhash64("role", "text"), F.col("_salts")))
+    )
     style = F.pmod(F.xxhash64("conv_id"), F.lit(len(STYLES)))
-    bare = (F.col("turn") > 0) & (F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4)) == 0)
-    line = F.when(bare, F.concat(F.lit("\n"), "text")).otherwise(F.concat(_marker(style, F.col("role")), "text"))
-    grouped = salted.select("conv_id", part.alias("part"), "turn", "role", line.alias("line")).groupBy("conv_id", "part")
-    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "line")))
+    sorted_turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+
+    def line(turn: Column, place: Column) -> Column:
+        """A turn without a marker needs a text that shows, and one before it."""
+        bare = (place > 0) & (F.trim(turn["text"]) != "") & (F.pmod(F.xxhash64("conv_id", turn["turn"]), F.lit(4)) == 0)
+        text = F.when(bare, F.concat(F.lit("\n"), turn["text"])).otherwise(F.concat(_marker(style, turn["role"]), turn["text"]))
+        return F.struct(turn["turn"].alias("turn"), turn["role"].alias("role"), text.alias("line"))
+
+    grouped = _parts(rows).groupBy("conv_id", "part").agg(sorted_turns.alias("_sorted"))
     return (
-        grouped.agg(turns.alias("turns"))
+        grouped.select("conv_id", "part", F.transform("_sorted", line).alias("turns"))
         .withColumn("id", F.concat_ws("/", "conv_id", "part"))
         .withColumn("transcript", F.array_join(F.transform("turns", lambda t: t["line"]), "\n"))
     )
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
-    """conv_id, part, turn, role, text, rendered: the turns recovered from loose transcripts of *conversations*."""
-    transcripts = written_transcripts(conversations)
-    model = learn(transcripts)
-    return parse_transcripts(transcripts.select("conv_id", "part", "transcript"), model)
+    """conv_id, part, turn, role, text, rendered: the turns recovered from loose transcripts of *conversations*.
+
+    `turn` counts on from part to part. The transcripts are written once; the
+    model is fitted on those that are not held out (see HELD_OUT).
+    """
+    transcripts = written(written_transcripts(conversations), "transcripts")
+    model = learn(transcripts.filter(id_remainder("conv_id", HELD_OUT) != 0))
+    found = parse_transcripts(transcripts.select("conv_id", "part", "transcript"), model)
+    return found.withColumn("turn", F.col("turn") + F.col("part") * PART_ROWS)

@@ -215,13 +215,51 @@ def test_roles_are_recovered(spark):
     assert right >= 0.95 * len(given)
 
 
+def test_roles_of_held_out_conversations(spark):
+    """Whole conversations that the model was not fitted on, at sf0.1."""
+    import zlib
+
+    given = spark.read.parquet("/root/testdata/sf0.1/conversations.parquet").select("conv_id", "turn", "role", "text")
+    whole, got = defaultdict(list), defaultdict(list)
+    for r in sorted(given.collect()):
+        whole[r["conv_id"]].append((r["role"], r["text"]))
+    for r in sorted(transcripts.format_conversations(given).select("conv_id", "turn", "role", "text").collect()):
+        got[r["conv_id"]].append((r["role"], r["text"]))
+    held = [c for c in whole if zlib.crc32(str(c).encode()) % transcripts.HELD_OUT == 0]
+    right = sum(got[c] == whole[c] for c in held)
+    print("held-out conversations", right, "of", len(held))
+    assert len(held) >= 100 and right >= 0.95 * len(held)
+
+
+@pytest.mark.parametrize("part_rows", [transcripts.PART_ROWS, 128])
+def test_a_long_conversation_comes_back(spark, part_rows, monkeypatch):
+    monkeypatch.setattr(transcripts, "PART_ROWS", part_rows)
+    r = random.Random(16)
+    long = [(7_000, t, ("user", "assistant")[t % 2], prose(r, "en", r.randint(4, 12)) + ".") for t in range(1000)]
+    given = conversation_rows() + long
+    found = transcripts.format_conversations(spark.createDataFrame(given, CONVERSATION).repartition(5))
+    got = sorted((r["turn"], r["role"], r["text"]) for r in found.filter("conv_id = 7000").collect())
+    assert got == [x[1:] for x in long]
+
+
+def test_what_a_turn_keeps():
+    labelled = transcripts.labelled_lines([("user", "User: a b\n\n\nc d"), ("assistant", "AI: c\nd e?")])
+    model = transcripts.RoleModel([labelled] * 50)
+    assert model.turns("User: one\n\n\ntwo\n\nAI: Note: buy milk\n\n") == [("user", "one\n\n\ntwo"), ("assistant", "Note: buy milk")]
+    for text in ("Note: buy milk", "> a quoted line", "# A heading of words", "Bob: hello"):
+        assert model.turns(text)[0][1] == text
+    assert transcripts.marker_of("> a quoted line") == ("none", "> a quoted line")
+    assert transcripts.marker_of("[user] hi") == ("user", "hi") and transcripts.marker_of("**Agent:** hi") == ("assistant", "hi")
+    assert transcripts.marker_of("### User") == ("user", "") and transcripts.marker_of("a cat") == ("none", "a cat")
+
+
 def test_conversation_edge_rows(spark):
     given = conversation_rows() + [(900, 0, "user", None), (901, None, None, "hi there"), (None, 0, "tool", "x"), (902, 0, "user", "")]
     given += [(903, t % 3, "user", f"row {t} of many") for t in range(700)] + [(904, 0, "user", "same")] * 50
     frame = spark.createDataFrame(given, CONVERSATION).selectExpr("*", "'x' AS part", "'y' AS transcript", "'z' AS rendered")
     found = transcripts.format_conversations(frame).collect()
     texts = Counter(r["text"] for r in found if r["conv_id"] == 904)
-    assert texts == Counter({"same": 1})
+    assert texts == Counter({"same": 50})
     assert "".join(sorted(r["text"] for r in found if r["conv_id"] == 903)).count("of many") == 700
     assert {r["text"] for r in found if r["conv_id"] == 901} == {"hi there"}
     assert all(r["rendered"] == f"<|{r['role']}|>\n{r['text']}\n<|end|>\n" for r in found)
