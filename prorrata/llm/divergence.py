@@ -6,14 +6,15 @@ classes, and common words. A document fails if the Jensen-Shannon distance
 the reference exceeds a limit. A histogram of few items is mostly noise, so each
 distance is judged only from a minimum length on.
 
-Common words are all words that make up COMMON_SHARE of a language or more. They
-are found exactly in two passes without a count per distinct word: such a word
-has that share in at least one part of the rows, so each part proposes its own
-words of that share, and a second pass counts the proposals everywhere. By the
-same argument languages need LANGUAGE_SHARE of all words to get a reference. So
-references have at most 1 / COMMON_SHARE words for each of 1 / LANGUAGE_SHARE
-languages, whatever the input. Documents of other languages, or of none, are
-held against the nearest reference.
+Languages of LANGUAGE_SHARE of all bytes or more get a reference. Common words are
+all words that make up COMMON_SHARE of a language or more. They are found exactly
+without a count per distinct word: each task keeps a mergeable frequent-items
+summary of SUMMARY_WORDS counters per language, summaries are merged in a tree,
+and a word of that share cannot be missing from the result; a second pass counts
+the words left over everywhere. So references have at most 1 / COMMON_SHARE words
+for each of 1 / LANGUAGE_SHARE languages, and a task or the driver holds at most
+SUMMARY_WORDS for each, whatever the input. Documents of other languages, or of
+none, are held against the nearest reference.
 """
 
 from __future__ import annotations
@@ -26,9 +27,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from prorrata.llm.common import process_cache, shared_value, whole_text
+from prorrata.sources.workarea import written
 
 COMMON_SHARE = 1 / 200
 LANGUAGE_SHARE = 1 / 500
@@ -38,7 +41,8 @@ MAX_CHAR_DISTANCE = 0.30
 MAX_WORD_DISTANCE = 0.42
 MIN_BASE_WORDS = 10
 WINDOW = 5
-_PART_WORDS = 1_000_000  # words after which a part proposes its common words
+SUMMARY_WORDS = 1000  # counters of a summary; more than 1 / COMMON_SHARE
+_MERGED = 64  # summaries that one task merges
 _EDGE = b".,;:!?\"'()[]"
 _SYMBOLS = str.maketrans("", "", "[#*$%&|<>]")
 # Character classes: lower, upper and other letters, marks, numbers, sentence punctuation, other
@@ -95,40 +99,91 @@ class Reference:
         return distance(classes, self.classes), distance(own, self.counts)
 
 
-def _proposals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(lang, word) with the share COMMON_SHARE in a part of the rows, and (lang, null) for frequent languages."""
-    counts: dict[str, Counter] = {}
-    seen = 0
+def summary(counts: Counter, size: int = SUMMARY_WORDS) -> Counter:
+    """At most *size* counters: the (size + 1)th largest count is taken off all.
+
+    Whatever is taken off is taken off more than *size* words at a time, so
+    over any order of additions and merges a counter falls short of the word's
+    count by at most all words / (size + 1).
+    """
+    if len(counts) <= size:
+        return counts
+    cut = sorted(counts.values(), reverse=True)[size]
+    return Counter({w: n - cut for w, n in counts.items() if n > cut})
+
 
-    def proposed() -> pd.DataFrame:
-        found = []
-        for lang, words in counts.items():
-            total = words.total()
-            if total and total >= LANGUAGE_SHARE * seen:
-                found += [(lang, w.decode()) for w, n in words.items() if n >= COMMON_SHARE * total] + [(lang, None)]
-        return pd.DataFrame(found, columns=["lang", "word"])
+_SUMMARY = "lang string, part int, word string, n long"
 
+
+def _summary_rows(part: int, counts: dict[str, Counter], totals: Counter) -> pd.DataFrame:
+    """A summary as rows; the count of all words of a language stands with the word null."""
+    found = [(lang, part, w.decode(), n) for lang, words in counts.items() for w, n in summary(words).items()]
+    found += [(lang, part, None, n) for lang, n in totals.items()]
+    return pd.DataFrame(found, columns=["lang", "part", "word", "n"]).astype({"part": "int32", "n": "int64"})
+
+
+def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One summary a task."""
+    counts: dict[str, Counter] = {}
+    totals: Counter = Counter()
     for batch in batches:
         for lang, text in zip(batch["lang"], batch["text"]):
             words = plain_words(text)
-            counts.setdefault(lang, Counter()).update(words)
-            seen += len(words)
-            if seen >= _PART_WORDS:
-                yield proposed()
-                counts, seen = {}, 0
-    if seen:
-        yield proposed()
+            totals[lang] += len(words)
+            own = counts.setdefault(lang, Counter())
+            own.update(words)
+            if len(own) > 50 * SUMMARY_WORDS:
+                counts[lang] = summary(own)
+    task = TaskContext.get()
+    yield _summary_rows(task.partitionId() if task else 0, counts, totals)
+
+
+def _merged(rows: pd.DataFrame) -> pd.DataFrame:
+    """The summary of the summaries of one language."""
+    lang, part = rows["lang"].iloc[0], int(rows["part"].iloc[0]) // _MERGED
+    words: Counter = Counter()
+    for word, n in zip(rows["word"], rows["n"]):
+        if word is not None:
+            words[word.encode()] += int(n)
+    return _summary_rows(part, {lang: words}, Counter({lang: int(rows["n"][rows["word"].isna()].sum())}))
+
+
+def candidate_words(rows: DataFrame) -> dict[str, list[bytes]]:
+    """Per language of *rows* (lang, text) all words of the share COMMON_SHARE, and perhaps some rarer ones, in order."""
+    found = written(rows.mapInPandas(_summaries, _SUMMARY), "word-summaries")
+    parts = (found.agg(F.max("part")).first()[0] or 0) + 1
+    while True:
+        found = found.groupBy("lang", F.floor(F.col("part") / _MERGED)).applyInPandas(_merged, _SUMMARY)
+        parts = -(-parts // _MERGED)
+        if parts == 1:
+            break
+    counted, totals = {}, {}
+    for r in found.collect():  # at most SUMMARY_WORDS for each of 1 / LANGUAGE_SHARE languages
+        if r["word"] is None:
+            totals[r["lang"]] = r["n"]
+        else:
+            counted.setdefault(r["lang"], {})[r["word"].encode()] = r["n"]
+    candidates = {}
+    for lang, total in totals.items():
+        words = counted.get(lang, {})
+        short = (total - sum(words.values())) / (SUMMARY_WORDS + 1)
+        candidates[lang] = sorted(w for w, n in words.items() if n + short >= COMMON_SHARE * total * (1 - 1e-9))
+    return candidates
+
+
+def frequent_languages(docs: DataFrame) -> list[str]:
+    """Languages of LANGUAGE_SHARE of the bytes of all tagged texts or more: at most 1 / LANGUAGE_SHARE."""
+    sizes = docs.filter("lang IS NOT NULL AND text IS NOT NULL").groupBy("lang").agg(F.sum(F.octet_length("text").cast("bigint")).alias("size"))
+    sizes = written(sizes, "language-sizes")
+    whole = sizes.agg(F.sum("size")).first()[0] or 0
+    return sorted(r["lang"] for r in sizes.filter((F.col("size") > 0) & (F.col("size") >= LANGUAGE_SHARE * whole)).collect())
 
 
 def references(docs: DataFrame) -> dict[str, Reference]:
     """References of all frequent languages of *docs* (text, lang); rows without either give nothing."""
     rows = docs.select("lang", "text").filter("lang IS NOT NULL AND text IS NOT NULL")
-    proposals = rows.mapInPandas(_proposals, "lang string, word string").distinct().collect()
-    candidates: dict[str, dict[bytes, int]] = {}
-    for lang, word in sorted((r["lang"], r["word"] or "") for r in proposals):
-        bins = candidates.setdefault(lang, {})
-        if word:
-            bins[word.encode()] = len(bins)
+    rows = rows.filter(F.col("lang").isin(frequent_languages(docs)))
+    candidates = {lang: {w: i for i, w in enumerate(words)} for lang, words in candidate_words(rows).items()}
     if not candidates:
         return {}
     shared = docs.sparkSession.sparkContext.broadcast(candidates)
@@ -144,7 +199,8 @@ def references(docs: DataFrame) -> dict[str, Reference]:
                 words = Counter(plain_words(text))
                 row = sums.setdefault(lang, np.zeros(CLASSES + len(bins) + 1, dtype=np.int64))
                 row[:CLASSES] += class_counts(text)
-                row[CLASSES:-1] += np.fromiter((words.get(w, 0) for w in bins), dtype=np.int64, count=len(bins))
+                for word in words.keys() & bins.keys():
+                    row[CLASSES + bins[word]] += words[word]
                 row[-1] += words.total()
         found = [(lang, place, int(n)) for lang, row in sums.items() for place, n in enumerate(row)]
         yield pd.DataFrame(found, columns=["lang", "place", "n"]).astype({"place": "int32", "n": "int64"})
@@ -154,11 +210,10 @@ def references(docs: DataFrame) -> dict[str, Reference]:
     for r in summed.collect():
         row = rows_of.setdefault(r["lang"], np.zeros(CLASSES + len(candidates[r["lang"]]) + 1))
         row[r["place"]] = r["n"]
-    everything = sum(row[-1] for row in rows_of.values())
     found = {}
     for lang, row in rows_of.items():
         total, counts = row[-1], row[CLASSES:-1]
-        if total and total >= LANGUAGE_SHARE * everything:
+        if total:
             common = [(w, counts[i]) for w, i in candidates[lang].items() if counts[i] >= COMMON_SHARE * total]
             own = np.array([n for _, n in common] + [total - sum(n for _, n in common)])
             found[lang] = Reference(row[:CLASSES], {w: i for i, (w, _) in enumerate(common)}, own)

@@ -49,6 +49,85 @@ def test_a_strange_distribution_is_not_kept(spark):
     assert kept == set(range(40))
 
 
+def test_references_and_verdicts_equal_plain_counts(spark):
+    """A language that only a few rows of one end hold, rare words, untagged and foreign rows; all recomputed plainly."""
+    import math
+    import unicodedata
+
+    r = random.Random(31)
+    rare = [f"w{i}" for i in range(3000)]
+    given = [(i, " ".join(["alpha"] * 3 + r.choices(rare, k=100)) + " Beta. gamma", "xx") for i in range(150)]
+    given += [(200 + i, prose(r, "en", 90) + " only (here) only", "en") for i in range(6)]
+    given += [(300, " ".join(r.choices(rare, k=80)), None), (301, "### " * 80, "xx"), (302, prose(r, "en", 120).upper(), "zz"), (303, "short one", "en"), (304, None, "en")]
+    docs = spark.createDataFrame(given, "doc_id long, text string, lang string").repartitionByRange(12, "doc_id")
+
+    def words_of(text):
+        return [w for w in (x.strip(".,;:!?\"'()[]") for x in WORD.findall(text.lower())) if w]
+
+    def kind(c):
+        if c in ".,;:!?'\"()-":
+            return 5
+        k = unicodedata.category(c)
+        return {"Ll": 0, "Lu": 1}.get(k, {"L": 2, "M": 3, "N": 4, "P": 6, "S": 7}.get(k[0], 8))
+
+    def jsd(a, b):
+        if not sum(a) or not sum(b):
+            return 1.0
+        total = 0.0
+        for x, y in zip(a, b):
+            p, q = x / sum(a), y / sum(b)
+            total += (p * math.log2(2 * p / (p + q)) if p else 0) + (q * math.log2(2 * q / (p + q)) if q else 0)
+        return math.sqrt(min(1.0, max(0.0, total / 2)))
+
+    expected = {}
+    for lang in ("xx", "en", "zz"):
+        texts = [t for _, t, x in given if x == lang and t]
+        counts, classes = Counter(w for t in texts for w in words_of(t)), Counter(kind(c) for t in texts for c in t)
+        whole = sum(counts.values())
+        common = {w: n for w, n in counts.items() if n * 200 >= whole}
+        expected[lang] = ([classes[k] for k in range(9)], common, whole - sum(common.values()))
+    found = divergence.references(docs)
+    assert set(found) == set(expected)
+    for lang, (classes, common, other) in expected.items():
+        assert found[lang].classes.tolist() == classes
+        assert {w.decode(): found[lang].counts[i] for w, i in found[lang].words.items()} == common
+        assert found[lang].counts[-1] == other
+
+    def distances(text, lang):
+        classes, _, _ = expected[lang]
+        own, chars = Counter(words_of(text)), Counter(kind(c) for c in text)
+        common = list(expected[lang][1])
+        mine = [own[w] for w in common]
+        return (jsd([chars[k] for k in range(9)], classes),
+                jsd(mine + [sum(own.values()) - sum(mine)], [expected[lang][1][w] for w in common] + [expected[lang][2]]))
+
+    for row in divergence.quality_rules(docs).collect():
+        _, text, lang = next(g for g in given if g[0] == row["doc_id"])
+        text, n = text or "", row["n_words"]
+        chars = words = None
+        if len(text) >= 200 or n >= 40:
+            near = [lang] if lang in expected else list(expected)
+            chars, words = min((distances(text, x) for x in near), key=lambda d: (d[1], d[0]))
+            chars, words = (chars if len(text) >= 200 else None), (words if n >= 40 else None)
+        assert row["char_distance"] == (None if chars is None else pytest.approx(chars, abs=1e-9))
+        assert row["word_distance"] == (None if words is None else pytest.approx(words, abs=1e-9))
+        far = (chars or 0) > divergence.MAX_CHAR_DISTANCE or (words or 0) > divergence.MAX_WORD_DISTANCE
+        assert row["kept"] == (not row["base_failed"] and not far)
+
+
+def test_summaries_miss_no_common_word():
+    """Summaries of any parts, merged in any order, hold every word of a share above 1 / (counters + 1)."""
+    r = random.Random(7)
+    for size in (1, 5, 20):
+        parts = [Counter(r.choices(["a", "b", "c", *map(str, range(300))], weights=[40, 25, 15, *[0.3] * 300], k=r.randint(1, 900))) for _ in range(17)]
+        whole, merged = sum(parts, Counter()), Counter()
+        for part in parts:
+            merged = divergence.summary(merged + divergence.summary(part, size), size)
+        assert len(merged) <= size
+        for word, n in whole.items():
+            assert n - whole.total() / (size + 1) <= merged[word] <= n
+
+
 def test_distance_bounds():
     a, b = np.array([1.0, 0, 3]), np.array([0, 2.0, 0])
     assert divergence.distance(a, a) == 0 and divergence.distance(a, b) == 1 and divergence.distance(a, a * 0) == 1
