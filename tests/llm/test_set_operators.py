@@ -36,6 +36,28 @@ def test_shards_of_edge_rows(edge_docs, no_docs):
     assert sharding.shard_documents(no_docs, tree).count() == 0
 
 
+def test_draws_equal_plain_draws(spark):
+    """Every level by the largest logarithm of a uniform draw over the weight, in plain Python."""
+    signed = [-5, 0, *range(1, 400), 1 << 40]
+    heavy = sharding.Node("heavy", (sharding.shard_node(20, 3.0), sharding.shard_node(21, 0.5), sharding.shard_node(22, 0.0)))
+    tree = sharding.Node("root", (*sharding.regular_tree(2, 2, 3).children, heavy))
+
+    def hashed(key, name):
+        first = 42 if key is None else xxhash.xxh64_intdigest((key & (1 << 64) - 1).to_bytes(8, "little"), 42)
+        return xxhash.xxh64_intdigest(name.encode(), first)
+
+    def plain(key, node):
+        while node.children:
+            drawn = [(math.log(((hashed(key, c.name) >> 11) + 0.5) / (1 << 53)) / c.weight, c) for c in node.children if c.weight > 0]
+            node = max(drawn, key=lambda d: d[0])[1]
+        return node.shard
+
+    docs = spark.createDataFrame([(k, "x") for k in [*signed, None]], "doc_id long, text string")
+    grown = sharding.grown_tree(tree, 30, 2.0)
+    found = {r["doc_id"]: (r["shard"], r["grown_shard"]) for r in sharding.shard_documents(docs, tree, grown).collect()}
+    assert found == {k: (plain(k, tree), plain(k, grown)) for k in [*signed, None]}
+
+
 def test_tree_shares_and_movement(spark):
     """Shards get their weight's share; a heavier shard draws rows in and moves none elsewhere than on its path."""
     ids = spark.range(30_000).withColumnRenamed("id", "doc_id")

@@ -49,6 +49,58 @@ def test_a_strange_distribution_is_not_kept(spark):
     assert kept == set(range(40))
 
 
+def test_training_equals_plain_descent(monkeypatch):
+    """The same steps, one weight at a time in plain Python, give the same scores."""
+    import math
+
+    monkeypatch.setattr(quality, "STEPS", 40)
+    monkeypatch.setattr(quality, "BUCKETS", 1 << 18)
+    texts, labels, shares = ["good clean prose", "bad spam spam", "more prose here", "spam offer", ""], [1, 0, 1, 0, 0], (0.25, 0.75)
+    model = quality.train(texts, labels, shares)
+
+    def parts(text):
+        counts = Counter(b for _, found in quality.features([text]) for b in found.tolist())
+        return {b: n / counts.total() for b, n in counts.items()}
+
+    def clip(x):
+        return max(-quality.BOUND, min(quality.BOUND, x))
+
+    random_, size = np.random.default_rng(0), quality.DIMENSION
+    start = random_.uniform(-1 / size, 1 / size, (quality.BUCKETS, size))
+    documents = [parts(t) for t in texts]
+    vectors = {b: start[b].tolist() for d in documents for b in d}
+    layer = [[0.0, 0.0] for _ in range(size)]
+
+    def forward(own):
+        mean = [sum(p * vectors[b][k] for b, p in own.items()) for k in range(size)]
+        logits = [sum(mean[k] * layer[k][v] for k in range(size)) for v in (0, 1)]
+        odds = [math.exp(x - max(logits)) for x in logits]
+        return mean, [x / sum(odds) for x in odds]
+
+    steps = 8 * len(labels)
+    for done, i in enumerate(i for _ in range(8) for i in random_.permutation(len(labels)).tolist()):
+        own, label = documents[i], labels[i]
+        mean, chances = forward(own)
+        weight = shares[label] * len(labels) / labels.count(label)
+        rate = quality.RATE * (1 - done / steps) * min(weight, 5.0)
+        error = [(chances[v] - (v == label)) * rate for v in (0, 1)]
+        back = [sum(layer[k][v] * error[v] for v in (0, 1)) for k in range(size)]
+        layer = [[clip(layer[k][v] - mean[k] * error[v]) for v in (0, 1)] for k in range(size)]
+        for b, p in own.items():
+            vectors[b] = [clip(vectors[b][k] - min(p * len(own), 4.0) * back[k]) for k in range(size)]
+    assert model.scores(texts) == pytest.approx([forward(d)[1][1] for d in documents], abs=1e-3)
+
+
+def test_summaries_merge_in_a_tree(spark, monkeypatch):
+    """Many tasks and levels: the candidates hold every common word."""
+    monkeypatch.setattr(divergence, "_MERGED", 2)
+    r = random.Random(13)
+    given = [("xx", " ".join(["often"] * (i % 3) + [f"r{r.randrange(5000)}" for _ in range(60)])) for i in range(300)] + [("yy", "a b a")]
+    docs = spark.createDataFrame(given, "lang string, text string").repartition(11)
+    found = divergence.candidate_words(docs)
+    assert found["xx"] == [b"often"] and found["yy"] == [b"a", b"b"]
+
+
 def test_references_and_verdicts_equal_plain_counts(spark):
     """A language that only a few rows of one end hold, rare words, untagged and foreign rows; all recomputed plainly."""
     import math
