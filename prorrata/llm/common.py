@@ -39,15 +39,21 @@ def smallest_hashes(rows: DataFrame, group: str, key: str, counts: dict, size: i
     twice the sample before anything is ranked, so no task sees a whole group.
     """
     spread = 1 << 30
-    limit = F.lit(None).cast("double")
+    limit = F.when(F.lit(False), F.lit(0.0))
     for value, count in counts.items():
-        limit = F.when(F.col(group) == F.lit(value), F.lit(2.0 * size / max(count, 1) * spread)).otherwise(limit)
+        limit = limit.when(F.col(group) == F.lit(value), F.lit(2.0 * size / max(count, 1) * spread))
     hashed = F.xxhash64(key)
     few = rows.select(group, key).filter(F.pmod(hashed, F.lit(spread)) <= limit).distinct()
     rank = F.row_number().over(W.partitionBy(group).orderBy(F.pmod(hashed, F.lit(spread)), key))
     return few.withColumn("_rank", rank).filter(F.col("_rank") <= size).drop("_rank")
 
 
+def sample_window(text: Column, size: int) -> Column:
+    """*text*, or of a longer one *size* characters that begin at a place given by its hash."""
+    first = F.pmod(crc32_of(text), F.char_length(text) - size + 1) + 1
+    return F.when(F.char_length(text) <= size, text).otherwise(text.substr(first.cast("int"), F.lit(size)))
+
+
 def process_cache(name: str) -> dict:
     """A dict that lives as long as the Python worker.
 

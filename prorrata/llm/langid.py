@@ -6,43 +6,46 @@ in a language's text; the more foreign the text, the more phrases. Phrase counts
 are normalised to bits per character, phrases * log2(reference length) / length,
 and the language with the fewest bits wins.
 
-The references are built from a bounded sample of labelled rows (SAMPLE_DOCS per
-language, REFERENCE_CELLS for all tables together); predictions read whole texts.
-Documents are cut into blocks of BLOCK characters that are parsed side by side,
+The references are built from a bounded sample of labelled rows: at most
+SAMPLE_DOCS per language, of each an equal share of the REFERENCE_CHARS, more of
+the others where one is short. Automata are kept as hash tables of their edges,
+so their size depends on the length of the references alone, not on the number
+of letters. Predictions read whole texts. Documents are cut into blocks of BLOCK characters that are parsed side by side,
 one numpy step per character position; a phrase ends with its block.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from prorrata.llm.common import id_remainder, shared_value, smallest_hashes
+from prorrata.llm.common import id_remainder, sample_window, shared_value, smallest_hashes
 
-SAMPLE_DOCS = 96  # labelled documents per language
-SAMPLE_BYTES = 20_000  # longer documents are no part of the sample
+SAMPLE_DOCS = 96  # labelled documents per language, at most
+SAMPLE_CHARS = 4_000  # of a longer document a window of so many characters, at a place given by its hash
 REFERENCE_CHARS = 24_000  # characters of reference text per language, at most
-REFERENCE_CELLS = 8_000_000  # cells of all transition tables together, at most
-MAX_LANGUAGES = 150  # the most frequent ones of the labelled rows
+ALL_REFERENCE_CHARS = 4_000_000  # of all languages together; with more than 166 languages each gets an equal share
+ALL_SAMPLE_DOCS = 16_000  # of all languages together, and at least one of each
+MAX_LANGUAGES = 4_096  # values of lang that are learned, the most frequent ones
 BLOCK = 512
 TEMPERATURE = 8.0  # bits of evidence per factor of two in the score
 _CHUNK_CHARS = 1_500_000  # characters that are parsed at a time
 _SEPARATOR, _UNKNOWN, _FIRST_LETTER = 0, 1, 2
-_MAX_LETTERS = 253
+_STATE_BITS = 20  # of an edge's entry for the next state; automata have at most 2 * REFERENCE_CHARS states
+_STATE_MASK = (1 << _STATE_BITS) - 1
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def letter_classes(texts: list[str]) -> np.ndarray:
     """Class of every code point: separator, letter outside the sample, or a letter of its own."""
-    classes = np.zeros(0x110000, dtype=np.uint8)
+    classes = np.zeros(0x110000, dtype=np.int32)
     letters = np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
     classes[letters] = _UNKNOWN
-    counts = Counter(c for text in texts for c in text.lower() if c.isalpha())
-    ranked = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:_MAX_LETTERS]
-    for number, (letter, _) in enumerate(ranked):
+    for number, letter in enumerate(sorted({c for text in texts for c in text.lower() if c.isalpha()})):
         classes[ord(letter)] = _FIRST_LETTER + number
     return classes
 
@@ -98,23 +101,77 @@ def suffix_automaton(sequence: np.ndarray) -> list[dict[int, int]]:
     return following
 
 
-def parse_table(following: list[dict[int, int]], symbols: int) -> np.ndarray:
-    """One step of the greedy parse, for every state and symbol.
+def equal_shares(lengths: list[int], total: int) -> list[int]:
+    """How much of each length to take, so that all are *total* at most and none is cut while a longer one is not."""
+    taken = [0] * len(lengths)
+    for rank, i in enumerate(sorted(range(len(lengths)), key=lengths.__getitem__)):
+        taken[i] = min(lengths[i], total // (len(lengths) - rank))
+        total -= taken[i]
+    return taken
 
-    An entry is the row offset of the next state times 4, plus the number of
-    phrases that end: none while the match goes on, one when it breaks, two when
-    the breaking symbol does not occur in the reference at all.
+
+def reference(texts: list[str], classes: np.ndarray, total: int) -> np.ndarray:
+    """Classes of at most *total* characters of *texts*, an equal share of each; a separator stands between texts."""
+    sequence, starts = encode(texts, classes)
+    found: list[np.ndarray] = []
+    for text, start, length, share in zip(texts, starts, np.diff(starts), equal_shares(np.diff(starts).tolist(), total)):
+        if share:
+            first = start + zlib.crc32(text.encode()) % (int(length) - share + 1)
+            found += [np.array([_SEPARATOR], dtype=classes.dtype)] if found else []
+            found.append(sequence[first : first + share])
+    return np.concatenate(found)[:total] if found else sequence[:0]
+
+
+class Automaton:
+    """A suffix automaton as a table of its edges, with open addressing.
+
+    An entry holds state * symbols + symbol above _STATE_BITS, and the next
+    state below. At most a third of the slots are taken.
     """
-    root = np.full(symbols, 1, dtype=np.int32)  # an unseen symbol is a phrase by itself
-    for symbol, state in following[0].items():
-        root[symbol] = state * symbols * 4
-    table = np.empty((len(following), symbols), dtype=np.int32)
-    table[:] = root + 1
-    table[0] = root
-    for state, edges in enumerate(following):
-        if edges:
-            table[state, list(edges)] = np.fromiter(edges.values(), dtype=np.int32, count=len(edges)) * (symbols * 4)
-    return table.reshape(-1)
+
+    def __init__(self, sequence: np.ndarray, symbols: int):
+        following = suffix_automaton(sequence)
+        assert len(following) <= _STATE_MASK
+        self.symbols = symbols
+        self.root = np.zeros(symbols, dtype=np.int64)
+        for symbol, state in following[0].items():
+            self.root[symbol] = state
+        keys = np.fromiter((s * symbols + x for s, e in enumerate(following) for x in e), dtype=np.int64)
+        states = np.fromiter((t for e in following for t in e.values()), dtype=np.int64, count=len(keys))
+        size_bits = max(4, int(3 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - size_bits), (1 << size_bits) - 1
+        self.slots = np.full(1 << size_bits, -1, dtype=np.int64)
+        entries, slot, left = (keys << _STATE_BITS) | states, self._slot(keys), np.arange(len(keys))
+        while len(left):
+            open_ = left[self.slots[slot[left]] < 0]
+            _, first = np.unique(slot[open_], return_index=True)
+            self.slots[slot[open_[first]]] = entries[open_[first]]
+            left = left[self.slots[slot[left]] != entries[left]]
+            slot[left] = (slot[left] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * _FACTOR) >> self.shift).astype(np.int64)
+
+    def step(self, states: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """One step of the greedy parse: the next states, which lanes end phrases there, and how many each of them ends.
+
+        None ends while the match goes on; one when it breaks, and one more if the
+        breaking symbol does not occur in the reference at all.
+        """
+        keys = states * self.symbols + symbols
+        slot = self._slot(keys)
+        entries = self.slots[slot]
+        hit = (entries >> _STATE_BITS) == keys
+        left = np.flatnonzero(~hit & (entries >= 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & self.mask
+            entries[left] = tried = self.slots[slot[left]]
+            hit[left] = same = (tried >> _STATE_BITS) == keys[left]
+            left = left[~same & (tried >= 0)]
+        broken = np.flatnonzero(~hit)
+        following = entries & _STATE_MASK
+        following[broken] = again = self.root[symbols[broken]]
+        return following, broken, (states[broken] != 0).astype(np.int64) + (again == 0)
 
 
 class Languages:
@@ -122,15 +179,13 @@ class Languages:
 
     def __init__(self, samples: dict[str, list[str]]):
         self.names = sorted(samples)
-        everything = [t for name in self.names for t in samples[name]]
-        self.classes = letter_classes(everything)
-        self.symbols = int(self.classes.max()) + 1
-        most = REFERENCE_CELLS // (2 * self.symbols * max(1, len(self.names)))
-        self.tables, bits = [], []
+        self.classes = letter_classes([t for name in self.names for t in samples[name]])
+        symbols = int(self.classes.max()) + 1
+        most = min(REFERENCE_CHARS, ALL_REFERENCE_CHARS // max(1, len(self.names)))
+        self.automata, bits = [], []
         for name in self.names:
-            sequence, _ = encode([" ".join(samples[name])], self.classes)
-            sequence = sequence[: min(REFERENCE_CHARS, most)]
-            self.tables.append(parse_table(suffix_automaton(sequence), self.symbols))
+            sequence = reference(samples[name], self.classes, most)
+            self.automata.append(Automaton(sequence, symbols))
             bits.append(np.log2(max(2, len(sequence))))
         self.bits = np.array(bits)
 
@@ -148,16 +203,15 @@ class Languages:
         if not len(owner):
             return counts
         active = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")
-        symbols = np.zeros((size[0], len(owner)), dtype=np.uint8)
+        symbols = np.zeros((size[0], len(owner)), dtype=np.int64)
         for step, lanes in enumerate(active):
             symbols[step, :lanes] = sequence[begin[:lanes] + step]
-        for number, table in enumerate(self.tables):
-            state = np.zeros(len(owner), dtype=np.int32)
-            found = np.ones(len(owner), dtype=np.int32)  # the phrase that the block's end closes
+        for number, automaton in enumerate(self.automata):
+            state = np.zeros(len(owner), dtype=np.int64)
+            found = np.ones(len(owner), dtype=np.int64)  # the phrase that the block's end closes
             for step, lanes in enumerate(active):
-                taken = table[state[:lanes] + symbols[step, :lanes]]
-                found[:lanes] += taken & 3
-                state[:lanes] = taken >> 2
+                state[:lanes], broken, ended = automaton.step(state[:lanes], symbols[step, :lanes])
+                found[broken] += ended
             np.add.at(counts[:, number], owner, found)
         return counts
 
@@ -186,20 +240,20 @@ def learn(labelled: DataFrame) -> Languages:
     """References from a bounded sample of (doc_id, text, lang) rows.
 
     Per language the rows with the smallest hash of their id are taken, so the
-    sample does not depend on partitioning. Rows without a language or a text,
-    and texts of more than SAMPLE_BYTES, are no part of it.
+    sample does not depend on partitioning; of a long text a window is taken.
+    Rows without a language or a text are no part of it.
     """
     rows = labelled.select("doc_id", "text", "lang").filter("lang IS NOT NULL AND text IS NOT NULL")
-    short = rows.filter(F.octet_length("text") <= SAMPLE_BYTES)
-    most = short.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
+    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
     frequent = {r["lang"]: r["count"] for r in most.collect()}
     if not frequent:
         return Languages({})
-    chosen = smallest_hashes(short, "lang", "doc_id", frequent, SAMPLE_DOCS)
-    # Bounded: SAMPLE_DOCS ids for each of MAX_LANGUAGES languages.
-    picked = short.join(F.broadcast(chosen.withColumnsRenamed({"lang": "_lang", "doc_id": "_id"})),
-                        (F.col("lang") == F.col("_lang")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    texts = picked.groupBy("lang", "doc_id").agg(F.min("text").alias("text")).collect()
+    chosen = smallest_hashes(rows, "lang", "doc_id", frequent, min(SAMPLE_DOCS, max(1, ALL_SAMPLE_DOCS // len(frequent))))
+    # Bounded: ALL_SAMPLE_DOCS ids.
+    picked = rows.join(F.broadcast(chosen.withColumnsRenamed({"lang": "_lang", "doc_id": "_id"})),
+                       (F.col("lang") == F.col("_lang")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    windows = picked.select("lang", "doc_id", sample_window(F.col("text"), SAMPLE_CHARS).alias("text"))
+    texts = windows.groupBy("lang", "doc_id").agg(F.min("text").alias("text")).collect()
     samples: dict[str, list[str]] = {}
     for row in sorted(texts, key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"] or 0)):
         samples.setdefault(row["lang"], []).append(row["text"])
@@ -207,7 +261,7 @@ def learn(labelled: DataFrame) -> Languages:
 
 
 def language_of(docs: DataFrame, text: Column, model: Languages) -> Column:
-    """struct(lang_pred, score) of a text column. The model's size is bounded by REFERENCE_CELLS."""
+    """struct(lang_pred, score) of a text column. The model's size is bounded by ALL_REFERENCE_CHARS."""
     shared = shared_value(docs.sparkSession, model)
 
     @F.pandas_udf("lang_pred string, score double")
