@@ -6,8 +6,8 @@ learned vectors. A document is the average of its features' vectors; a softmax
 layer over the average gives the probability of label 1. Both layers are trained
 by plain stochastic gradient descent in numpy.
 
-Training uses a bounded sample of labelled rows (SAMPLE_DOCS per label, texts of
-at most SAMPLE_BYTES); the loss weighs labels by their share of all labelled
+Training uses a bounded sample of labelled rows (SAMPLE_DOCS per label, of long
+texts a window of SAMPLE_CHARS); the loss weighs labels by their share of all labelled
 rows. Scoring reads whole texts: as the layers are linear, a trained model is one
 number per bucket, and a document's score is the logistic of their mean.
 """
@@ -21,10 +21,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from prorrata.llm.common import id_remainder, shared_value, smallest_hashes
+from prorrata.llm.common import id_remainder, sample_window, shared_value, smallest_hashes, whole_text
+from prorrata.sources.workarea import written
 
 SAMPLE_DOCS = 1200  # labelled documents per label, at most
-SAMPLE_BYTES = 16_000  # longer documents are no part of the sample
+SAMPLE_CHARS = 16_000  # of a longer document a window of so many characters, at a place given by its hash
 BUCKETS = 1 << 18
 DIMENSION = 8
 NGRAMS = (3, 4, 5)
@@ -33,7 +34,8 @@ RATE = 0.5
 BOUND = 40.0  # weights stay within, so that no sample can make the steps run away
 THRESHOLD = 0.3  # least score of a document that is predicted 1
 _CHUNK_CHARS = 1_000_000  # characters whose features are computed at a time
-_CUT = re.compile(r"[\x20\x09-\x0D]")
+_WHITE = " \t\n\v\f\r"
+_CUT = re.compile(f"[{_WHITE}]")
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -47,9 +49,19 @@ def _buckets(hashes: np.ndarray, kind: int) -> np.ndarray:
     return ((mixed * _FACTOR) >> np.uint64(46)).astype(np.int32)  # the upper 18 bits
 
 
+def ends(count: int) -> tuple[np.ndarray, np.ndarray]:
+    """The feature "end of document" of *count* documents."""
+    return np.arange(count), _buckets(np.full(count, _END, dtype=np.uint64), 0)
+
+
 def features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(document number, bucket) of all features of *texts*, one pair of arrays per kind of feature."""
-    yield np.arange(len(texts)), _buckets(np.full(len(texts), _END, dtype=np.uint64), 0)
+    yield ends(len(texts))
+    yield from inner_features(texts)
+
+
+def inner_features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """`features` without the ends of documents."""
     encoded = [t.encode() for t in texts]
     data = np.frombuffer(b" " + b" ".join(encoded) + b" ", dtype=np.uint8)
     ends = np.cumsum(np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded)) + 1)
@@ -97,30 +109,45 @@ class Model:
             while first + len(chunk) < len(texts) and (not chunk or size + len(texts[first + len(chunk)] or "") <= _CHUNK_CHARS):
                 chunk.append(texts[first + len(chunk)] or "")
                 size += len(chunk[-1])
-            pieces = long_pieces(chunk[0]) if size > _CHUNK_CHARS else [chunk]
+            of = long_features(chunk[0]) if size > _CHUNK_CHARS else features(chunk)
             total, count = np.zeros(len(chunk)), np.zeros(len(chunk))
-            for piece in pieces:
-                for owner, buckets in features(piece):
-                    total += np.bincount(owner, weights=self.evidence[buckets], minlength=len(chunk))
-                    count += np.bincount(owner, minlength=len(chunk))
+            for owner, buckets in of:
+                total += np.bincount(owner, weights=self.evidence[buckets], minlength=len(chunk))
+                count += np.bincount(owner, minlength=len(chunk))
             found[first : first + len(chunk)] = 1.0 / (1.0 + np.exp(-np.clip(total / count, -500, 500)))
             first += len(chunk)
         return found
 
 
-def long_pieces(text: str, size: int = _CHUNK_CHARS) -> Iterator[list[str]]:
-    """A very long text in pieces cut at white space, so that memory does not grow with it.
-
-    Every piece counts an end of its own, and a repetition across a cut is none.
-    """
+def long_pieces(text: str, size: int) -> Iterator[str]:
+    """A text in pieces of about *size* characters; all but the first begin with white space."""
     begin = 0
     while begin < len(text):
         cut = _CUT.search(text, begin + size) if begin + size < len(text) else None
         end = cut.start() if cut else len(text)
-        yield [text[begin:end]]
+        yield text[begin:end]
         begin = end
 
 
+def long_features(text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The features of one very long text, piece by piece, so that memory does not grow with it.
+
+    They are those of the whole text: n-grams lie within a word and the white
+    space around it, the end counts once, and the last word of a piece is
+    compared with the first one of the next.
+    """
+    yield ends(1)
+    last = None
+    for piece in long_pieces(text, _CHUNK_CHARS):
+        yield from inner_features([piece])
+        words = piece.strip(_WHITE)
+        if words:
+            first = _CUT.split(words, maxsplit=1)[0]
+            if first == last:
+                yield np.zeros(1, dtype=np.int64), _buckets(np.full(1, _AGAIN, dtype=np.uint64), 0)
+            last = words[max(words.rfind(c) for c in _WHITE) + 1 :]
+
+
 def train(texts: list[str], labels: list[int], shares: tuple[float, float]) -> Model:
     """Model from texts with labels 0 and 1; *shares* are the labels' shares of all labelled rows.
 
@@ -162,13 +189,14 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """Model from *docs* (doc_id, text) and *labels* (doc_id, quality); only qualities 0 and 1 count.
 
     The sample holds the labelled ids with the smallest hashes, so it does not
-    depend on partitioning.
+    depend on partitioning. Labels without a document do not count.
     """
     known = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("_quality"))
+    known = written(docs.select("doc_id").join(known, "doc_id").distinct(), "labelled-ids")
     counts = {r["_quality"]: r["count"] for r in known.groupBy("_quality").count().collect()}
     chosen = smallest_hashes(known, "_quality", "doc_id", counts, SAMPLE_DOCS)
     # Bounded: SAMPLE_DOCS ids for each of two labels.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter(F.octet_length("text") <= SAMPLE_BYTES)
+    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "_quality", sample_window(whole_text(), SAMPLE_CHARS).alias("text"))
     sample = rows.groupBy("doc_id", "_quality").agg(F.min("text").alias("text")).collect()
     sample.sort(key=lambda r: r["doc_id"])
     total = max(1, sum(counts.values()))

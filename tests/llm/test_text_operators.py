@@ -226,11 +226,30 @@ def test_training_stays_finite():
 def test_long_texts_are_scored_in_pieces(monkeypatch):
     model = quality.Model(np.random.default_rng(1).standard_normal(quality.BUCKETS))
     text = prose(random.Random(4), "en", 3000)
-    pieces = [p for [p] in quality.long_pieces(text, 700)]
+    pieces = list(quality.long_pieces(text, 700))
     assert "".join(pieces) == text and max(map(len, pieces)) < 720
-    whole = model.scores([text, "short"])
-    monkeypatch.setattr(quality, "_CHUNK_CHARS", 2000)
-    assert np.allclose(whole, model.scores([text, "short"]), atol=1e-3)
+    r = random.Random(11)
+    texts = [text, "same " * 3000, "same \t\n\v\f\r  same" + " " * 5000 + "same other ", " " * 4000, "x" * 5000 + " " + "x" * 5000]
+    texts += ["".join(r.choice(["a", "b", "é", " ", "  ", "\n", "a a a", "\x1f", "\u3000"]) for _ in range(3000)) for _ in range(20)]
+
+    def multiset(found):
+        return np.sort(np.concatenate([b for _, b in found]))
+
+    whole = model.scores([*texts, "short"])
+    for size in (1, 7, 64, 2000):
+        monkeypatch.setattr(quality, "_CHUNK_CHARS", size)
+        for t in texts[3 if size < 64 else 0 :]:
+            assert np.array_equal(multiset(quality.long_features(t)), multiset(quality.features([t])))
+    assert np.allclose(whole, model.scores([*texts, "short"]), atol=1e-12, rtol=0)
+
+
+def test_the_sample_is_filled_with_documents_that_are_there(spark):
+    """Labels without a document, and long documents, do not make the sample smaller."""
+    docs = [(i, "good plain words " * (3 if i % 5 else 3000) if i % 2 else "bad bad bad noise " * 3) for i in range(200)]
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(i, 1) for i in range(1000, 60000)], "doc_id bigint, quality int")
+    scores = {r["doc_id"]: r["score"] for r in quality.classify(docs, labels).collect()}
+    assert all((scores[i] > 0.5) == (i % 2 == 1) for i in range(200))
 
 
 def test_classifier_on_edge_rows(edge_docs, no_labels, no_docs):
@@ -253,6 +272,39 @@ def test_language_of_edge_rows(edge_docs, no_docs):
     assert langid.identify(untagged).filter("lang_pred <> 'und'").count() == 0
 
 
+def as_text(classes) -> str:
+    return "".join(map(chr, classes))
+
+
+def test_references_take_an_equal_share_of_every_document(monkeypatch):
+    assert langid.equal_shares([5, 100, 0, 30], 60) == [5, 28, 0, 27] and langid.equal_shares([3, 2], 9) == [3, 2]
+    r = random.Random(2)
+    for _ in range(200):
+        lengths, total = [r.randint(0, 50) for _ in range(r.randint(1, 9))], r.randint(0, 300)
+        taken = langid.equal_shares(lengths, total)
+        cut = [t for t, n in zip(taken, lengths) if t < n]
+        assert sum(taken) == min(total, sum(lengths)) and all(t <= n for t, n in zip(taken, lengths))
+        assert not cut or max(taken) - min(cut) <= 1
+    texts = [c * 1000 for c in "abcdefgh"]
+    classes = langid.letter_classes(texts)
+    made = langid.reference(texts, classes, 400)
+    assert 393 <= len(made) <= 400 and all(42 <= (made == classes[ord(c)]).sum() <= 50 for c in "abcdefgh")
+
+
+def test_many_letters_and_many_languages(spark):
+    """Thousands of letters stay apart; of hundreds of languages each can be predicted, long documents or not."""
+    r = random.Random(9)
+    words = {i: ["".join(chr(0x4E00 + 40 * i + 5 * w + k) for k in range(5)) for w in range(8)] for i in range(200)}
+    given = []
+    for i in range(200):
+        for k in range(4):
+            given.append((len(given), " ".join(r.choice(words[i]) for _ in range(5_000 if i < 3 else 12)), f"l{i}"))
+    docs = spark.createDataFrame(given, "doc_id bigint, text string, lang string")
+    found = {x["doc_id"]: x for x in langid.identify(docs).collect()}
+    learned = {t for i, _, t in given if not found[i]["held_out"]}
+    assert len(learned) > 180 and all(found[i]["lang_pred"] == t for i, _, t in given if t in learned)
+
+
 def test_phrases_equal_a_greedy_parse():
     """The vectorised automaton parse against substring search."""
     r = random.Random(7)
@@ -262,9 +314,9 @@ def test_phrases_equal_a_greedy_parse():
     sequence, starts = langid.encode(texts, model.classes)
     counts = model.phrases(sequence, starts)
     for number, lang in enumerate(model.names):
-        reference = bytes(langid.encode([samples[lang][0]], model.classes)[0])
+        reference = as_text(langid.encode([samples[lang][0]], model.classes)[0])
         for i in range(len(texts)):
-            own, expected = bytes(sequence[starts[i] : starts[i + 1]]), 0
+            own, expected = as_text(sequence[starts[i] : starts[i + 1]]), 0
             for at in range(0, len(own), langid.BLOCK):
                 block, place = own[at : at + langid.BLOCK], 0
                 while place < len(block):
