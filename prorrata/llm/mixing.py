@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from prorrata.sources.workarea import written
 
 RANGE_ROWS = 2000  # rows of a hash range, about
+RUN_ROWS = 4096  # rows alike that are spread out in one go
 _SECTIONS, _ROUNDS = 32, 8  # 32 ** 8 intervals
 _MOST = 16.0  # largest exponent that is tried
 _WORD = "[^\\x20\\x09-\\x0D]+"
@@ -137,6 +138,8 @@ def mixing_plan(
     )
     cut = written(ended.select(F.col("source").alias("_of"), F.col("_cut.range").alias("_cut_range"), F.col("_cut.before").alias("_before")), "mix-cuts")
     detail = keyed.join(cut, F.col("source").eqNullSafe(F.col("_of")) & (F.col("_range") == F.col("_cut_range")))
+    # Any number of rows may share a key; they reach the window as one.
+    detail = detail.groupBy("source", "_rest", "_before", "_key").agg(F.sum("_tokens").alias("_tokens"))
     running = F.col("_before") + F.sum("_tokens").over(
         W.partitionBy("source").orderBy("_key").rangeBetween(W.unboundedPreceding, W.currentRow)
     )
@@ -179,21 +182,31 @@ def mixed_order(docs: DataFrame, **target) -> DataFrame:
     Other columns are ignored. A null text is an empty document, a null doc_id a
     document, a null source a source. Rows of one id and source share their
     place's hash: the last block takes all of them or none, and they follow each
-    other in the order of their tokens. An empty table gives no rows.
+    other in the order of their tokens. They are counted before any window and
+    spread out again afterwards, RUN_ROWS at a time, so any number of rows may
+    share an id, or have none. An empty table gives no rows.
     """
     small = written(docs.select("doc_id", "source", word_tokens(F.col("text")).alias("tokens")), "mix-tokens")
     plan = written(mixing_plan(small, F.col("tokens"), **target), "mix-cut-plan")
-    chosen = mix(small, plan).join(
+    alike = small.groupBy("doc_id", "source", "tokens").agg(F.count(F.lit(1)).alias("_rows"))
+    chosen = mix(written(alike, "mix-alike"), plan).join(
         plan.select(F.col("source").alias("_of"), "_ranges"), F.col("source").eqNullSafe(F.col("_of"))
     )
     keyed = chosen.withColumn("_key", _key(F.col("block"), ["doc_id", "source"]))
     ranged = keyed.withColumn("_range", _range(F.col("_key"), F.col("_ranges"))).drop("_of", "_ranges")
-    counts = ranged.groupBy("source", "block", "_range").agg(F.count(F.lit(1)).alias("_rows"))
-    before = F.sum("_rows").over(W.partitionBy("source", "block").orderBy("_range")) - F.col("_rows")
+    counts = ranged.groupBy("source", "block", "_range").agg(F.sum("_rows").alias("_all"))
+    before = F.sum("_all").over(W.partitionBy("source", "block").orderBy("_range")) - F.col("_all")
     offsets = counts.select(F.col("source").alias("_s"), F.col("block").alias("_b"), F.col("_range").alias("_r"), before.alias("_before"))
-    inside = F.row_number().over(W.partitionBy("source", "block", "_range").orderBy("_key", "tokens", "doc_id")) - 1
-    return (
-        ranged.withColumn("_inside", inside)
+    inside = W.partitionBy("source", "block", "_range").orderBy("_key", "tokens", "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    first = (
+        ranged.withColumn("_inside", F.sum("_rows").over(inside) - F.col("_rows"))
         .join(offsets, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")) & (F.col("_range") == F.col("_r")))
-        .select("doc_id", "source", "tokens", "block", (F.col("_before") + F.col("_inside")).alias("position"))
+        .select("doc_id", "source", "tokens", "block", "_rows", (F.col("_before") + F.col("_inside")).alias("_first"))
     )
+    step = F.lit(RUN_ROWS).cast("long")
+    runs = first.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_rows") - 1, step)))
+    # Runs of one id part ways here, whatever they have in common.
+    apart = runs.repartition("source", "block", "_first", "_run")
+    last = F.least(F.col("_run") + step, F.col("_rows")) - 1
+    position = F.explode(F.sequence(F.col("_first") + F.col("_run"), F.col("_first") + last))
+    return apart.select("doc_id", "source", "tokens", "block", position.alias("position"))
