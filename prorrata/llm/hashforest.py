@@ -178,21 +178,24 @@ def enough(matches: np.ndarray, levels: list[np.ndarray], target: float) -> tupl
 def build(vectors: DataFrame, is_query: Column, trees: int = TREES, target: float = TARGET_RECALL, neighbours: int = NEIGHBOURS) -> Forest | None:
     """The forest over all usable rows of *vectors* (vec_id, embedding); None if there is no row or no query.
 
-    Vectors of another length than most (ties: the shorter) take no part.
+    Shorter vectors count as filled up with zeros to the longest one's length.
     """
     fine = vectors.select("vec_id", "embedding").filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    sizes = fine.groupBy(F.size("embedding").alias("n")).agg(F.count(F.lit(1)).alias("rows"), F.max(norm).alias("norm"))
-    most = sizes.orderBy(F.desc("rows"), "n").first()
-    if most is None:
+    most = fine.agg(F.max(F.size("embedding")).alias("n"), F.max(norm).alias("norm")).first()
+    dimension = most["n"]
+    if dimension is None:
         return None
-    coded = _coded(fine.filter(F.size("embedding") == most["n"]), is_query, most["n"], most["norm"], trees)
+    element = vectors.schema["embedding"].dataType.elementType
+    filled = F.concat("embedding", F.array_repeat(F.lit(0).cast(element), F.lit(dimension) - F.size("embedding")))
+    whole = F.when(F.size("embedding") == dimension, F.col("embedding")).otherwise(filled)
+    coded = _coded(fine.withColumn("embedding", whole), is_query, dimension, most["norm"], trees)
     # Bounded: SAMPLE queries.
     sample = coded.filter("is_query").orderBy(F.xxhash64("vec_id"), "_at").limit(SAMPLE).collect()
     if not sample:
         return None
-    number, floor = enough(*_sample_pass(coded, sample, most["n"], trees, neighbours), target)
-    return Forest(coded, most["n"], number, min(floor, MAX_FLOOR))
+    number, floor = enough(*_sample_pass(coded, sample, dimension, trees, neighbours), target)
+    return Forest(coded, dimension, number, min(floor, MAX_FLOOR))
 
 
 def _grouped(forest: Forest) -> tuple[DataFrame, DataFrame]:
@@ -345,7 +348,8 @@ def search(vectors: DataFrame, is_query: Column, neighbours: int = NEIGHBOURS, t
 
     Every query gets *neighbours* rows, or all other rows if there are fewer.
     Vectors that are null, zero, or hold null or non-finite numbers take no
-    part, nor do rows without an id. A repeated row is a candidate of its own;
+    part, nor do rows without an id. Vectors of different lengths are compared as
+    if the shorter ones went on with zeros. A repeated row is a candidate of its own;
     only the query's own row is left out. Other columns are ignored; an empty
     table gives no rows.
     """
