@@ -11,6 +11,7 @@ from prorrata.functions.dates import month_start
 from prorrata.functions.money import MONEY, MONTHLY_INTEREST, ZERO, from_cents, money, to_cents
 from prorrata.operators import balances
 from prorrata.schemas import BILL, SETTLEMENT, SETTLEMENT_KEY, UNIT_KEY
+from prorrata.sources.workarea import tasks_for
 
 # The steps travel with the job: workers need not have this package installed.
 cloudpickle.register_pickle_by_value(balances)
@@ -19,6 +20,9 @@ _ORDINARY, _EXTRAORDINARY = "Importe_Ordinario_Prorrateado", "Importe_Extraordin
 
 FIRST_DUE_DAYS, SECOND_DUE_DAYS = 10, 20
 
+# Units that one task spreads over their months; a larger building is dealt out in pieces of about so many units.
+UNITS_PER_TASK, UNITS_PER_PIECE = 2000, 250
+
 
 def monthly_totals(expenses: DataFrame, amount: str, first: dt.date, last: dt.date) -> DataFrame:
     """Sum per building and month over a date range that reaches the scan."""
@@ -88,13 +92,23 @@ def units_with_months(months: DataFrame, units: DataFrame, condominiums: DataFra
 
     *months* has the building, Periodo and any other columns. A building with very
     many units is as many small rows to the join, whatever the number of months.
+    The rows are dealt into partitions of about UNITS_PER_TASK units, since a
+    unit grows to a row per month afterwards and Spark would gather the small
+    rows into few tasks by their size. A building of more units is several parts,
+    and its months go to each.
     """
     fields = [c for c in months.columns if c != "Id_Consorcio"]
     prices = condominiums.select("Id_Consorcio", "Precio_Cochera", "Precio_Baulera")
     by_building = months.groupBy("Id_Consorcio").agg(F.collect_list(F.struct(*fields)).alias("meses"))
-    return units.select(*UNIT_KEY, "Coeficiente", "Cochera", "Baulera").join(
-        by_building.join(prices, "Id_Consorcio"), "Id_Consorcio"
-    )
+    wanted = units.select(*UNIT_KEY, "Coeficiente", "Cochera", "Baulera")
+    sizes = wanted.groupBy("Id_Consorcio").agg(F.count(F.lit(1)).alias("_unidades"))
+    pieces = sizes.select("Id_Consorcio", F.ceil(F.col("_unidades") / UNITS_PER_PIECE).cast("int").alias("_partes"))
+    piece = F.pmod(F.xxhash64("NroUF"), F.col("_partes")).cast("int").alias("_parte")
+    parts = by_building.join(prices, "Id_Consorcio").join(pieces, "Id_Consorcio")
+    parts = parts.withColumn("_parte", F.explode(F.sequence(F.lit(0), F.col("_partes") - 1)))
+    key, tasks = ["Id_Consorcio", "_parte"], tasks_for(units.count(), UNITS_PER_TASK)
+    dealt = wanted.join(pieces, "Id_Consorcio").select(*wanted.columns, piece).repartition(tasks, *key)
+    return dealt.join(parts.repartition(tasks, *key), key).drop("_parte", "_partes")
 
 
 def shares_of(month: Column) -> tuple[Column, Column]:

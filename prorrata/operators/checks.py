@@ -94,7 +94,8 @@ def check_tables(tables: dict[str, DataFrame], only: tuple[str, ...] | None = No
         plan.add(TABLES[name], tables[name], tables)
     spark = next(iter(tables.values())).sparkSession
     rules = spark.createDataFrame(plan.rules, "tabla string, regla string, columnas string, dominio int, fuente int, fijo long")
-    given = [tables[name].select(F.inline(F.array_compact(F.array(*made)))) for name, made in plan.tuples.items()]
+    # A filter after the generator compiles; `array_compact` would be interpreted row by row.
+    given = [tables[name].select(F.inline(F.array(*made))).filter(F.col("dominio").isNotNull()) for name, made in plan.tuples.items()]
     if not given:
         return rules.select("tabla", "regla", "columnas", F.col("fijo").alias("filas"))
     most = max([0, *plan.sources.values()])

@@ -42,6 +42,11 @@ def close_work_area(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def tasks_for(rows: int, rows_per_task: int) -> int:
+    """Partitions for so many rows. A number given to `repartition` holds: Spark neither merges such partitions nor exceeds it."""
+    return max(1, -(-rows // rows_per_task))
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """Place of a new table, or of a folder of tables, in the work area."""
     return f"{work_area(spark)}/{name}-{uuid.uuid4().hex}"

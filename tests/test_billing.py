@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from prorrata import schemas as S
 from prorrata.operators.billing import (
-    prorate_bills, recalculate_balances, replace_bills, settlement_header, settlement_headers,
+    UNITS_PER_TASK, prorate_bills, recalculate_balances, replace_bills, settlement_header, settlement_headers, unit_shares,
 )
 from prorrata.operators.cycle import Books, close_months
 from prorrata.operators.workdays import business_days
@@ -152,3 +152,19 @@ def test_business_days(spark):
     dates = spark.createDataFrame([(d,) for d in days], "Fecha date")
     holidays = spark.createDataFrame([("2025-06-16",)], "fecha string")
     assert rows(business_days(dates, holidays)) == list(zip(days, [False, False, False, True]))
+
+
+def test_units_of_one_building_are_spread_before_they_grow_to_months(spark):
+    """Small rows of many units would else be gathered into one task by their size."""
+    condominiums = spark.createDataFrame([(1, 1, "UNO", "X", 2, None, D(1000), D(500))], S.CONDOMINIUM.schema)
+    count, months = 3 * UNITS_PER_TASK, 12
+    units = spark.range(count).select(
+        F.lit(1).alias("Id_Consorcio"), F.col("id").cast("string").alias("NroUF"), F.lit(D(1)).alias("Coeficiente"),
+        F.lit(True).alias("Cochera"), F.lit(False).alias("Baulera"),
+    )
+    headers = spark.createDataFrame(
+        [(1, dt.date(2025, m + 1, 1), *3 * [TODAY], D(100), D(50)) for m in range(months)], S.SETTLEMENT.schema
+    )
+    sizes = [r[1] for r in unit_shares(headers, units, condominiums).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == count * months
+    assert len(sizes) > 1 and max(sizes) < 2 * UNITS_PER_TASK * months
