@@ -14,7 +14,8 @@ from prorrata.functions.dates import from_month_index, month_index
 from prorrata.functions.money import from_cents, to_cents
 from prorrata.operators import ledger as L
 from prorrata.schemas import BILL, BILL_KEY, PAYMENT_DETAIL, SETTLEMENT_KEY, UNIT_KEY
-from prorrata.sources.workarea import new_folder, written
+from prorrata.sources.buckets import bucket_count
+from prorrata.sources.workarea import new_folder, tasks_for, written
 
 # The ledger travels with the job: workers need not have this package installed.
 cloudpickle.register_pickle_by_value(L)
@@ -22,6 +23,9 @@ cloudpickle.register_pickle_by_value(L)
 # Payments of a block that the ledger takes as rows; of a larger block it takes the sum first.
 BLOCK_ROWS = 1000
 
+# Units, or rows of payments, that one task of a run takes: its memory does not grow with the input.
+UNITS_PER_TASK, PAYMENTS_PER_TASK = 2000, 200_000
+
 _RUN_SCHEMA = (
     "Id_Consorcio int, NroUF string, kind int, month int, id bigint, sequence int, income int, block bigint, "
     + ", ".join(f"{c} bigint" for c in L.AMOUNTS)
@@ -90,6 +94,18 @@ def _rows(df: DataFrame, kind: int, **values: Column) -> DataFrame:
     return df.select(*UNIT_KEY, F.lit(kind).alias("kind"), *columns, steps)
 
 
+def of_units(rows: DataFrame, units: DataFrame, how: str, tasks: int) -> DataFrame:
+    """*rows* (bills or books) of the *units* ("left_semi") or of the others ("left_anti").
+
+    Of more units than one task takes, *tasks* sets the partitions unless rows lie in buckets; a task holds the keys of
+    its units and sorts no rows.
+    """
+    keys = units.select(*UNIT_KEY)
+    if tasks > 1:
+        keys = keys.repartition(max(tasks, bucket_count(rows.sparkSession)), *UNIT_KEY).hint("shuffle_hash")
+    return rows.join(keys, UNIT_KEY, how)
+
+
 def books_of(bills: DataFrame) -> DataFrame:
     """UNIT_KEY, libro: all bills of a unit in one array, a month and its amounts in cents after the other."""
     numbers = [month_index(F.col("Periodo")), *[to_cents(F.col(name)) for name in _BILL_AMOUNTS]]
@@ -140,7 +156,8 @@ def payment_blocks(resolved: DataFrame, block_rows: int) -> DataFrame:
         to_cents(F.col("Importe")).cast("bigint").alias("c1"),
     )
     order = [*UNIT_KEY, "day", "id"]
-    ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id())
+    rows = written(rows, "resolved")  # counted, sampled for the ranges, and dealt out
+    ranges = rows.repartitionByRange(tasks_for(rows.count(), PAYMENTS_PER_TASK), *order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id())
     return written(ranges.mapInArrow(lambda batches: L.cut_blocks(batches, block_rows), _BLOCK_SCHEMA), "blocks", ("read",))
 
 
@@ -169,18 +186,24 @@ class Run:
     """What a run changes; books are (UNIT_KEY, libro)."""
 
     touched: DataFrame  # units with payments
+    tasks: int  # for the touched units
     books: DataFrame  # of the touched units, whole
     issued: DataFrame  # new bills of the other units
     details: DataFrame
 
 
 def run_books(
-    held: Callable[[DataFrame], DataFrame], steps: DataFrame | None, resolved: DataFrame, block_rows: int = BLOCK_ROWS
+    held: Callable[[DataFrame, int], DataFrame],
+    steps: DataFrame | None,
+    resolved: DataFrame,
+    block_rows: int = BLOCK_ROWS,
+    stepped: int = 0,
 ) -> Run:
-    """Work through *steps* the units that have them or payments.
+    """Work through *steps* the units that have them (*stepped* of them) or payments.
 
     *held* gives, for the touched units (those with payments), the books that
     the run needs: theirs, and of other units only what their next bills carry on.
+    It is given a number of tasks for the touched units.
 
     Payments are cut into ordered blocks. Most blocks that are known only by
     their sum go whole to one bill. A block in which some payment closes a bill
@@ -192,22 +215,28 @@ def run_books(
     blocks = payment_blocks(resolved, block_rows)
     spark = blocks.sparkSession
     touched = written(blocks.select(*UNIT_KEY).distinct(), "touched")
+    paid = tasks_for(touched.count(), UNITS_PER_TASK)
+    at_once = blocks.filter(F.col("read") != L.LATER).count()
+    tasks = max(paid, tasks_for(stepped, UNITS_PER_TASK), tasks_for(at_once, PAYMENTS_PER_TASK))
     later = blocks.filter(F.col("read") == L.LATER)
     amounts = {c: F.col(c) for c in ("month", "day", "id", "block", "c1")}
     known = {L.PAYMENT: L.NOW, L.BLOCK: L.SUM}
     static = _union([_rows(blocks.filter(F.col("read") == read), kind, **amounts) for kind, read in known.items()])
     if steps is not None:
         static = static.unionByName(step_rows(steps))
-    rows, number = static.unionByName(_rows(held(touched), L.BOOK, steps=F.col("libro"))), 0
+    rows, number = static.unionByName(_rows(held(touched, paid), L.BOOK, steps=F.col("libro"))), 0
     block = [*UNIT_KEY, "month", "block"]
     folder = new_folder(spark, "ledger")
     while True:
         path = f"{folder}/round={number}"
-        _run(rows).write.mode("errorifexists").partitionBy("kind").parquet(path)
+        _run(rows.repartition(tasks, *UNIT_KEY)).write.mode("errorifexists").partitionBy("kind").parquet(path)
         result = spark.read.schema(_RUN_SCHEMA).parquet(path)
         pending = _of_kind(result, L.PENDING)
-        if pending.isEmpty():
+        unfinished = pending.count()
+        if not unfinished:
             break
+        # A unit that goes on reads at most so many rows of the blocks it asked for, and one reading is bounded by them.
+        tasks = tasks_for(unfinished, UNITS_PER_TASK)
         waiting = pending.select(*UNIT_KEY)
         if number == 0:
             static = written(static.join(waiting, UNIT_KEY, "left_semi"), "unfinished")
@@ -234,7 +263,7 @@ def run_books(
         return _of_kind(rounds, kind).select(*UNIT_KEY, F.col("book").alias("libro"))
 
     details = _details(_of_kind(rounds, L.DETAIL)).unionByName(_details(whole))
-    return Run(touched, books(L.BOOK), books(L.ISSUED), details)
+    return Run(touched, paid, books(L.BOOK), books(L.ISSUED), details)
 
 
 def run_ledgers(
@@ -243,25 +272,26 @@ def run_ledgers(
     resolved: DataFrame,
     block_rows: int = BLOCK_ROWS,
     carried_months: DataFrame | None = None,
+    stepped: int = 0,
 ) -> tuple[DataFrame, DataFrame]:
     """All units' bills and payment details after working through *steps*.
 
     Bills of units without payments stay as they are and never reach the ledger,
     except those of *carried_months* (building, Periodo), which the bills that the
-    steps issue carry on; without it, all of them may.
+    steps issue carry on; without it, all of them may. *stepped* is the number of units with steps.
     """
 
-    def held(touched: DataFrame) -> DataFrame:
-        own = bills.join(touched, UNIT_KEY, "left_semi")
+    def held(touched: DataFrame, tasks: int) -> DataFrame:
+        own = of_units(bills, touched, "left_semi", tasks)
         if steps is None:
             return books_of(own)
         if carried_months is None:
             return books_of(bills)
-        carried = bills.join(carried_months, SETTLEMENT_KEY, "left_semi").join(touched, UNIT_KEY, "left_anti")
+        carried = of_units(bills.join(carried_months, SETTLEMENT_KEY, "left_semi"), touched, "left_anti", tasks)
         return books_of(own.unionByName(carried))
 
-    run = run_books(held, steps, resolved, block_rows)
-    untouched = bills.select(BILL.columns).join(run.touched, UNIT_KEY, "left_anti")
+    run = run_books(held, steps, resolved, block_rows, stepped)
+    untouched = of_units(bills.select(BILL.columns), run.touched, "left_anti", run.tasks)
     return _union([untouched, bills_of(run.books.unionByName(run.issued))]), run.details
 
 

@@ -11,11 +11,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from prorrata.operators.allocation import BLOCK_ROWS, bills_of, books_of, run_books
+from prorrata.operators.allocation import BLOCK_ROWS, UNITS_PER_TASK, bills_of, books_of, of_units, run_books
 from prorrata.schemas import UNIT_KEY
-from prorrata.sources.workarea import written
+from prorrata.sources.workarea import tasks_for, written
 
 SHELVES = 64  # folders of a new store; the more there are, the less an unpaid unit is rewritten
+BILLS_PER_TASK = 150_000  # of which one task makes books
 _SHELF = "Estante"
 _BOOK_SCHEMA = f"Id_Consorcio int, NroUF string, libro array<bigint>, {_SHELF} int"
 
@@ -33,10 +34,17 @@ def _shelf(shelves: int) -> Column:
     return F.pmod(F.xxhash64(*UNIT_KEY), F.lit(shelves)).cast("int").alias(_SHELF)
 
 
+def _by_shelf(books: DataFrame, tasks: int, shelves: int) -> DataFrame:
+    """Books in order by shelf; a shelf of more books than a task takes is several files."""
+    piece = F.pmod(F.xxhash64("NroUF", "Id_Consorcio"), F.lit(max(1, -(-tasks // shelves))))
+    return books.repartition(max(tasks, shelves), _SHELF, piece).sortWithinPartitions(_SHELF, *UNIT_KEY)
+
+
 def store_books(bills: DataFrame, path: str, shelves: int = SHELVES) -> None:
     """Write the books of *bills* to a new path."""
-    books = books_of(bills).withColumn(_SHELF, _shelf(shelves))
-    books.repartition(_SHELF).sortWithinPartitions(*UNIT_KEY).write.mode("errorifexists").partitionBy(_SHELF).parquet(path)
+    tasks = tasks_for(bills.count(), BILLS_PER_TASK)
+    books = books_of(bills.repartition(tasks, *UNIT_KEY)).withColumn(_SHELF, _shelf(shelves))
+    _by_shelf(books, tasks, shelves).write.mode("errorifexists").partitionBy(_SHELF).parquet(path)
 
 
 def read_books(spark: SparkSession, path: str) -> DataFrame:
@@ -62,9 +70,9 @@ def post_payments(
     book are left out.
     """
 
-    def held(touched: DataFrame) -> DataFrame:
+    def held(touched: DataFrame, tasks: int) -> DataFrame:
         near, _ = _on_shelves(read_books(spark, path), touched, shelves)
-        return near.drop(_SHELF).join(touched, UNIT_KEY, "left_semi")
+        return of_units(near.drop(_SHELF), touched, "left_semi", tasks)
 
     run = run_books(held, None, resolved, block_rows)
     return Posting(run.touched, run.books, run.details)
@@ -77,9 +85,9 @@ def publish(spark: SparkSession, path: str, posting: Posting, shelves: int = SHE
     posting must be published before the next one is made.
     """
     near, numbers = _on_shelves(read_books(spark, path), posting.books, shelves)
-    kept = near.join(posting.books.select(*UNIT_KEY), UNIT_KEY, "left_anti")
+    kept = of_units(near, posting.books, "left_anti", tasks_for(posting.books.count(), UNITS_PER_TASK))
     fresh = written(kept.unionByName(posting.books.withColumn(_SHELF, _shelf(shelves))), "shelves")
     if numbers:
-        rows = fresh.repartition(_SHELF).sortWithinPartitions(*UNIT_KEY)
+        rows = _by_shelf(fresh, tasks_for(fresh.count(), UNITS_PER_TASK), shelves)
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(_SHELF).parquet(path)
     return numbers

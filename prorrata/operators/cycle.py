@@ -78,7 +78,7 @@ def close_months(
         .drop("Ultimo")
     )
     carried = issued.select("Id_Consorcio", F.add_months("Periodo", -1).alias("Periodo"))
-    bills, details = run_ledgers(books.bills, plan, resolved, block_rows, carried)
+    bills, details = run_ledgers(books.bills, plan, resolved, block_rows, carried, units.count())
     return Books(
         headers=books.headers.unionByName(issued.select(books.headers.columns)),
         bills=bills,

@@ -24,10 +24,10 @@ from prorrata.plans.adapter import EMISSION, Domain, account_of
 from prorrata.schemas import BILL, PAYMENT_DETAIL, SETTLEMENT
 from prorrata.seeds import seed_table
 from prorrata.sources import files
-from prorrata.sources.buckets import store_buckets
+from prorrata.sources.buckets import bucket_count, store_buckets
 from prorrata.sources.files import top_months_xml, write_xml, xml_row
 from prorrata.sources.tables import read_table, replace_settlements, upsert_months, write_table
-from prorrata.sources.workarea import new_folder, written
+from prorrata.sources.workarea import new_folder, tasks_for, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -356,8 +356,9 @@ def o20_payment_intervals(d: Domain) -> DataFrame:
 
 
 def _in_buckets(d: Domain, rows: DataFrame, kind: str, keys: list[str] = S.UNIT_KEY) -> DataFrame:
-    """*rows* stored by unit or bill; the following queries read their facts from such tables."""
-    return store_buckets(rows, f"prorrata_{kind}_{uuid.uuid4().hex}", new_folder(d.spark, f"buckets-{kind}"), keys=keys)
+    """*rows* stored by unit or bill; the following queries read their facts from such tables. Buckets grow in number with the units."""
+    buckets = max(bucket_count(d.spark), tasks_for(d.units.count(), A.UNITS_PER_TASK))
+    return store_buckets(rows, f"prorrata_{kind}_{uuid.uuid4().hex}", new_folder(d.spark, f"buckets-{kind}"), buckets, keys)
 
 
 def _collected(d: Domain) -> tuple[DataFrame, None, DataFrame]:

@@ -135,3 +135,27 @@ def test_rounds_of_a_unit_with_many_blocks(spark, monkeypatch, asked):
     found = A.run_ledgers(bills, None, resolved, block_rows=3)
     assert rows(found[0]) == rows(wanted[0]) and rows(found[1]) == rows(wanted[1])
     assert len(rounds) <= (4 if asked == 16 else 26)
+
+
+def test_a_task_takes_a_bounded_number_of_units(spark, monkeypatch):
+    """However few partitions the session's shuffles have, and however small Spark finds the rows."""
+    monkeypatch.setattr(A, "UNITS_PER_TASK", 20, raising=False)
+    units = spark.range(400).select(F.lit(1).alias("Id_Consorcio"), F.col("id").cast("string").alias("NroUF"))
+    amounts = [F.lit(Decimal(v)).cast("decimal(18,2)").alias(c) for c, v in zip(BILL.columns[3:], (0, 0, 0, 0, 50, 0, 50))]
+    bills = units.select("*", F.lit(dt.date(2025, 4, 1)).alias("Periodo"), *amounts).select(BILL.columns)
+    paid = units.select(
+        F.col("NroUF").cast("bigint").alias("Id_Pago"), F.lit(dt.date(2025, 4, 2)).alias("Fecha"),
+        F.lit(Decimal(10)).cast("decimal(18,2)").alias("Importe"), "Id_Consorcio", "NroUF",
+    )
+    most, run = [], A._run
+
+    def watched(given):
+        done = run(given)
+        sizes = done.select("Id_Consorcio", "NroUF", F.spark_partition_id().alias("task")).distinct().groupBy("task").count()
+        most.append(max(r[1] for r in sizes.collect()))
+        return done
+
+    monkeypatch.setattr(A, "_run", watched)
+    done, details = A.run_ledgers(bills, None, paid)
+    assert details.count() == 400 and done.agg(F.sum("Pagos_Recibidos_Mes")).first()[0] == Decimal(4000)
+    assert most and max(most) <= 60
