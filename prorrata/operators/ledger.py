@@ -60,6 +60,7 @@ class Ledger:
         self._search_from = 0
         self._dirty: int | None = None
         self._untouched = True  # no payment yet in the current step
+        self._in_line = 1  # so many first bills would stay as they are if recalculated
 
     def columns(self) -> list[list]:
         return [self.carried, self.paid, self.debt, self.interest, self.ordinary, self.extraordinary, self.total]
@@ -89,22 +90,40 @@ class Ledger:
         months.insert(at, month)
         for column, amount in zip(self.columns(), amounts):
             column.insert(at, amount)
+        self._in_line = max(1, min(self._in_line, at))
         ordinary, extraordinary = amounts[4], amounts[5]
         self.own.insert(at, None if ordinary is None or extraordinary is None else ordinary + extraordinary)
 
     def issue(self, month: int, ordinary: int | None, extraordinary: int | None) -> None:
         """Bill of *month* from unrounded shares plus the balance of the month before."""
-        rest = 0
-        before = bisect_left(self.months, month - 1)
-        if before < len(self.months) and self.months[before] == month - 1:
+        months = self.months
+        rest, last = 0, months[-1] if months else month - 1
+        before = len(months) - 1 if last == month - 1 else bisect_left(months, month - 1)
+        if 0 <= before < len(months) and months[before] == month - 1:
             total, paid = self.total[before], self.paid[before]
             rest = 0 if total is None or paid is None else total - paid
+        self.issued.add(month)
         total = None
         if ordinary is not None and extraordinary is not None:
             total = rounded(rest * 10_500 + ordinary + extraordinary, 10_000)
-        share = [None if s is None else rounded(s, 10_000) for s in (ordinary, extraordinary)]
-        self.insert(month, [rest, 0, rest, rounded(rest * 5, 100), *share, total])
-        self.issued.add(month)
+        if ordinary is not None:
+            ordinary = rounded(ordinary, 10_000)
+        if extraordinary is not None:
+            extraordinary = rounded(extraordinary, 10_000)
+        interest = rounded(rest * 5, 100)
+        if months and last >= month:
+            self.insert(month, [rest, 0, rest, interest, ordinary, extraordinary, total])
+            return
+        # Almost always the latest month.
+        months.append(month)
+        self.carried.append(rest)
+        self.paid.append(0)
+        self.debt.append(rest)
+        self.interest.append(interest)
+        self.ordinary.append(ordinary)
+        self.extraordinary.append(extraordinary)
+        self.total.append(total)
+        self.own.append(None if ordinary is None or extraordinary is None else ordinary + extraordinary)
 
     def begin_step(self) -> None:
         self.settle()
@@ -146,6 +165,8 @@ class Ledger:
             self.carried, self.paid, self.debt, self.interest, self.own, self.total
         )
         carry = self._carry_out(changed)
+        if everything and changed < self._in_line:
+            self._in_line = len(carried)
         for i in range(changed + 1, len(carried)):
             if not everything and carried[i] == carry:
                 return
@@ -160,8 +181,13 @@ class Ledger:
                 total[i] = carry = None
                 continue
             exact = 100 * (carry + own[i]) + late
-            total[i] = rounded(exact, 100)
-            carry = None if paid[i] is None else rounded(exact - 100 * paid[i], 100)
+            total[i] = now = (exact + 50) // 100 if exact >= 0 else -((50 - exact) // 100)
+            given = paid[i]
+            if given is None:
+                carry = None
+            else:
+                # Whole cents were paid, so the balance differs from the rounded total only where its sign turns the tie.
+                carry = now - given if (exact >= 0) == (exact >= 100 * given) else rounded(exact - 100 * given, 100)
 
     def settle(self) -> None:
         if self._dirty is not None:
@@ -190,10 +216,12 @@ class Ledger:
             applied.append((bill, kind, use))
             cents -= use
         if self._untouched:
-            # The first payment of a step also brings freshly issued bills in line.
+            # The first payment of a step also brings freshly issued bills in line. Those before the
+            # first one that was paid, as far as they are in line, would be made anew as they are.
+            start = self._in_line - 1 if self._dirty is None else min(self._dirty, self._in_line - 1)
             self._untouched, self._dirty, self._search_from = False, None, 0
             if self.months:
-                self.recalculate(0, everything=True)
+                self.recalculate(start, everything=True)
         return applied
 
     def pay_in_order(self, ids: list[int], cents: list[int], out: Output) -> None:
