@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from decimal import Decimal
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -87,50 +88,66 @@ def settlement_header(
     )
 
 
-def units_with_months(months: DataFrame, units: DataFrame, condominiums: DataFrame) -> DataFrame:
-    """Every unit with its building's months as one array `meses`, and what its shares depend on.
+def units_with_months(
+    months: DataFrame, units: DataFrame, condominiums: DataFrame, of_units: DataFrame | None = None
+) -> DataFrame:
+    """Every unit with its building's months in order as one array `meses`, and what its shares depend on.
 
-    *months* has the building, Periodo and any other columns. A building with very
+    *months* has the building, Periodo and any other columns; *of_units* is at most a
+    row per unit, whose columns go with the unit. `Tasa` is the unit's part of a
+    total, `Fijo` what it owes each month besides. A building with very
     many units is as many small rows to the join, whatever the number of months.
     The rows are dealt into partitions of about UNITS_PER_TASK units, since a
     unit grows to a row per month afterwards and Spark would gather the small
     rows into few tasks by their size. A building of more units is several parts,
     and its months go to each.
     """
-    fields = [c for c in months.columns if c != "Id_Consorcio"]
+    fields = ["Periodo", *[c for c in months.columns if c not in SETTLEMENT_KEY]]
     prices = condominiums.select("Id_Consorcio", "Precio_Cochera", "Precio_Baulera")
-    by_building = months.groupBy("Id_Consorcio").agg(F.collect_list(F.struct(*fields)).alias("meses"))
+    by_building = months.groupBy("Id_Consorcio").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("meses"))
     wanted = units.select(*UNIT_KEY, "Coeficiente", "Cochera", "Baulera")
-    sizes = wanted.groupBy("Id_Consorcio").agg(F.count(F.lit(1)).alias("_unidades"))
+    if of_units is not None:
+        wanted = wanted.join(of_units, UNIT_KEY, "left")
+    sizes = units.groupBy("Id_Consorcio").agg(F.count(F.lit(1)).alias("_unidades"))
     pieces = sizes.select("Id_Consorcio", F.ceil(F.col("_unidades") / UNITS_PER_PIECE).cast("int").alias("_partes"))
     piece = F.pmod(F.xxhash64("NroUF"), F.col("_partes")).cast("int").alias("_parte")
     parts = by_building.join(prices, "Id_Consorcio").join(pieces, "Id_Consorcio")
     parts = parts.withColumn("_parte", F.explode(F.sequence(F.lit(0), F.col("_partes") - 1)))
     key, tasks = ["Id_Consorcio", "_parte"], tasks_for(units.count(), UNITS_PER_TASK)
     dealt = wanted.join(pieces, "Id_Consorcio").select(*wanted.columns, piece).repartition(tasks, *key)
-    return dealt.join(parts.repartition(tasks, *key), key).drop("_parte", "_partes")
+    met = dealt.join(parts.repartition(tasks, *key), key)
 
+    def extra(feature: str, price: str) -> Column:
+        return F.when(F.col(feature), F.col(price)).otherwise(F.lit(ZERO))
 
-def shares_of(month: Column) -> tuple[Column, Column]:
-    """Unrounded ordinary and extraordinary share of a unit (`units_with_months`) in a settlement."""
+    # Worked out before a unit grows to a row per month; a product instead of a division by 100 is as exact.
+    rate = F.col("Coeficiente") * F.lit(Decimal("0.01"))
+    fixed = extra("Cochera", "Precio_Cochera") + extra("Baulera", "Precio_Baulera")
+    others = [] if of_units is None else [c for c in of_units.columns if c not in UNIT_KEY]
+    return met.select(*UNIT_KEY, "meses", rate.alias("Tasa"), fixed.alias("Fijo"), *others)
 
-    def by_coefficient(total: str) -> Column:
-        return month[total] * F.col("Coeficiente") / F.lit(100)
 
-    def extra(feature: str, price: str) -> Column:
-        return F.when(F.col(feature), F.col(price)).otherwise(F.lit(ZERO))
+def shares_of(month: Column) -> tuple[Column, Column]:
+    """Unrounded ordinary and extraordinary share of a unit (`units_with_months`) in a settlement."""
 
-    ordinary = by_coefficient("Total_Gasto_Ordinarios") + extra("Cochera", "Precio_Cochera") + extra("Baulera", "Precio_Baulera")
-    return ordinary.cast("decimal(24,6)"), by_coefficient("Total_Gasto_Extraordinarios").cast("decimal(24,6)")
+    ordinary = month["Total_Gasto_Ordinarios"] * F.col("Tasa") + F.col("Fijo")
+    return ordinary.cast("decimal(24,6)"), (month["Total_Gasto_Extraordinarios"] * F.col("Tasa")).cast("decimal(24,6)")
 
 
-def unit_shares(headers: DataFrame, units: DataFrame, condominiums: DataFrame) -> DataFrame:
-    """Unrounded share of every unit in its building's settlements."""
+def unit_shares(
+    headers: DataFrame, units: DataFrame, condominiums: DataFrame, of_units: DataFrame | None = None
+) -> DataFrame:
+    """Unrounded share of every unit in its building's settlements, with the unit's columns of *of_units*, if given."""
     months = headers.select(*SETTLEMENT_KEY, "Total_Gasto_Ordinarios", "Total_Gasto_Extraordinarios")
-    spread = units_with_months(months, units, condominiums).withColumn("mes", F.explode("meses"))
+    spread = units_with_months(months, units, condominiums, of_units).withColumn("mes", F.explode("meses"))
+    others = [] if of_units is None else [c for c in of_units.columns if c not in UNIT_KEY]
     ordinary, extraordinary = shares_of(F.col("mes"))
     return spread.select(
-        *UNIT_KEY, F.col("mes.Periodo").alias("Periodo"), ordinary.alias("Ordinario"), extraordinary.alias("Extraordinario")
+        *UNIT_KEY,
+        F.col("mes.Periodo").alias("Periodo"),
+        ordinary.alias("Ordinario"),
+        extraordinary.alias("Extraordinario"),
+        *others,
     )
 
 
@@ -146,30 +163,33 @@ def prorate_bills(
     return bills_of_shares(unit_shares(headers, units, condominiums), previous)
 
 
-def bills_of_shares(shares: DataFrame, previous: DataFrame) -> DataFrame:
-    """The bills of `prorate_bills` from the units' unrounded *shares*."""
-    carried = previous.select(
-        *UNIT_KEY,
-        F.add_months("Periodo", 1).alias("Periodo"),
-        (F.col("Total_A_Pagar") - F.col("Pagos_Recibidos_Mes")).alias("Resto"),
-    )
-    rest = F.coalesce(F.col("Resto"), F.lit(ZERO)).cast(MONEY)
-    interest = rest * F.lit(MONTHLY_INTEREST)
-    return (
-        shares.join(carried, [*UNIT_KEY, "Periodo"], "left")
-        .select(
+def bills_of_shares(shares: DataFrame, previous: DataFrame | None, paid: Column | None = None) -> DataFrame:
+    """The bills of `prorate_bills` from the units' unrounded *shares*.
+
+    Without *previous* nothing is carried over, and nothing shuffled; *paid* is
+    what a bill has received, by default nothing.
+    """
+    rest = F.lit(ZERO).cast(MONEY)
+    if previous is not None:
+        carried = previous.select(
             *UNIT_KEY,
-            "Periodo",
-            rest.alias("Saldo_Anterior"),
-            money(F.lit(ZERO)).alias("Pagos_Recibidos_Mes"),
-            rest.alias("Deuda"),
-            money(interest).alias("Interes_Por_Mora"),
-            money(F.col("Ordinario")).alias("Importe_Ordinario_Prorrateado"),
-            money(F.col("Extraordinario")).alias("Importe_Extraordinario_Prorrateado"),
-            money(rest + interest + F.col("Ordinario") + F.col("Extraordinario")).alias("Total_A_Pagar"),
+            F.add_months("Periodo", 1).alias("Periodo"),
+            (F.col("Total_A_Pagar") - F.col("Pagos_Recibidos_Mes")).alias("Resto"),
         )
-        .select(BILL.columns)
-    )
+        shares = shares.join(carried, [*UNIT_KEY, "Periodo"], "left")
+        rest = F.coalesce(F.col("Resto"), F.lit(ZERO)).cast(MONEY)
+    interest = rest * F.lit(MONTHLY_INTEREST)
+    return shares.select(
+        *UNIT_KEY,
+        "Periodo",
+        rest.alias("Saldo_Anterior"),
+        money(F.lit(ZERO) if paid is None else paid).alias("Pagos_Recibidos_Mes"),
+        rest.alias("Deuda"),
+        money(interest).alias("Interes_Por_Mora"),
+        money(F.col("Ordinario")).alias("Importe_Ordinario_Prorrateado"),
+        money(F.col("Extraordinario")).alias("Importe_Extraordinario_Prorrateado"),
+        money(rest + interest + F.col("Ordinario") + F.col("Extraordinario")).alias("Total_A_Pagar"),
+    ).select(BILL.columns)
 
 
 def replace_bills(bills: DataFrame, generated: DataFrame) -> DataFrame:

@@ -13,9 +13,9 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from prorrata.functions.dates import month_start
-from prorrata.functions.money import PERCENT, money
+from prorrata.functions.money import PERCENT, ZERO, money
 from prorrata.operators.billing import bills_of_shares, settlement_headers, unit_shares
-from prorrata.schemas import BILL, BILL_KEY, UNIT_KEY
+from prorrata.schemas import BILL_KEY, UNIT_KEY
 from prorrata.seeds import BANK_TRANSFER, ON_TIME, OWNER, TENANT
 
 # When the derived settlements are issued, and when people moved in.
@@ -202,16 +202,18 @@ class Domain:
     @cached_property
     def unpaid_bills(self) -> DataFrame:
         """One bill per unit and month: the month's share alone, nothing carried, nothing paid."""
-        nothing_before = self.spark.createDataFrame([], BILL.schema)
-        return bills_of_shares(self.shares, nothing_before)
+        return bills_of_shares(self.shares, None)
 
     @cached_property
     def bills(self) -> DataFrame:
-        """The same bills with the applied money of `details` as their payments."""
-        paid = self.details.groupBy(*BILL_KEY).agg(F.sum("Importe_Usado").alias("Pagado"))
-        amount = money(F.coalesce(F.col("Pagado"), F.col("Pagos_Recibidos_Mes")))
-        return (
-            self.unpaid_bills.join(paid, BILL_KEY, "left")
-            .withColumn("Pagos_Recibidos_Mes", amount)
-            .select(BILL.columns)
-        )
+        """The same bills with the applied money of `details` as their payments.
+
+        The sums by bill go with the unit, as one value, before it grows to a row
+        per month; so bills need no shuffle.
+        """
+        paid = self.details.groupBy(*BILL_KEY).agg(money(F.sum("Importe_Usado")).alias("Pagado"))
+        by_month = F.map_from_entries(F.collect_list(F.struct("Periodo", "Pagado"))).alias("Pagos")
+        of_units = paid.filter(F.col("Periodo").isNotNull()).groupBy(*UNIT_KEY).agg(by_month)
+        shares = unit_shares(self.headers, self.units, self.condominiums, of_units)
+        received = F.coalesce(F.try_element_at("Pagos", F.col("Periodo")), F.lit(ZERO))
+        return bills_of_shares(shares, None, received)

@@ -132,3 +132,24 @@ def test_empty_tables(spark, facts):
     none = _stored(spark, R.collections(d.payments.limit(0), d.details), "none", BILL_KEY)
     assert R.weekly_collection(none, None, facts["bills_by_bill"], *d.span).count() == 0
     assert R.payment_intervals(none, None, facts["bills_by_bill"], *d.span).count() == 0
+
+
+def test_bills_are_not_shuffled_after_they_grow_to_months(spark, no_broadcast):
+    """What was paid goes with the unit, so no exchange lies above the step that makes a row per month."""
+    d = Domain(spark, FOLDER)
+    for bills in (d.bills, d.unpaid_bills):
+        plan = bills._jdf.queryExecution().executedPlan().toString()
+        above, generated, _ = plan.partition("Generate explode(meses")
+        assert generated and "Exchange" not in above
+
+
+def test_payments_without_day_or_bill_leave_the_bills(spark):
+    d, odd = Domain(spark, FOLDER), Domain(spark, FOLDER)
+    day = F.col("Fecha")
+    odd.payments = d.payments.unionByName(d.payments.withColumn("Fecha", F.lit(None).cast("date"))).unionByName(
+        d.payments.withColumn("Fecha", F.add_months(day, 1200))
+    )
+    assert rows(odd.bills) == rows(d.bills)
+    none = Domain(spark, FOLDER)
+    none.payments = d.payments.limit(0)
+    assert rows(none.bills) == rows(none.unpaid_bills)
