@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 INPUT = ["carried", "paid", "debt", "interest", "own", "total"]  # in cents; own: ordinary plus extraordinary
 OUTPUT = ["carried", "debt", "interest", "total"]
@@ -86,7 +87,11 @@ def recalculated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit = batch.column("NroUF").to_numpy(zero_copy_only=False)
         new = np.ones(batch.num_rows, dtype=bool)
         new[1:] = (building[1:] != building[:-1]) | (unit[1:] != unit[:-1])
-        columns = {name: batch.column(name) for name in INPUT}
+        columns = {name: batch.column(name) for name in INPUT if name != "own"}
+        # Both parts are below 10^18 cents, so their sum stays within 64 bits.
+        columns["own"] = (
+            batch.column("own") if "own" in batch.schema.names else pc.add(batch.column("ordinary"), batch.column("extraordinary"))
+        )
         known = {name: c.is_valid().to_numpy(zero_copy_only=False) for name, c in columns.items()}
         values = {name: c.fill_null(0).to_numpy() for name, c in columns.items()}
         continues = before.unit == (building[0], unit[0])

@@ -206,18 +206,15 @@ def recalculate_balances(bills: DataFrame) -> DataFrame:
     batch take each month together. The first month stays as it is; interest is
     due on positive balances only. One shuffle by unit, linear in the months.
     """
-    own = F.col(_ORDINARY) + F.col(_EXTRAORDINARY)
     cents = {
         "carried": "Saldo_Anterior", "paid": "Pagos_Recibidos_Mes", "debt": "Deuda", "interest": "Interes_Por_Mora",
         "total": "Total_A_Pagar", "ordinary": _ORDINARY, "extraordinary": _EXTRAORDINARY,
     }
-    rows = bills.select(
-        *UNIT_KEY, "Periodo", *[to_cents(F.col(c)).alias(n) for n, c in cents.items()], to_cents(own).alias("own")
-    )
+    rows = bills.select(*UNIT_KEY, "Periodo", *[to_cents(F.col(c)).alias(n) for n, c in cents.items()])
     # Numbering the rows makes Spark gather and sort them by unit and month.
     place = F.row_number().over(W.partitionBy(*UNIT_KEY).orderBy("Periodo"))
     in_order = rows.withColumn("_place", place)
-    amounts = ", ".join(f"{n} bigint" for n in [*cents, "own"])
+    amounts = ", ".join(f"{n} bigint" for n in cents)
     schema = f"Id_Consorcio int, NroUF string, Periodo date, {amounts}, _place int"
     done = in_order.mapInArrow(balances.recalculated, schema)
     made = [from_cents(F.col(n)).alias(c) for n, c in cents.items()]

@@ -80,3 +80,19 @@ def test_units_spread_over_batches(size):
             wanted = [b for unit in units(3) for b in plain(unit)]
             assert whole.column("total").to_pylist() == [cents(b[9]) for b in wanted]
             assert whole.column("carried").to_pylist() == [cents(b[3]) for b in wanted]
+
+
+def test_the_step_adds_up_the_parts_of_a_bill():
+    """Batches hold the two parts only; largest amounts and unknown ones give what their sum gives."""
+    most = 10**18 - 1
+    parts = [(most, most), (-most, -most), (None, 5), (5, None), (None, None), (7, -3)]
+    columns = {
+        "Id_Consorcio": [1] * len(parts), "NroUF": [str(i // 2) for i in range(len(parts))],
+        **{n: pa.array([i * 10 for i in range(len(parts))], pa.int64()) for n in ("carried", "paid", "debt", "interest", "total")},
+        "ordinary": pa.array([o for o, _ in parts], pa.int64()), "extraordinary": pa.array([e for _, e in parts], pa.int64()),
+    }
+    given = pa.table(columns)
+    own = pa.array([None if None in p else sum(p) for p in parts], pa.int64())
+    with_sum = balances.recalculated(iter(given.append_column("own", own).to_batches()))
+    found = pa.Table.from_batches(balances.recalculated(iter(given.to_batches())))
+    assert found.to_pylist() == pa.Table.from_batches(with_sum).drop_columns("own").to_pylist()
