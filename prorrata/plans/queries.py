@@ -214,7 +214,7 @@ def o09_settlement_headers(d: Domain) -> DataFrame:
 
 @_query
 def o10_prorate_bills(d: Domain) -> DataFrame:
-    d.shares = written(d.shares, "shares")  # read for the earlier bills and for the new ones
+    d.headers = written(d.headers, "headers")  # read for the earlier bills and for the new ones
     return B.bills_of_shares(d.shares, previous=d.bills)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from prorrata.operators import allocation as A, billing as B, reports as R
 from prorrata.plans.adapter import Domain
+from prorrata.plans.queries import QUERIES
 from prorrata.schemas import BILL, BILL_KEY, UNIT_KEY
 from prorrata.sources.buckets import add_to_buckets, open_buckets, store_buckets
 from prorrata.sources.workarea import new_folder
@@ -143,6 +144,12 @@ def test_bills_are_not_shuffled_after_they_grow_to_months(spark, no_broadcast):
         assert generated and "Exchange" not in above
 
 
+def test_proration_shuffles_new_and_earlier_bills_once(spark, no_broadcast):
+    made = QUERIES["o10_prorate_bills"](spark, FOLDER)
+    # By bill: the shares, the earlier balances, and the sums of what was paid.
+    assert [_names(k) for k in shuffled_by(made)].count(list(BILL_KEY)) == 3
+
+
 def test_payments_without_day_or_bill_leave_the_bills(spark):
     d, odd = Domain(spark, FOLDER), Domain(spark, FOLDER)
     day = F.col("Fecha")
